@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from tallymill.llm import op3_url_filter, op5_sharding, op6_mixing
+from tallymill.llm import op1_license_scan, op2_quality, op3_url_filter, op4_decontamination, op5_sharding, op6_mixing, op8_token_counts
 from tallymill.session import read_table
 
 
+def op1_license_scan_query(spark, sf_dir):
+    return op1_license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op2_quality_query(spark, sf_dir):
+    return op2_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter_query(spark, sf_dir):
     return op3_url_filter.filter_urls(read_table(spark, sf_dir, "pages"), op3_url_filter.rules_frame(spark))
 
 
+def op4_decontamination_query(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = op4_decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "__contamination.*")
+
+
 def op5_sharding_query(spark, sf_dir):
     return op5_sharding.shard_documents(read_table(spark, sf_dir, "documents"), 40)
 
@@ -18,10 +32,18 @@ def op6_mixing_query(spark, sf_dir):
     return op6_mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_counts_query(spark, sf_dir):
+    return op8_token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan_query,
+    "op2_quality": op2_quality_query,
     "op3_url_filter": op3_url_filter_query,
+    "op4_decontamination": op4_decontamination_query,
     "op5_sharding": op5_sharding_query,
     "op6_mixing": op6_mixing_query,
+    "op8_token_counts": op8_token_counts_query,
 }
 
 ORACLES = {
@@ -33,6 +55,17 @@ rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'
 best AS (SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (k)""",
+    "op4_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+n AS (SELECT item_id, w, least(13, len(w))::BIGINT AS s FROM b WHERE len(w) > 0),
+x AS (SELECT DISTINCT item_id, s, array_to_string(w[i:i + s - 1], ' ') AS t FROM (SELECT item_id, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM n)),
+y AS (SELECT k, i, s, array_to_string(w[i:i + s - 1], ' ') AS t FROM (SELECT k, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM d, (SELECT DISTINCT s FROM n) WHERE len(w) >= s)),
+m AS (SELECT y.k, y.i, y.s, x.item_id FROM y JOIN x ON x.t = y.t AND x.s = y.s),
+h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + s)) AS p FROM m) GROUP BY k),
+c AS (SELECT k, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS v FROM m) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (k) LEFT JOIN c USING (k)""",
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM d GROUP BY source),
