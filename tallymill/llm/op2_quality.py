@@ -194,21 +194,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     return AdditiveModel().fit(x, taken["y"].to_numpy(float))
 
 
-def scorer(model: AdditiveModel, context):
-    shared = context.broadcast(model)
+def scorer(model: AdditiveModel):
+    """The model travels with the function: its tables are some ten kilobytes."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             x = np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))
-            yield pd.Series(shared.value.score(x))
+            yield pd.Series(model.score(x))
 
     return score
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    score = scorer(train(docs, labels, key=key, text=text), docs.sparkSession.sparkContext)
+    score = scorer(train(docs, labels, key=key, text=text))
     scored = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), score(F.col(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -218,5 +218,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train(docs, labels)
     if model.constant is not None:
         return docs
-    score = scorer(model, docs.sparkSession.sparkContext)
+    score = scorer(model)
     return docs.withColumn("__quality", score(F.col("text"))).filter(F.col("__quality") >= threshold).select(*docs.columns)

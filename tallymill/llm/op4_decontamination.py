@@ -71,6 +71,13 @@ class Windows:
         self.shingle = shingle
         self.prefix: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
 
+    @classmethod
+    def of(cls, state: dict) -> Windows:
+        """From what ``vars`` gave: plain values can be broadcast, a class of this package cannot."""
+        made = cls.__new__(cls)
+        made.__dict__.update(state)
+        return made
+
     def vocabulary(self) -> dict[int, np.ndarray]:
         """All shingles, by their length in words."""
         by: dict[int, list[np.ndarray]] = {}
@@ -169,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         windows = Windows(items)
         windows.choose(_frequencies(docs, text, context.broadcast(windows.vocabulary())))
         windows.tokens = []
-        marked = marked.withColumn(f"{out}_{b}", _marker(context.broadcast(windows))(F.col(text)))
+        marked = marked.withColumn(f"{out}_{b}", _marker(context.broadcast(vars(windows)))(F.col(text)))
         made.append(f"{out}_{b}")
 
     @F.pandas_udf(RESULT)
@@ -184,7 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 def _marker(shared):
     @F.pandas_udf(MARKS)
     def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        windows = shared.value
+        windows = Windows.of(shared.value)
         for texts in batches:
             n, spans, items = [], [], []
             for t in texts:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymill.llm import op1_license_scan, op2_quality, op3_url_filter, op4_decontamination, op5_sharding, op6_mixing, op8_token_counts
+from tallymill.llm import op1_license_scan, op2_quality, op3_url_filter, op4_decontamination, op5_sharding, op6_mixing, op7_near_dedup, op8_token_counts
 from tallymill.session import read_table
 
 
@@ -32,6 +32,10 @@ def op6_mixing_query(spark, sf_dir):
     return op6_mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_near_dedup_query(spark, sf_dir):
+    return op7_near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts_query(spark, sf_dir):
     return op8_token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination_query,
     "op5_sharding": op5_sharding_query,
     "op6_mixing": op6_mixing_query,
+    "op7_near_dedup": op7_near_dedup_query,
     "op8_token_counts": op8_token_counts_query,
 }
 
