@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tallymill.llm import op1_license_scan, op2_quality, op3_url_filter, op4_decontamination, op5_sharding, op6_mixing, op7_near_dedup, op8_token_counts
+from pyspark.sql import functions as F
+
+from tallymill.llm import op1_license_scan, op10_line_dedup, op2_quality, op3_url_filter, op4_decontamination, op5_sharding, op6_mixing, op7_near_dedup, op8_token_counts, op9_ann
 from tallymill.session import read_table
 
 
@@ -40,6 +42,15 @@ def op8_token_counts_query(spark, sf_dir):
     return op8_token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op9_ann_query(spark, sf_dir):
+    return op9_ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_line_dedup_query(spark, sf_dir):
+    kept = op10_line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan_query,
     "op2_quality": op2_quality_query,
@@ -49,6 +60,8 @@ QUERIES = {
     "op6_mixing": op6_mixing_query,
     "op7_near_dedup": op7_near_dedup_query,
     "op8_token_counts": op8_token_counts_query,
+    "op9_ann": op9_ann_query,
+    "op10_line_dedup": op10_line_dedup_query,
 }
 
 ORACLES = {
