@@ -22,6 +22,8 @@ from tallymill.session import materialize
 
 WEIGHTS = (3, 1, 2)
 SEED = 17
+#: Up to this many row ids with their copies (16 bytes each) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -66,3 +68,13 @@ def mix_sources(
     edge = lambda k: F.floor(F.col("__start") + k * F.col("__rate"))
     copies = F.least(edge(F.col("__rank") + 1) - edge(F.col("__rank")), F.ceil("__rate"))
     return r.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"), *carry)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns as they were."""
+    rows = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    taken = mix_sources(rows, carry=("__rid",)).filter(F.col("copies") > 0).select("__rid", "copies")
+    taken = materialize(taken, "copies")
+    few = taken.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(taken) if few else taken, "__rid")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
