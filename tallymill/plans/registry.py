@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from tallymill.session import read_table
-
 QUERIES = {}
 ORACLES = {}
 
 
-def query(name, sql=None):
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame, and its SQL if there is one."""
+
     def keep(f):
         QUERIES[name] = f
         if sql:
@@ -20,20 +18,4 @@ def query(name, sql=None):
     return keep
 
 
-@query(
-    "gold_features",
-    """SELECT c_custkey AS customer_id, o_orderkey AS transaction_id, o_totalprice AS amount,
-       count(*) OVER (PARTITION BY c_custkey) AS transaction_count
-       FROM orders JOIN customer ON o_custkey = c_custkey""",
-)
-def gold_features(spark, sf_dir):
-    from pyspark.sql import Window
-
-    facts = read_table(spark, sf_dir, "orders")
-    dims = read_table(spark, sf_dir, "customer").select("c_custkey")
-    return facts.join(dims, facts.o_custkey == dims.c_custkey).select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("o_orderkey").alias("transaction_id"),
-        F.col("o_totalprice").alias("amount"),
-        F.count(F.lit(1)).over(Window.partitionBy("c_custkey")).alias("transaction_count"),
-    )
+from tallymill.plans import detection, evaluation, medallion, retrieval, streams  # noqa: E402, F401
