@@ -44,7 +44,8 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallymill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # vectored reads keep a direct buffer per thread and column chunk, outside the heap
+    return spark.read.schema(df.schema).option("parquet.hadoop.vectored.io.enabled", "false").parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
