@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.batches import bound_batches
 from tallymill.llm.license_rules import PRIORITY_SCORE, rules
 from tallymill.llm.words import normalized
 
@@ -94,6 +95,8 @@ class Scanner:
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: words, base places and labels, all labels, score, and the kept detections as label@start-end (characters of the normalized text)."""
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf(RESULT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner()

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.batches import bound_batches
+
 SAMPLE = 20_000
 THRESHOLD = 0.7
 BINS, ROUNDS, RATE, PAIRS, PAIR_BINS, PAIR_ROUNDS = 32, 120, 0.15, 8, 8, 40
@@ -176,6 +178,7 @@ def held_out(key: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> AdditiveModel:
     """Fit on at most ``sample`` labelled rows, those with the smallest hashes of the key."""
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.select(F.col(key).alias("__key"), F.col("quality").cast("int").alias("__y")).distinct()
     chosen = known.orderBy(F.xxhash64("__key"), "__key", "__y").limit(sample)

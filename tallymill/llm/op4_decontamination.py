@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.batches import bound_batches
 from tallymill.llm.words import normalized, shingle_hashes, word_spans
 
 WINDOW, SHINGLE = 13, 3
@@ -169,6 +170,7 @@ def _frequencies(docs: DataFrame, text: str, vocabulary) -> dict[int, int]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, out: str = "__contamination") -> DataFrame:
     """``docs`` with a struct column ``out`` of the fields of RESULT."""
+    bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     made: list[str] = []
     marked = docs

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.batches import bound_batches
+
 MODEL = "piece_bpe_32k.model"
 CHUNK_BYTES, OVERLAP_BYTES, LIMIT = 1 << 15, 256, 4096
 _SLICE = 256
@@ -109,6 +111,8 @@ class SplicingCounter:
 def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row."""
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = SplicingCounter(model, chunk_bytes, overlap_bytes)
