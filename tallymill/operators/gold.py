@@ -42,11 +42,13 @@ def exact_sum(c: Column) -> Column:
     return F.sum(c.cast("decimal(18,2)")).cast("double")
 
 
-def customer_stats(df: DataFrame, key: str = "customer_id", amount: str = "amount") -> DataFrame:
+def customer_stats(df: DataFrame, key: str = "customer_id", amount: str = "amount", null_keys: bool = True) -> DataFrame:
     """count, velocity, mean and lifetime value per customer, joined back.
 
     Aggregated before the shuffle and joined, not a window: a customer with a
     third of all rows is split by the adaptive join and never one task's.
+    Where no key is null (``null_keys=False``) the aggregate's partitioning
+    serves the join as well.
     """
     n = F.count(F.lit(1))
     stats = df.groupBy(F.col(key).alias("__key")).agg(
@@ -55,18 +57,21 @@ def customer_stats(df: DataFrame, key: str = "customer_id", amount: str = "amoun
         (exact_sum(F.col(amount)) / F.count(amount)).alias("mean_transaction_amount"),
         F.coalesce(exact_sum(F.col(amount)), F.lit(0.0)).alias("clv"),
     )
-    return df.join(stats, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    same = F.col(key).eqNullSafe(F.col("__key")) if null_keys else F.col(key) == F.col("__key")
+    return df.join(stats, same).drop("__key")
 
 
-def zscore_global(df: DataFrame, amount: str = "amount", out: str = "z_score_deviation") -> DataFrame:
-    """By the mean and sample deviation of all rows; 0 where there is none. The joined side is one row."""
-    one = df.agg(F.avg(amount).alias("__mean"), F.stddev_samp(amount).alias("__std"))
+def zscore_global(df: DataFrame, amount: str = "amount", out: str = "z_score_deviation", over: DataFrame | None = None) -> DataFrame:
+    """By the mean and sample deviation of all rows (of ``over`` if given); 0 where there is none. The joined side is one row."""
+    one = (df if over is None else over).agg(F.avg(amount).alias("__mean"), F.stddev_samp(amount).alias("__std"))
     z = F.when(F.col("__std") > 0, (F.col(amount) - F.col("__mean")) / F.col("__std")).otherwise(F.lit(0.0))
     return df.crossJoin(F.broadcast(one)).withColumn(out, z).drop("__mean", "__std")
 
 
 def features(facts: DataFrame, dim: DataFrame) -> DataFrame:
-    return zscore_global(high_risk(customer_stats(temporal(denormalize(facts, dim)))))
+    """Statistics and global moments both come from the joined facts, not from each other's plans."""
+    joined = temporal(denormalize(facts, dim))
+    return zscore_global(high_risk(customer_stats(joined, null_keys=False)), over=joined)
 
 
 def write(features_: DataFrame, orphans_: DataFrame, path: str, version: str = "1.0") -> None:

@@ -16,7 +16,8 @@ K1, B, RRF = 1.5, 0.75, 60
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, term, tf, doc_len): the index table; written once, searched often."""
     words = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("w")).withColumn("doc_len", F.size("w").cast("long"))
-    return words.select("doc_id", "doc_len", F.explode("w").alias("term")).groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    # an inner explode would make Spark filter by the array's size and tokenize twice
+    return words.select("doc_id", "doc_len", F.explode_outer("w").alias("term")).filter(F.col("term").isNotNull()).groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
@@ -38,7 +39,7 @@ def bm25_scores(docs: DataFrame, query: str, key: str, text: str) -> DataFrame:
     """
     spark = docs.sparkSession
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(tokenize(F.col("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    words = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("w")).select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
+    words = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("w")).select("doc_id", F.size("w").alias("doc_len"), F.explode_outer("w").alias("term"))
     hits = words.join(F.broadcast(asked), "term").groupBy("doc_id", "doc_len", "term", "times").agg(F.count(F.lit(1)).alias("tf"))
     stats = corpus_stats(docs, text)
     idf = term_stats(hits, stats)
