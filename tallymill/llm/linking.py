@@ -1,10 +1,11 @@
 """Links between members of buckets, and the groups that links connect.
 
-Bucket members are never paired with each other: each is compared with two
-hubs of its bucket, the least and the greatest member. What the links of a
-round connect counts as one group, and the next round compares the members of
-every bucket that still holds several groups with hubs of other groups, until
-a round finds nothing new. The work of a round is linear in the members.
+Bucket members are never paired with each other: first each is compared with
+the least hub of its buckets. What the links of a round connect counts as one
+group, and further rounds compare the members of every bucket that still holds
+several groups with hubs of other groups: one of the least group, one of the
+greatest and any one, drawn anew each round. The work of a round is linear in
+the members.
 """
 
 from __future__ import annotations
@@ -16,6 +17,15 @@ from pyspark.sql import functions as F
 
 from tallymill.session import materialize
 
+#: Up to this many buckets with several members (24 bytes each) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_BUCKETS = 1_000_000
+TASK_ROWS = 100_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """With as many partitions at most as ``rows`` rows need: rounds over few links should not start many tasks."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, c): for every end of an edge (a, b) the least vertex that edges lead to.
@@ -25,46 +35,55 @@ def components(edges: DataFrame) -> DataFrame:
     with the logarithm of a group's diameter. All of it is joins and minima.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    now = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("c")).select("v", F.least("v", "c").alias("c")), "groups")
+    rows = both.count()
+    now = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("c")).select("v", F.least("v", "c").alias("c"))
+    now = materialize(sized(now, rows), "groups")
     while True:
         near = both.join(now, both["b"] == now["v"]).groupBy("a").agg(F.min("c").alias("n"))
         seen = now.join(near, now["v"] == near["a"]).select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         hooks = seen.select(F.col("old").alias("v"), F.lit(None).cast("long").alias("old"), "c")
         hooked = seen.unionByName(hooks).groupBy("v").agg(F.min("c").alias("c"), F.min("old").alias("old"))
         up = hooked.select(F.col("v").alias("u"), F.col("c").alias("top"))
-        new = materialize(hooked.join(up, hooked["c"] == up["u"]).select("v", F.least("c", "top").alias("c"), "old"), "groups")
+        new = hooked.join(up, hooked["c"] == up["u"]).select("v", F.least("c", "top").alias("c"), "old")
+        new = materialize(sized(new, rows), "groups")
         if new.filter(F.col("c") != F.col("old")).isEmpty():
             return new.select("v", "c")
         now = new.select("v", "c")
 
 
-def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4) -> DataFrame:
+def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 5, prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(v, c) for the linked vertices of ``members`` (key, v).
 
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are
-    links. The rows of a bucket with two members are one pair and need no join.
+    links; ``prepare`` gets the vertices that share a bucket, before the first pairs.
+    In the first round a member meets the least hub of all its buckets.
     """
-    hubs = members.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter(F.col("lo") < F.col("hi"))
-    shared = materialize(members.join(hubs, "key").select("key", "v", "lo", "hi"), "shared")
-    pairs = _pairs(shared.select("v", F.col("lo").alias("h")).union(shared.select("v", F.col("hi").alias("h"))))
-    tested = materialize(pairs, "pairs")
-    links = materialize(verify(tested), "links")
-    if links.isEmpty():
-        return links.select(F.col("a").alias("v"), F.col("a").alias("c"))
+    hubs = members.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key", "lo")
+    hubs = materialize(hubs, "hubs")
+    few = hubs.count() <= BROADCAST_BUCKETS
+    shared = materialize(members.join(F.broadcast(hubs) if few else hubs, "key").select("key", "v", "lo"), "shared")
+    rows = shared.count()
+    if prepare:
+        prepare(materialize(sized(shared.select("v").distinct(), rows), "vertices"))
+    first = shared.groupBy("v").agg(F.min("lo").alias("h"))
+    tested = materialize(sized(_pairs(first), rows), "pairs")
+    links = materialize(sized(verify(tested), tested.count()), "links")
     groups = components(links)
-    for _ in range(rounds - 1):
-        m = shared.select("key", "v").join(groups, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
-        ends = m.groupBy("key").agg(F.min(F.struct("c", "v")).alias("lo"), F.max(F.struct("c", "v")).alias("hi"))
+    for turn in range(1, rounds):
+        m = shared.select("key", "v").join(groups, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"), F.xxhash64(F.lit(turn), "v").alias("h"))
+        hub = F.struct("c", "h", "v")
+        ends = m.groupBy("key").agg(F.min(hub).alias("lo"), F.max(hub).alias("hi"), F.min(F.struct("h", "v", "c")).alias("any"))
         open_buckets = m.join(ends.filter(F.col("lo.c") < F.col("hi.c")), "key")
-        cross = [open_buckets.filter(F.col("c") != F.col(f"{h}.c")).select("v", F.col(f"{h}.v").alias("h")) for h in ("lo", "hi")]
-        fresh = materialize(_pairs(cross[0].union(cross[1])).join(tested, ["a", "b"], "left_anti"), "pairs")
+        stars = F.explode(F.array(*[F.struct(F.col(f"{e}.c").alias("hc"), F.col(f"{e}.v").alias("h")) for e in ("lo", "hi", "any")]))
+        cross = open_buckets.select("v", "c", stars.alias("s")).filter(F.col("c") != F.col("s.hc")).select("v", "s.h")
+        fresh = materialize(sized(_pairs(cross).join(tested, ["a", "b"], "left_anti"), rows), "pairs")
         if fresh.isEmpty():
             break
-        found = materialize(verify(fresh), "links")
-        if found.isEmpty():
-            break
-        links, tested = links.unionByName(found), tested.unionByName(fresh)
-        groups = components(links)
+        tested = tested.unionByName(fresh)
+        found = materialize(sized(verify(fresh), fresh.count()), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            groups = components(links)
     return groups
 
 
