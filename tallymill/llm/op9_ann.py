@@ -139,6 +139,7 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, dims: int = DIMENSION
         return pd.concat(parts).astype(kinds) if parts else pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
 
     found = held.groupBy("cb", "qb", "n").cogroup(asks.groupBy("cb", "qb", "n")).applyInPandas(search, FOUND)
+    found = materialize(found, "found")  # a caller's selection of columns must not reach the grouped inputs
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return top.select("query_id", "rank", "vec_id", "score")
