@@ -35,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _reader(spark: SparkSession):
+    """Without vectored reads: those keep a direct buffer per thread and column chunk, outside the heap."""
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -44,10 +49,9 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallymill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # vectored reads keep a direct buffer per thread and column chunk, outside the heap
-    return spark.read.schema(df.schema).option("parquet.hadoop.vectored.io.enabled", "false").parquet(path)
+    return _reader(spark).schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``; any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _reader(spark).parquet(f"{sf_dir}/{name}.parquet")
