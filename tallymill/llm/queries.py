@@ -47,7 +47,8 @@ def op9_ann_query(spark, sf_dir):
 
 
 def op10_line_dedup_query(spark, sf_dir):
-    kept = op10_line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    place = {"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
+    kept = op10_line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").withColumns(place), row=("__file", "__row"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
