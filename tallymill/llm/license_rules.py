@@ -14,7 +14,7 @@ apache-2.0 1 spdx spdx license identifier apache 2 0
 apache-2.0 2 apache apache license version 2 0(?: january 2004)?
 apache-2.0 2 apache apache license 2 0
 apache-2.0 2 apache apache 2 0 licen[sc]ed?
-apache-2.0 2 apache licen[sc]ed under (?:the )?apache (?:license )?(?:version |v )?2(?: 0)?
+apache-2.0 2 apache licen[sc]ed under (?:the )?apache (?:license )?(?:version |v ?)?2(?: 0)?
 apache-2.0 2 apache apache software license version 2 0
 apache-2.0 3 www (?:http|https) www apache org licenses license 2 0
 apache-2.0 4 asl asl 2 0
@@ -66,39 +66,39 @@ gpl-3.0-or-later 1 spdx spdx license identifier gpl 3 0 or later
 gpl-3.0-or-later 2 gpl gpl ?v?3(?: 0)? or later
 gpl-3.0-or-later 2 gnu gnu general public license (?:as published by the free software foundation )?(?:either )?version 3 (?:of the license )?or (?:at your option )?any later version
 gpl-3.0 1 spdx spdx license identifier gpl 3 0(?: only)?
-gpl-3.0 2 gnu gnu general public license (?:version |v )?3(?: 0)?
-gpl-3.0 2 gnu gnu gpl (?:version |v )?3(?: 0)?
+gpl-3.0 2 gnu gnu general public license (?:version |v ?)?3(?: 0)?
+gpl-3.0 2 gnu gnu gpl (?:version |v ?)?3(?: 0)?
 gpl-3.0 2 gplv3 gplv3
-gpl-3.0 3 gpl gpl (?:version |v )?3(?: 0)?
+gpl-3.0 3 gpl gpl (?:version |v ?)?3(?: 0)?
 gpl-2.0-or-later 1 spdx spdx license identifier gpl 2 0 or later
 gpl-2.0-or-later 2 gpl gpl ?v?2(?: 0)? or later
 gpl-2.0-or-later 2 gnu gnu general public license (?:as published by the free software foundation )?(?:either )?version 2 (?:of the license )?or (?:at your option )?any later version
 gpl-2.0 1 spdx spdx license identifier gpl 2 0(?: only)?
-gpl-2.0 2 gnu gnu general public license (?:version |v )?2(?: 0)?
-gpl-2.0 2 gnu gnu gpl (?:version |v )?2(?: 0)?
+gpl-2.0 2 gnu gnu general public license (?:version |v ?)?2(?: 0)?
+gpl-2.0 2 gnu gnu gpl (?:version |v ?)?2(?: 0)?
 gpl-2.0 2 gplv2 gplv2
-gpl-2.0 3 gpl gpl (?:version |v )?2(?: 0)?
+gpl-2.0 3 gpl gpl (?:version |v ?)?2(?: 0)?
 gpl-1.0 1 spdx spdx license identifier gpl 1 0(?: only)?
-gpl-1.0 2 gnu gnu general public license (?:version |v )?1(?: 0)?
+gpl-1.0 2 gnu gnu general public license (?:version |v ?)?1(?: 0)?
 gpl 3 gnu gnu general public licen[sc]e
 gpl 3 gnu you can redistribute it and or modify it under the terms of the gnu general public license
 gpl 4 gnu gnu gpl
 gpl 4 gpl (?:under|the) gpl(?: licen[sc]e)?
 lgpl-3.0 1 spdx spdx license identifier lgpl 3 0(?: only| or later)?
-lgpl-3.0 2 lesser gnu lesser general public license (?:version |v )?3(?: 0)?
+lgpl-3.0 2 lesser gnu lesser general public license (?:version |v ?)?3(?: 0)?
 lgpl-3.0 2 lgplv3 lgplv3
-lgpl-3.0 3 lgpl lgpl (?:version |v )?3(?: 0)?
+lgpl-3.0 3 lgpl lgpl (?:version |v ?)?3(?: 0)?
 lgpl-2.1 1 spdx spdx license identifier lgpl 2 1(?: only| or later)?
-lgpl-2.1 2 lesser gnu lesser general public license (?:version |v )?2 1
-lgpl-2.1 3 lgpl lgpl (?:version |v )?2 1
+lgpl-2.1 2 lesser gnu lesser general public license (?:version |v ?)?2 1
+lgpl-2.1 3 lgpl lgpl (?:version |v ?)?2 1
 lgpl-2.0 1 spdx spdx license identifier lgpl 2 0(?: only| or later)?
-lgpl-2.0 2 library gnu library general public license(?: (?:version |v )?2(?: 0)?)?
+lgpl-2.0 2 library gnu library general public license(?: (?:version |v ?)?2(?: 0)?)?
 lgpl 3 lesser gnu lesser general public licen[sc]e
 lgpl 4 lgpl lgpl
 agpl-3.0 1 spdx spdx license identifier agpl 3 0(?: only| or later)?
-agpl-3.0 2 affero gnu affero general public license (?:version |v )?3(?: 0)?
+agpl-3.0 2 affero gnu affero general public license (?:version |v ?)?3(?: 0)?
 agpl-3.0 2 agplv3 agplv3
-agpl-3.0 3 agpl agpl (?:version |v )?3(?: 0)?
+agpl-3.0 3 agpl agpl (?:version |v ?)?3(?: 0)?
 agpl-1.0 1 spdx spdx license identifier agpl 1 0
 agpl 3 affero (?:gnu )?affero general public licen[sc]e
 agpl 4 agpl agpl
@@ -110,19 +110,19 @@ gfdl-1.1 2 documentation gnu free documentation license (?:version )?1 1
 gfdl 3 documentation gnu free documentation licen[sc]e
 gfdl 4 gfdl gfdl
 mpl-2.0 1 spdx spdx license identifier mpl 2 0
-mpl-2.0 2 mozilla mozilla public license (?:version |v )?2 0
+mpl-2.0 2 mozilla mozilla public license (?:version |v ?)?2 0
 mpl-2.0 3 mpl mpl 2 0
 mpl-1.1 1 spdx spdx license identifier mpl 1 1
-mpl-1.1 2 mozilla mozilla public license (?:version |v )?1 1
+mpl-1.1 2 mozilla mozilla public license (?:version |v ?)?1 1
 mpl-1.1 3 mpl mpl 1 1
-mpl-1.0 2 mozilla mozilla public license (?:version |v )?1 0
+mpl-1.0 2 mozilla mozilla public license (?:version |v ?)?1 0
 mpl 3 mozilla mozilla public licen[sc]e
 epl-2.0 1 spdx spdx license identifier epl 2 0
-epl-2.0 2 eclipse eclipse public license (?:version |v )?2 0
+epl-2.0 2 eclipse eclipse public license (?:version |v ?)?2 0
 epl-1.0 1 spdx spdx license identifier epl 1 0
-epl-1.0 2 eclipse eclipse public license (?:version |v )?1 0
+epl-1.0 2 eclipse eclipse public license (?:version |v ?)?1 0
 epl 3 eclipse eclipse public licen[sc]e
-edl-1.0 2 eclipse eclipse distribution license (?:version |v )?1 0
+edl-1.0 2 eclipse eclipse distribution license (?:version |v ?)?1 0
 cddl-1.0 1 spdx spdx license identifier cddl 1 0
 cddl-1.0 2 development common development and distribution license (?:version )?1 0
 cddl-1.1 1 spdx spdx license identifier cddl 1 1
@@ -132,8 +132,8 @@ cpl-1.0 1 spdx spdx license identifier cpl 1 0
 cpl-1.0 2 common common public license(?: version)? 1 0
 ipl-1.0 2 ibm ibm public license(?: version)? 1 0
 eupl-1.2 1 spdx spdx license identifier eupl 1 2
-eupl-1.2 2 eupl eupl (?:version |v )?1 2
-eupl-1.1 2 eupl eupl (?:version |v )?1 1
+eupl-1.2 2 eupl eupl (?:version |v ?)?1 2
+eupl-1.1 2 eupl eupl (?:version |v ?)?1 1
 eupl 3 european european union public licen[sc]e
 cecill-2.1 1 spdx spdx license identifier cecill 2 1
 cecill-b 2 cecill cecill b
@@ -158,7 +158,7 @@ busl-1.1 1 spdx spdx license identifier busl 1 1
 busl-1.1 2 business business source license (?:version )?1 1
 busl 3 business business source licen[sc]e
 sspl-1.0 1 spdx spdx license identifier sspl 1 0
-sspl-1.0 2 server server side public license(?: (?:version |v )?1)?
+sspl-1.0 2 server server side public license(?: (?:version |v ?)?1)?
 elastic-2.0 1 spdx spdx license identifier elastic 2 0
 elastic-2.0 2 elastic elastic license (?:version )?2 0
 elastic 3 elastic elastic licen[sc]e
@@ -182,11 +182,11 @@ ofl-1.1 1 spdx spdx license identifier ofl 1 1
 ofl-1.1 2 sil sil open font license(?: version)? 1 1
 ofl 3 font (?:sil )?open font licen[sc]e
 osl-3.0 1 spdx spdx license identifier osl 3 0
-osl-3.0 2 open open software license(?: (?:version |v )?3 0)?
+osl-3.0 2 open open software license(?: (?:version |v ?)?3 0)?
 afl-3.0 1 spdx spdx license identifier afl 3 0
-afl-3.0 2 academic academic free license(?: (?:version |v )?3 0)?
+afl-3.0 2 academic academic free license(?: (?:version |v ?)?3 0)?
 odbl-1.0 1 spdx spdx license identifier odbl 1 0
-odbl-1.0 2 database open database licen[sc]e(?: (?:version |v )?1 0)?
+odbl-1.0 2 database open database licen[sc]e(?: (?:version |v ?)?1 0)?
 odc-by-1.0 1 spdx spdx license identifier odc by 1 0
 odc-by-1.0 2 odc odc (?:attribution|by)(?: licen[sc]e)?
 pddl-1.0 2 public public domain dedication and licen[sc]e
@@ -198,19 +198,19 @@ cc-by-nc-nd-4.0 2 nc cc by nc nd 4 0
 cc-by-nc-nd-4.0 2 noderivatives creative commons attribution noncommercial noderivatives 4 0
 cc-by-nc-nd-3.0 2 nc cc by nc nd 3 0
 cc-by-nc-nd 3 nc cc by nc nd
-cc-by-nc-nd 3 noncommercial creative commons attribution non ?commercial no ?deriv(?:ative)?s
+cc-by-nc-nd 3 attribution creative commons attribution non ?commercial no ?deriv(?:ative)?s
 cc-by-nc-sa-4.0 1 spdx spdx license identifier cc by nc sa 4 0
 cc-by-nc-sa-4.0 2 nc cc by nc sa 4 0
 cc-by-nc-sa-4.0 2 noncommercial creative commons attribution noncommercial sharealike 4 0
 cc-by-nc-sa-3.0 2 nc cc by nc sa 3 0
 cc-by-nc-sa 3 nc cc by nc sa
-cc-by-nc-sa 3 noncommercial creative commons attribution non ?commercial share ?alike
+cc-by-nc-sa 3 attribution creative commons attribution non ?commercial share ?alike
 cc-by-nc-4.0 1 spdx spdx license identifier cc by nc 4 0
 cc-by-nc-4.0 2 nc cc by nc 4 0
 cc-by-nc-4.0 2 noncommercial creative commons attribution noncommercial 4 0
 cc-by-nc-3.0 2 nc cc by nc 3 0
 cc-by-nc 3 nc cc by nc
-cc-by-nc 3 noncommercial creative commons attribution non ?commercial
+cc-by-nc 3 attribution creative commons attribution non ?commercial
 cc-by-nd-4.0 1 spdx spdx license identifier cc by nd 4 0
 cc-by-nd-4.0 2 nd cc by nd 4 0
 cc-by-nd 3 nd cc by nd
@@ -248,7 +248,7 @@ proprietary 3 eula end user licen[sc]e agreement eula
 proprietary 3 eula eula
 proprietary 4 user end user licen[sc]e agreement
 trial 3 evaluation for evaluation purposes only
-noncommercial 4 non for non ?commercial (?:use|purposes)(?: only)?
+noncommercial 4 non for non commercial (?:use|purposes)(?: only)?
 noncommercial 4 noncommercial for noncommercial (?:use|purposes)(?: only)?
 research-only 4 research for (?:academic|research)(?: and (?:academic|research))? (?:use|purposes) only
 reserved 3 rights all rights reserved
@@ -258,7 +258,7 @@ openrail 2 openrail (?:creativeml |bigscience )?openrail(?: ?m)?(?: licen[sc]e)?
 rail 3 responsible responsible ai licen[sc]e
 community 3 community community licen[sc]e agreement
 upl-1.0 1 spdx spdx license identifier upl 1 0
-upl-1.0 2 universal universal permissive license(?: (?:version |v )?1 0)?
+upl-1.0 2 universal universal permissive license(?: (?:version |v ?)?1 0)?
 vim 2 vim vim licen[sc]e
 w3c 2 w3c w3c software (?:notice and )?licen[sc]e
 zpl-2.1 2 zope zope public license(?: (?:version )?2 1)?
