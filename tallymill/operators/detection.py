@@ -154,7 +154,7 @@ def credit_features(t: DataFrame, key: str = "sender") -> DataFrame:
     by = t.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
         money("amount").cast("double").alias("volume"),
-        F.round(F.avg("amount"), 6).alias("avg_amount"),
+        F.round(money("amount").cast("double") / F.count("amount"), 6).alias("avg_amount"),
         F.countDistinct("receiver").alias("parties"),
         F.round(F.regr_slope("amount", F.col("at") / F.lit(DAY)), 3).alias("slope_per_day"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.operators.gold import exact_sum
+
 DESCRIPTIONS = {
     "velocity_rolling3": "Sum of the customer's last three amounts.",
     "clv_cumulative": "Customer's amounts summed up to this transaction.",
@@ -27,7 +29,7 @@ def cumulative_clv(df: DataFrame, key="customer_id", amount="amount", ts="timest
 
 def customer_zscore(df: DataFrame, key="customer_id", amount="amount") -> DataFrame:
     """Mean, sample deviation and z-score within the customer; z is 0 where the deviation is null or 0."""
-    stats = df.groupBy(F.col(key).alias("__key")).agg(F.avg(amount).alias("mean_amount"), F.stddev_samp(amount).alias("std_amount"))
+    stats = df.groupBy(F.col(key).alias("__key")).agg((exact_sum(F.col(amount)) / F.count(amount)).alias("mean_amount"), F.stddev_samp(amount).alias("std_amount"))
     z = F.when(F.col("std_amount") > 0, (F.col(amount) - F.col("mean_amount")) / F.col("std_amount")).otherwise(F.lit(0.0))
     return df.join(stats, F.col(key).eqNullSafe(F.col("__key"))).drop("__key").withColumn("customer_zscore", z)
 

@@ -129,12 +129,12 @@ def risk_tiers(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", d.risk_tier(risk).alias("tier"), d.escalates(risk).alias("escalate"))
 
 
-@query("credit_features", f"WITH {T} SELECT sender, count(*) AS n, {_SUM}::DOUBLE AS volume, round(avg(amount), 6) AS avg_amount, count(DISTINCT receiver) AS parties, round(regr_slope(amount, sec / 86400), 3) AS slope_per_day, CASE WHEN count(*) >= 20 THEN 'approve' WHEN count(*) >= 10 THEN 'review' ELSE 'decline' END AS band FROM t GROUP BY sender")
+@query("credit_features", f"WITH {T} SELECT sender, count(*) AS n, {_SUM}::DOUBLE AS volume, round({_SUM}::DOUBLE / count(amount), 6) AS avg_amount, count(DISTINCT receiver) AS parties, round(regr_slope(amount, sec / 86400), 3) AS slope_per_day, CASE WHEN count(*) >= 20 THEN 'approve' WHEN count(*) >= 10 THEN 'review' ELSE 'decline' END AS band FROM t GROUP BY sender")
 def credit_features(spark, sf_dir):
     return d.credit_features(transfers(spark, sf_dir))
 
 
-@query("quarantine_alerts", "SELECT c_nationkey, count(*) AS checked, count_if(c_acctbal < 0) AS held, count_if(c_acctbal < 0) / count(*) > 0.05 AS alert FROM customer GROUP BY 1")
+@query("quarantine_alerts", "SELECT c_nationkey, count(*) AS checked, count_if(c_acctbal < 0)::BIGINT AS held, count_if(c_acctbal < 0) / count(*) > 0.05 AS alert FROM customer GROUP BY 1")
 def quarantine_alerts(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("c_acctbal") < 0).alias("held"))
     return c.withColumn("alert", F.col("held") / F.col("checked") > 0.05)

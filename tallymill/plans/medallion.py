@@ -250,12 +250,12 @@ def fe_cumulative_clv(spark, sf_dir):
     return features.cumulative_clv(activity(spark, sf_dir), tiebreak="event_id").select("event_id", "clv_cumulative")
 
 
-@query("fe_customer_stats", f"WITH {ACTIVITY} SELECT event_id, round(avg(amount) OVER w, 6) AS mean_amount, round(stddev_samp(amount) OVER w, 6) AS std_amount FROM a WINDOW w AS (PARTITION BY customer_id)")
+@query("fe_customer_stats", f"WITH {ACTIVITY} SELECT event_id, round((sum(amount::DECIMAL(18,2)) OVER w)::DOUBLE / count(amount) OVER w, 6) AS mean_amount, round(stddev_samp(amount) OVER w, 6) AS std_amount FROM a WINDOW w AS (PARTITION BY customer_id)")
 def fe_customer_stats(spark, sf_dir):
     return features.customer_zscore(activity(spark, sf_dir)).select("event_id", F.round("mean_amount", 6).alias("mean_amount"), F.round("std_amount", 6).alias("std_amount"))
 
 
-@query("fe_customer_zscore", f"WITH {ACTIVITY} SELECT event_id, round(CASE WHEN stddev_samp(amount) OVER w > 0 THEN (amount - avg(amount) OVER w) / stddev_samp(amount) OVER w ELSE 0.0 END, 6) AS customer_zscore FROM a WINDOW w AS (PARTITION BY customer_id)")
+@query("fe_customer_zscore", f"WITH {ACTIVITY} SELECT event_id, round(CASE WHEN stddev_samp(amount) OVER w > 0 THEN (amount - (sum(amount::DECIMAL(18,2)) OVER w)::DOUBLE / count(amount) OVER w) / stddev_samp(amount) OVER w ELSE 0.0 END, 6) AS customer_zscore FROM a WINDOW w AS (PARTITION BY customer_id)")
 def fe_customer_zscore(spark, sf_dir):
     return features.customer_zscore(activity(spark, sf_dir)).select("event_id", F.round("customer_zscore", 6).alias("customer_zscore"))
 
