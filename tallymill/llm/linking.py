@@ -5,7 +5,11 @@ the least hub of its buckets. What the links of a round connect counts as one
 group, and further rounds compare the members of every bucket that still holds
 several groups with hubs of other groups: one of the least group, one of the
 greatest and any one, drawn anew each round. The work of a round is linear in
-the members.
+the members. Buckets that still hold several groups after the rounds are
+settled whole: all their untested pairs between groups are tested, so groups
+are those of an exhaustive comparison within buckets. This grows with the
+square of a bucket's members that no link joins; it goes by slices of bounded
+size, between which new links join groups.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from tallymill.session import materialize
 #: Up to this many buckets with several members (24 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_BUCKETS = 1_000_000
 TASK_ROWS = 100_000
+#: Pairs of a slice when open buckets are settled (16 bytes each on disk), and members of a bucket that one task pairs with the rest.
+SLICE_PAIRS, CHUNK = 20_000_000, 256
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -84,6 +90,35 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds
         if not found.isEmpty():
             links = links.unionByName(found)
             groups = components(links)
+    return _settled(shared, groups, links, tested, verify, 3 if rounds > 1 else 1)
+
+
+def _settled(shared: DataFrame, groups: DataFrame, links: DataFrame, tested: DataFrame, verify: Callable[[DataFrame], DataFrame], done: int) -> DataFrame:
+    """``groups`` after all pairs of different groups in a bucket are tested.
+
+    Buckets of up to ``done`` members have been: of three, two were hubs.
+    """
+    named = lambda some: some.join(groups, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    ends = named(shared.select("key", "v")).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
+    ends = materialize(ends.filter((F.col("lo") < F.col("hi")) & (F.col("n") > done)).select("key", "n"), "open")
+    buckets, squares, rows = ends.agg(F.count(F.lit(1)), F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n")).first()
+    if not buckets:
+        return groups
+    few = F.broadcast(ends) if buckets <= BROADCAST_BUCKETS else ends
+    members = materialize(sized(shared.select("key", "v").join(few, "key"), rows), "members")
+    slices = int(-(-squares // (2 * SLICE_PAIRS)))
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    for turn in range(slices):
+        m = named(members)
+        here = m.filter(F.pmod(F.xxhash64("v"), F.lit(slices)) == turn)
+        here = here.select("key", F.pmod(F.hash("v"), chunks).alias("part"), F.col("v").alias("a"), F.col("c").alias("ca"))
+        rest = m.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"), F.col("v").alias("b"), F.col("c").alias("cb"))
+        pairs = here.join(rest, ["key", "part"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(sized(verify(fresh), fresh.count()), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            groups = components(links)
     return groups
 
 
