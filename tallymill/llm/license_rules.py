@@ -63,7 +63,9 @@ zlib 3 origin the origin of this software must not be misrepresented
 libpng 1 spdx spdx license identifier libpng(?: 2 0)?
 libpng 2 libpng libpng licen[sc]e
 gpl-3.0-or-later 1 spdx spdx license identifier gpl 3 0 or later
-gpl-3.0-or-later 2 gpl gpl ?v?3(?: 0)? or later
+gpl-3.0-or-later 2 gpl gpl v?3(?: 0)? or later
+gpl-3.0-or-later 2 gplv3 gplv3(?: 0)? or later
+gpl-3.0-or-later 2 gpl3 gpl3(?: 0)? or later
 gpl-3.0-or-later 2 gnu gnu general public license (?:as published by the free software foundation )?(?:either )?version 3 (?:of the license )?or (?:at your option )?any later version
 gpl-3.0 1 spdx spdx license identifier gpl 3 0(?: only)?
 gpl-3.0 2 gnu gnu general public license (?:version |v ?)?3(?: 0)?
@@ -71,7 +73,9 @@ gpl-3.0 2 gnu gnu gpl (?:version |v ?)?3(?: 0)?
 gpl-3.0 2 gplv3 gplv3
 gpl-3.0 3 gpl gpl (?:version |v ?)?3(?: 0)?
 gpl-2.0-or-later 1 spdx spdx license identifier gpl 2 0 or later
-gpl-2.0-or-later 2 gpl gpl ?v?2(?: 0)? or later
+gpl-2.0-or-later 2 gpl gpl v?2(?: 0)? or later
+gpl-2.0-or-later 2 gplv2 gplv2(?: 0)? or later
+gpl-2.0-or-later 2 gpl2 gpl2(?: 0)? or later
 gpl-2.0-or-later 2 gnu gnu general public license (?:as published by the free software foundation )?(?:either )?version 2 (?:of the license )?or (?:at your option )?any later version
 gpl-2.0 1 spdx spdx license identifier gpl 2 0(?: only)?
 gpl-2.0 2 gnu gnu general public license (?:version |v ?)?2(?: 0)?
@@ -250,11 +254,13 @@ proprietary 4 user end user licen[sc]e agreement
 trial 3 evaluation for evaluation purposes only
 noncommercial 4 non for non commercial (?:use|purposes)(?: only)?
 noncommercial 4 noncommercial for noncommercial (?:use|purposes)(?: only)?
-research-only 4 research for (?:academic|research)(?: and (?:academic|research))? (?:use|purposes) only
+research-only 4 research for (?:research(?: and (?:academic|research))?|academic and research) (?:use|purposes) only
+research-only 4 academic for academic(?: and academic)? (?:use|purposes) only
 reserved 3 rights all rights reserved
 reserved 4 rights some rights reserved
 copyright 4 copyright copyright (?:c |©)?(?:19|20)\d\d(?: (?:19|20)?\d\d)?
-openrail 2 openrail (?:creativeml |bigscience )?openrail(?: ?m)?(?: licen[sc]e)?
+openrail 2 openrail (?:creativeml |bigscience )?openrail(?: m)?(?: licen[sc]e)?
+openrail 2 openrailm (?:creativeml |bigscience )?openrailm(?: licen[sc]e)?
 rail 3 responsible responsible ai licen[sc]e
 community 3 community community licen[sc]e agreement
 upl-1.0 1 spdx spdx license identifier upl 1 0

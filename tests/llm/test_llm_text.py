@@ -1,6 +1,7 @@
 """Licence scan, quality, decontamination, near duplicates and token counts against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -84,6 +85,40 @@ def test_license_rules_and_suppression():
         assert r.keyword in r.pattern.pattern, r
 
 
+def spellings(pattern):
+    """Every text that a parsed pattern can match, digits all being 1."""
+    out = [""]
+    for kind, v in pattern:
+        kind = str(kind)
+        if kind == "LITERAL":
+            some = [chr(v)]
+        elif kind == "IN":
+            some = [chr(x) if str(k) == "LITERAL" else "1" for k, x in v]
+        elif kind == "BRANCH":
+            some = [t for p in v[1] for t in spellings(p)]
+        elif kind == "SUBPATTERN":
+            some = spellings(v[3])
+        elif kind == "MAX_REPEAT":
+            one = spellings(v[2])
+            some = ["".join(p) for n in range(v[0], min(v[1], v[0] + 2) + 1) for p in itertools.product(one, repeat=n)]
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT"), kind
+            some = [""]
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_license_gates_let_every_spelling_pass():
+    for r in rules():
+        for t in spellings(re._parser.parse(r.pattern.pattern)):
+            assert r.pattern.fullmatch(t) and f" {r.keyword} " in f" {t} ", (r, t)
+    labels = lambda t: set(op1.Scanner().scan(t)[5].split(","))
+    for v in "23":
+        for t in (f"GPLv{v} or later", f"GPL{v} or later", f"GPL v{v}.0 or later", f"GPLv{v}.0 or later"):
+            assert f"gpl-{v}.0-or-later" in labels(t), t
+    assert labels("BigScience OpenRAILM license") == labels("OpenRAIL-M") == {"openrail"}
+
+
 def test_resolve_keeps_overlaps_that_do_not_nest():
     kept = op1.resolve([(3, 0, 10, 0, "a"), (1, 2, 5, 1, "b"), (2, 8, 14, 2, "c"), (2, 9, 12, 3, "d"), (4, 0, 10, 4, "e")])
     assert [d[4] for d in kept] == ["a", "b", "c"]
