@@ -35,6 +35,16 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1) -> float:
     return jaro + common * scale * (1 - jaro) if jaro > 0.7 else jaro
 
 
+def least_ratio(threshold: float) -> float:
+    """The least ratio of two lengths at which the similarity can reach ``threshold``.
+
+    All characters of the shorter name matched give Jaro (2 + ratio) / 3, and
+    a common prefix of four raises a Jaro above 0.7 by 0.4 of what it lacks.
+    """
+    jaro = min(threshold, max(0.7, (threshold - 0.4) / 0.6))
+    return max(0.0, 3 * jaro - 2 - 1e-9)
+
+
 def similar_pairs(df: DataFrame, key: str, name: str, block: Column, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """(left_id, right_id, similarity) of distinct names that share a block.
 
@@ -49,7 +59,6 @@ def similar_pairs(df: DataFrame, key: str, name: str, block: Column, threshold:
 
     names = df.filter(F.col(name).isNotNull()).withColumn("__block", block).groupBy("__block", F.col(name).alias("n")).agg(F.min(key).alias("id"))
     other = names.select("__block", F.col("n").alias("n2"), F.col("id").alias("id2"))
-    # the edit needed for the threshold bounds how far two lengths may be apart
-    fits = (F.col("id") < F.col("id2")) & (F.least(F.length("n"), F.length("n2")) >= 0.4 * F.greatest(F.length("n"), F.length("n2")))
+    fits = (F.col("id") < F.col("id2")) & (F.least(F.length("n"), F.length("n2")) >= least_ratio(threshold) * F.greatest(F.length("n"), F.length("n2")))
     pairs = names.join(other, "__block").filter(fits).withColumn("similarity", score("n", "n2"))
     return pairs.filter(F.col("similarity") >= threshold).select(F.col("id").alias("left_id"), F.col("id2").alias("right_id"), F.round("similarity", 6).alias("similarity"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymill.functions import text
 from tallymill.operators import evaluation as ev
 from tallymill.operators import retrieval as r
-from tallymill.operators.resolve import jaro_winkler
+from tallymill.operators.resolve import jaro_winkler, similar_pairs
 from tallymill.sources import external
 
 
@@ -88,6 +88,16 @@ def test_jaro_winkler():
     assert jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.72, 0.85, 0.95])
+def test_similar_pairs_of_unlike_lengths(spark, threshold):
+    names = ["acme", "acme holdings", "abcd", "abcdefghijkl", "abcdefghijklmnop", "abcdefghijklmnopqrst", "a", "ab", "xa", "acme holding"]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = {(r.left_id, r.right_id): r.similarity for r in similar_pairs(df, "id", "name", F.lit(1), threshold).collect()}
+    scores = {(i, j): jaro_winkler(a, b) for j, b in enumerate(names) for i, a in enumerate(names[:j])}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in scores.items() if v >= threshold}
+    assert threshold != 0.85 or {(0, 1), (2, 3)} <= set(got)
+
+
 def test_json_corpus(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"documents": [{"id": "a", "document": "x", "metadata": {"source": "s", "version": "2"}}]}))
     (tmp_path / "e.json").write_text(json.dumps({"documents": []}))
