@@ -7,8 +7,9 @@ every line stands under the ten pairs of its blocks; members of such a bucket
 are compared with hubs (see linking.py), candidates within three bits are
 verified by edit similarity of 0.8 or more, and of every connected group the
 first occurrence by (doc_id, row, line) is kept. Lines of more than
-``SEGMENT`` characters are compared segment by segment: the summed distances
-bound the edit distance from above.
+``SEGMENT`` characters are compared segment by segment first: the summed
+distances bound the edit distance from above. Where that bound is too large,
+as an insertion shifts all later segments, the edit distance itself decides.
 
 Only DataFrame functions are used. Line ids are 64-bit hashes of the
 normalized lines.
@@ -95,8 +96,8 @@ def _either(bits: list[Column]) -> Column:
 
 def _within(a: Column, b: Column, allowed: Column) -> Column:
     """Whether the edit distance is at most ``allowed``, by bands as narrow as settle it."""
-    out = F.levenshtein(a, b) <= allowed
-    for band in (SEGMENT // 5, 96, 24):
+    out = F.call_function("levenshtein", a, b, allowed) >= 0
+    for band in (16 * SEGMENT // 5, SEGMENT // 5, 96, 24):
         d = F.levenshtein(a, b, band)
         out = F.when(d >= 0, d <= allowed).when(allowed <= band, F.lit(False)).otherwise(out)
     return out
@@ -117,7 +118,7 @@ def _near(a: Column, b: Column, similarity: float) -> Column:
     distance = lambda x, y: F.coalesce(F.nullif(F.levenshtein(x, y, 24), F.lit(-1)), F.levenshtein(x, y))
     piecewise = F.aggregate(F.sequence(F.lit(1), longest, F.lit(SEGMENT)), F.lit(0), lambda s, i: s + distance(part(a, i), part(b, i)))
     fits = F.least(F.length(a), F.length(b)) >= longest - allowed
-    return fits & F.when(longest <= SEGMENT, _within(a, b, allowed)).otherwise(piecewise <= allowed)
+    return fits & F.when(longest <= SEGMENT, _within(a, b, allowed)).when(piecewise <= allowed, F.lit(True)).otherwise(_within(a, b, allowed))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", row: tuple[str, str] | None = None) -> DataFrame:

@@ -250,6 +250,16 @@ def test_long_lines_are_compared_by_segments(spark):
     assert got[1] == 0 and got[3] == 0
 
 
+def test_long_lines_with_shifted_segments(spark):
+    """One insertion shifts every later segment; the edit distance decides."""
+    r = random.Random(3)
+    long = " ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(1200))
+    pairs = [(long, "x" * 251 + long, True), (long, long[:4000] + "y" * 900 + long[4000:], True), (long, "z" * 2600 + long, False), (long, long[::-1], False)]
+    df = spark.createDataFrame([(a, b, want) for a, b, want in pairs], "a string, b string, want boolean")
+    got = df.select("want", op10._near(F.col("a"), F.col("b"), 0.8).alias("near")).collect()
+    assert [x.near for x in got] == [x.want for x in got]
+
+
 def test_block_keys_of_three_bits_apart(spark):
     r = random.Random(1)
     pairs = []
