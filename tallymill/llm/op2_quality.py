@@ -109,12 +109,14 @@ class AdditiveModel:
         self.intercept, self.edges, self.tables = 0.0, [], []
         self.pair_edges, self.pairs, self.pair_tables = [], [], []
         self.constant: float | None = 0.5
+        self.n_labels = 0
 
     @staticmethod
     def _edges(x: np.ndarray, bins: int) -> np.ndarray:
         return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1]))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> AdditiveModel:
+        self.n_labels = len(y)
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
@@ -219,7 +221,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, k
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are predicted good; all of them where there is nothing to learn from."""
     model = train(docs, labels)
-    if model.constant is not None:
+    if not model.n_labels:
         return docs
     score = scorer(model)
     return docs.withColumn("__quality", score(F.col("text"))).filter(F.col("__quality") >= threshold).select(*docs.columns)

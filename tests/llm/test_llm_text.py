@@ -139,6 +139,13 @@ def test_quality_held_out_accuracy(spark, data):
     assert ((got.score >= 0.7) == (got.predicted == 1)).all()
 
 
+@pytest.mark.parametrize("quality", [0, 1])
+def test_keep_good_decides_as_classify_where_labels_are_of_one_kind(spark, quality):
+    docs = table(spark, ODD)
+    labels = spark.createDataFrame([(i, quality, 0) for i in range(len(ODD))], "doc_id long, quality int, toxic int")
+    assert op2.keep_good(docs, labels).count() == op2.classify(docs, labels).filter("predicted = 1").count() == quality * len(ODD)
+
+
 def test_quality_edge_cases(spark):
     texts = ODD + ["Fine words stand here in a row. " * 5, "JUNK!! ### $$$ " * 9] * 30
     docs = table(spark, texts)
