@@ -139,7 +139,7 @@ def summary(n_words: int, spans, items) -> tuple:
 def _blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int):
     """The benchmark's items by blocks; one block at a time is on the driver."""
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    items = benchmark.select(name.alias("name"), F.col(text).alias("text"))
+    items = benchmark.select(name.alias("name"), F.col(text).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(16))).first()[0] or 0
     count = -(-total // block_bytes) or 1
     for b in range(count):

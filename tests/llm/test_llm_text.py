@@ -119,6 +119,13 @@ def test_license_gates_let_every_spelling_pass():
     assert labels("BigScience OpenRAILM license") == labels("OpenRAIL-M") == {"openrail"}
 
 
+def test_copies_of_a_benchmark_row_count_once(spark):
+    one = spark.createDataFrame([("a", "some words " * 20), ("b", None)], "item_id string, text string")
+    many = one.unionAll(one.crossJoin(spark.range(50)).drop("id"))
+    blocks = list(op4._blocks(many, "item_id", "text", 1000))
+    assert sorted(sum(blocks, [])) == sorted(sum(op4._blocks(one, "item_id", "text", 1000), [])) and len(blocks) == 1
+
+
 def test_resolve_keeps_overlaps_that_do_not_nest():
     kept = op1.resolve([(3, 0, 10, 0, "a"), (1, 2, 5, 1, "b"), (2, 8, 14, 2, "c"), (2, 9, 12, 3, "d"), (4, 0, 10, 4, "e")])
     assert [d[4] for d in kept] == ["a", "b", "c"]
