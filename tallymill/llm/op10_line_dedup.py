@@ -1,15 +1,21 @@
 """Fuzzy line deduplication by SimHash.
 
 Lines are normalized (lower case, no white space or punctuation at the ends).
-The 64 bits of a line's SimHash are the majority votes of its words' hashes. Two lines whose
-SimHashes differ in at most three bits agree on two of five blocks whole, so
-every line stands under the ten pairs of its blocks; members of such a bucket
-are compared with hubs (see linking.py), candidates within three bits are
-verified by edit similarity of 0.8 or more, and of every connected group the
-first occurrence by (doc_id, row, line) is kept. Lines of more than
-``SEGMENT`` characters are compared segment by segment first: the summed
-distances bound the edit distance from above. Where that bound is too large,
-as an insertion shifts all later segments, the edit distance itself decides.
+The 64 bits of a line's SimHash are the majority votes of its words' hashes,
+whatever the line's length. Two SimHashes at most two bits apart agree on two
+of four blocks whole, so every line stands under the six pairs of its blocks,
+and with it whatever else agrees on 32 bits. A replaced word moves more bits
+than that, so the words are pigeonholed too: by their hashes eight to sixteen
+of them (in short lines all) fall into four parts, and a line stands under the
+words of each two parts. One replaced word, two left out or two put in touch
+two parts at most, so the other two are a key of both lines; of more changes
+the sample sees some only. Lines with nearly as many words as the next thinner
+sample begins with stand under its keys as well.
+
+Members of a bucket whose SimHashes are at most ``BITS_APART`` bits apart are
+candidates (see linking.py), and are verified by edit similarity of 0.8 or
+more. Of every connected group the first occurrence by (doc_id, row, line) is
+kept.
 
 Only DataFrame functions are used. Line ids are 64-bit hashes of the
 normalized lines.
@@ -27,17 +33,22 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.linking import connect, sized
+from tallymill.llm.linking import TASK_BYTES, connect, sized
 from tallymill.session import materialize
 
-SIMILARITY, BITS_APART, BLOCKS, SEGMENT = 0.8, 3, 5, 2048
+#: Blocks of a SimHash and how many of them agree in a bucket; the bits that the SimHashes of candidates differ in at most.
+SIMILARITY, BLOCKS, AGREE, BITS_APART = 0.8, 4, 2, 20
 _EDGES = " \t\r.,;:!?\"'()[]|-"
-#: Characters from which a line is long; a word of five characters within it.
-_FEW, _WORD = 200, r"[^ \t\r.,;:!?\"'()\[\]|-]{5}"
 #: Four lanes of a long; the most votes that their comparison bears; the characters that can hold no more words.
 _LANES, _MOST, _LONG = 0x0001000100010001, 8191, 16_000
+#: Parts of the sampled words, how many make a key, and the words that the sample has on an average at least.
+_PARTS, _CHOSEN, _SAMPLE = 4, 2, 8
+#: Widths of the bands in which an edit distance is looked for, before the allowed one.
+_BANDS = (24, 96, 384, 1536, 6144, 24576)
 #: Up to this many line ids (8 bytes each), or places of dropped lines (4 bytes each, 8 places' worth a document), are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_PLACES = 1_000_000, 4_000_000
+#: Pairs and characters that one task compares.
+TASK_PAIRS, TASK_CHARS = 2_000, 1 << 20
 
 
 def _lines(text: Column) -> Column:
@@ -46,79 +57,98 @@ def _lines(text: Column) -> Column:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(file, row, doc_id, pos, norm, lid) of every line with words.
+    """(file, row, doc_id, pos, norm) of every line with words.
 
     Outer explodes: for inner ones Spark adds a filter on the array's size and
     builds the array twice.
     """
-    lines = docs.select("file", "row", "doc_id", F.posexplode_outer(_lines(F.col("text"))).alias("pos", "norm")).filter(F.col("norm") != "")
-    return lines.withColumn("lid", F.xxhash64("norm"))
+    return docs.select("file", "row", "doc_id", F.posexplode_outer(_lines(F.col("text"))).alias("pos", "norm")).filter(F.col("norm") != "")
 
 
-def _simhashes(docs: DataFrame) -> DataFrame:
-    """(file, row, doc_id, pos, lid, simhash) of every line.
+def _either(bits: list[Column]) -> Column:
+    out = bits[0]
+    for i, b in enumerate(bits[1:], 1):
+        out = out.bitwiseOR(F.shiftleft(b, i))
+    return out
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    """(file, row, doc_id, pos, lid, n, simhash, keys) of every line with words.
 
-    Words of up to four characters are function words mostly, which would make
-    all long lines of a language alike: there they vote only if there are no
-    longer ones. In short lines all words vote. Where the votes are even the
-    words with the greatest and the least hash decide by turns, else lines of
-    two words would be mostly zeros. Four counts share a long, 16 bits each, and are compared with half
-    the votes together; the few lines of so many words that this could
-    overflow are counted bit by bit.
+    Where votes are even the words with the greatest and the least hash decide
+    by turns, else lines of two words would be mostly zeros. Four counts share
+    a long, 16 bits each, and are compared with half the votes together; the
+    few lines of so many words that this could overflow are counted bit by bit.
+    A part is the exclusive or of its words' hashes; ``seen`` has 16 bits a
+    part, one of which each of its words sets. Both stand there for the sample
+    that a line has and for the next one.
     """
-    keys = ["file", "row", "doc_id", "pos", "lid"]
+    keys = ["file", "row", "doc_id", "pos", "lid", "n"]
 
     def votes(some: DataFrame, mask: int, bits: int) -> DataFrame:
-        # beside an explode in one select it would be computed for every word
-        picky = (F.length("norm") >= _FEW) & F.rlike("norm", F.lit(_WORD))
-        some = some.select(*keys, "norm", picky.alias("picky"))
-        words = some.select(*keys, "picky", F.explode_outer(F.split("norm", " ")).alias("word"))
-        words = words.withColumn("word", F.trim("word", F.lit(_EDGES)))
-        words = words.filter((F.col("word") != "") & ((F.length("word") > 4) | ~F.col("picky"))).select(*keys, F.xxhash64("word").alias("h"))
+        # beside an explode in one select these would be computed for every word
+        spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+        scale = F.greatest(F.floor(F.log2(spaces.cast("double") / _SAMPLE)).cast("int"), F.lit(0))
+        lines = some.select(*keys[:4], F.xxhash64("norm").alias("lid"), F.length("norm").alias("n"), spaces.alias("spaces"), F.call_function("shiftleft", F.lit(1), scale).alias("scale"), "norm")
+        words = lines.select(*keys, "scale", "spaces", F.explode_outer(F.split("norm", " ")).alias("word")).withColumn("word", F.trim("word", F.lit(_EDGES)))
+        words = words.filter(F.col("word") != "").select(*keys, "scale", "spaces", F.xxhash64("word").alias("h"))
+        sampled = F.shiftrightunsigned("h", 40).cast("int")
+        words = words.withColumns({f"at{j}": sampled.bitwiseAND(F.col("scale") * F.lit(_PARTS << j) - F.lit(1)) for j in (0, 1)})
+        nil, parts = F.lit(0).cast("long"), []
+        for j in (0, 1):
+            at = F.col(f"at{j}")
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(15).cast("int") + at * 16)
+            parts.append(F.bit_or(F.when(at < _PARTS, bit).otherwise(nil)).alias(f"seen{j}"))
+            parts += [F.bit_xor(F.when(at == i, F.col("h")).otherwise(nil)).alias(f"part{j}{i}") for i in range(_PARTS)]
         counts = [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(mask).cast("long"))).alias(f"s{i}") for i in range(bits)]
-        return words.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("tie0"), F.min("h").alias("tie1"), *counts)
+        return words.groupBy(*keys, "scale", "spaces").agg(F.count(F.lit(1)).alias("n_words"), F.max("h").alias("tie0"), F.min("h").alias("tie1"), *parts, *counts)
 
+    out = [*keys, "scale", "spaces", "n_words", *[f"{x}{j}{i}" for j in (0, 1) for x, i in [("seen", ""), *[("part", i) for i in range(_PARTS)]]]]
     short = votes(_numbered(docs).filter(F.length("norm") < _LONG), _LANES, 16)
-    spare = (F.lit(_MOST) - F.col("n")) * F.lit(_LANES)  # brings a lane that has more than half to the bit above _MOST
+    spare = (F.lit(_MOST) - F.col("n_words")) * F.lit(_LANES)  # brings a lane that has more than half to the bit above _MOST
     tied = lambda i, mask: F.shiftright(f"tie{i % 2}", i).bitwiseAND(F.lit(mask).cast("long"))
     packed = [F.shiftright(F.shiftleft(f"s{i}", 1) + tied(i, _LANES) + spare, _MOST.bit_length()).bitwiseAND(_LANES) for i in range(16)]
     long = votes(_numbered(docs.filter(F.length("text") >= _LONG)).filter(F.length("norm") >= _LONG), 1, 64)
-    single = [(F.col(f"s{i}") * 2 + tied(i, 1) > F.col("n")).cast("long") for i in range(64)]
-    return short.select(*keys, _either(packed).alias("simhash")).unionByName(long.select(*keys, _either(single).alias("simhash")))
+    single = [(F.col(f"s{i}") * 2 + tied(i, 1) > F.col("n_words")).cast("long") for i in range(64)]
+    both = short.select(*out, _either(packed).alias("simhash")).unionByName(long.select(*out, _either(single).alias("simhash")))
+    return both.select(*keys, "simhash", F.concat(block_keys(F.col("simhash")), part_keys()).alias("keys"))
+
+
+def part_keys() -> Column:
+    """One key per two parts of a line's sampled words, if they hold three words, in lines of up to eight words two."""
+    least = F.when(F.col("n_words") > 8, F.lit(3)).otherwise(F.lit(2))
+    keys = []
+    for j in (0, 1):
+        scale = F.col("scale") * F.lit(1 << j)
+        # a line is at most a quarter longer than a near one: this one's next sample is that one's own
+        here = F.lit(True) if j == 0 else F.col("spaces") * 5 >= scale * F.lit(4 * _SAMPLE)
+        for some in combinations(range(_PARTS), _CHOSEN):
+            mask = sum(0xFFFF << 16 * i for i in some)
+            held = F.bit_count(F.col(f"seen{j}").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
+            keys.append(F.when(here & (held >= least), F.xxhash64(F.lit(100 + 10 * some[0] + some[1]), scale, *[f"part{j}{i}" for i in some])))
+    return F.array_compact(F.array(*keys))
+
+
+def block_keys(simhash: Column, blocks: int = BLOCKS, agree: int = AGREE) -> Column:
+    """One key per choice of the blocks that must agree: all pairs at most ``blocks - agree`` bits apart share one."""
+    edges = [64 * b // blocks for b in range(blocks + 1)]
+    parts = [F.shiftrightunsigned(simhash, a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return F.array(*[F.xxhash64(F.lit(i + 2), *[parts[b] for b in some]) for i, some in enumerate(combinations(range(blocks), agree))])
 
 
-def _either(bits: list[Column]) -> Column:
-    out = bits[0]
-    for i, b in enumerate(bits[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(b, i))
-    return out
+def _allowed(longest: Column, similarity: float) -> Column:
+    return F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
 
 
-def _within(a: Column, b: Column, allowed: Column) -> Column:
-    """Whether the edit distance is at most ``allowed``, by bands as narrow as settle it."""
+def _near(a: Column, b: Column, similarity: float) -> Column:
+    """Whether the edit distance is at most the allowed share of the longer text, by bands as narrow as settle it."""
+    longest = F.greatest(F.length(a), F.length(b))
+    allowed = _allowed(longest, similarity)
     out = F.call_function("levenshtein", a, b, allowed) >= 0
-    for band in (16 * SEGMENT // 5, SEGMENT // 5, 96, 24):
+    for band in reversed(_BANDS):
         d = F.levenshtein(a, b, band)
         out = F.when(d >= 0, d <= allowed).when(allowed <= band, F.lit(False)).otherwise(out)
-    return out
-
-
-def block_keys(simhash: Column, blocks: int = BLOCKS, apart: int = BITS_APART) -> Column:
-    """One key per choice of the blocks that must agree when ``apart`` bits differ."""
-    edges = [64 * b // blocks for b in range(blocks + 1)]
-    parts = [F.shiftrightunsigned(simhash, a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    chosen = combinations(range(blocks), blocks - apart)
-    return F.array(*[F.xxhash64(F.lit(i), *[parts[b] for b in some]) for i, some in enumerate(chosen)])
-
-
-def _near(a: Column, b: Column, similarity: float) -> Column:
-    longest = F.greatest(F.length(a), F.length(b))
-    allowed = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-    part = lambda c, i: F.substring(c, i, F.lit(SEGMENT))
-    distance = lambda x, y: F.coalesce(F.nullif(F.levenshtein(x, y, 24), F.lit(-1)), F.levenshtein(x, y))
-    piecewise = F.aggregate(F.sequence(F.lit(1), longest, F.lit(SEGMENT)), F.lit(0), lambda s, i: s + distance(part(a, i), part(b, i)))
-    fits = F.least(F.length(a), F.length(b)) >= longest - allowed
-    return fits & F.when(longest <= SEGMENT, _within(a, b, allowed)).when(piecewise <= allowed, F.lit(True)).otherwise(_within(a, b, allowed))
+    return (F.least(F.length(a), F.length(b)) >= longest - allowed) & out
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", row: tuple[str, str] | None = None) -> DataFrame:
@@ -132,31 +162,37 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc
     base = docs.select(*place, F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if not row:
         base = materialize(base, "numbered")
-    places = materialize(_simhashes(base), "places")
-    codes = materialize(places.groupBy("lid").agg(F.min("simhash").alias("simhash")), "simhashes")
-    members = codes.select(F.explode_outer(block_keys(F.col("simhash"))).alias("key"), F.col("lid").alias("v"))
+    coded = materialize(_coded(base), "places")
+    places = coded.select("file", "row", "doc_id", "pos", "lid")
+    members = coded.select(F.explode_outer("keys").alias("key"), F.col("lid").alias("v"))
+    codes = coded.select(F.col("lid").alias("v"), F.struct("simhash", "n").alias("x"))
     known: list[DataFrame] = []
 
+    def may(p: Column, q: Column) -> Column:
+        longest = F.greatest(p["n"], q["n"])
+        close = F.bit_count(p["simhash"].bitwiseXOR(q["simhash"])) <= BITS_APART
+        return close & (F.least(p["n"], q["n"]) >= longest - _allowed(longest, similarity))
+
     def prepare(vertices: DataFrame) -> None:
-        """SimHashes and texts, each from one place, of the lines that share a bucket."""
+        """Texts, each from one place, of the lines that share a bucket."""
         few = vertices.count() <= BROADCAST_IDS
         here = F.broadcast(vertices) if few else vertices
-        known.append(materialize(codes.join(here, F.col("lid") == F.col("v"), "left_semi"), "codes"))
         picks = places.join(here, F.col("lid") == F.col("v"), "left_semi").groupBy("lid").agg(F.min(F.struct("file", "row", "pos")).alias("at"))
         picks = materialize(picks.select("lid", "at.*"), "picks")
-        some = _numbered(base).drop("lid").join(F.broadcast(picks) if few else picks, ["file", "row", "pos"])
+        some = _numbered(base).join(F.broadcast(picks) if few else picks, ["file", "row", "pos"])
         known.append(materialize(some.select("lid", "norm"), "texts"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        bits, texts = known
-        both = pairs.join(bits.toDF("a", "sa"), "a").join(bits.toDF("b", "sb"), "b")
-        close = both.filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS_APART).select("a", "b")
-        close = materialize(sized(close, pairs.count()), "close")
-        ends = materialize(close.select(F.col("a").alias("lid")).union(close.select(F.col("b").alias("lid"))).distinct(), "ends")
-        some = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "lid", "left_semi")
-        return close.join(some.toDF("a", "na"), "a").join(some.toDF("b", "nb"), "b").filter(_near(F.col("na"), F.col("nb"), similarity)).select("a", "b")
-
-    groups = connect(members, verify, rounds=3, prepare=prepare)
+        count, chars = pairs.agg(F.count(F.lit(1)), F.sum(F.col("xa.n") + F.col("xb.n"))).first()
+        chars = chars or 0
+        most = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // TASK_BYTES)
+        tasks = max(1, min(most, max(-(-count // TASK_PAIRS), -(-chars // TASK_CHARS))))
+        ends = materialize(pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct(), "ends")
+        some = known[0].join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "lid", "left_semi")
+        both = pairs.select("a", "b").join(some.toDF("a", "na"), "a").join(some.toDF("b", "nb"), "b")
+        return sized(both.repartition(tasks, "a", "b").filter(_near(F.col("na"), F.col("nb"), similarity)).select("a", "b"), chars)
+
+    groups = connect(members, verify, codes, may, prepare=prepare)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row", "pos")
     stats = places.groupBy("lid").agg(F.min(rank).alias("head"), F.count(F.lit(1)).alias("n"))
     named = stats.join(groups, F.col("lid") == F.col("v"), "left").select("lid", "head", "n", F.coalesce("c", "lid").alias("c"), F.col("c").isNotNull().alias("linked"))
@@ -165,10 +201,12 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc
     dropped = places.join(tops, "lid").filter(F.struct("file", "row", "pos") != F.col("top"))
     drops = materialize(dropped.groupBy("file", "row").agg(F.collect_list("pos").alias("drops")), "drops")
     few = (drops.agg(F.sum(F.size("drops") + F.lit(8))).first()[0] or 0) <= BROADCAST_PLACES
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drops", i))
+    # in the one-element array the lines are split once and not for every place
+    places_kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
+    kept = F.get(F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(F.transform(places_kept(lines), lambda i: F.get(lines, i)), "\n")), F.lit(0))
     return base.join(F.broadcast(drops) if few else drops, ["file", "row"], "left").select(
         "doc_id",
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
         F.when(F.col("drops").isNull(), F.lit(0)).otherwise(F.size("drops")).cast("long").alias("n_dropped"),
-        F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("text"),
     )

@@ -19,9 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.batches import bound_batches
+from tallymill.llm.batches import bounded_batches
 from tallymill.llm.license_rules import PRIORITY_SCORE, rules
 from tallymill.llm.words import normalized
+from tallymill.session import materialize
 
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -95,8 +96,6 @@ class Scanner:
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: words, base places and labels, all labels, score, and the kept detections as label@start-end (characters of the normalized text)."""
 
-    bound_batches(docs.sparkSession)
-
     @F.pandas_udf(RESULT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner()
@@ -105,4 +104,5 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             out = pd.DataFrame([scanner.scan(t) for t in texts], columns=names)
             yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return docs.select(F.col(key).alias("doc_id"), scan(F.col(text)).alias("__s")).select("doc_id", "__s.*")
+    with bounded_batches(docs.sparkSession):
+        return materialize(docs.select(F.col(key).alias("doc_id"), scan(F.col(text)).alias("__s")).select("doc_id", "__s.*"), "scanned")

@@ -29,7 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.batches import bound_batches
+from tallymill.llm.batches import bounded_batches
+from tallymill.llm.rows import free_name
+from tallymill.session import materialize
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -180,7 +182,6 @@ def held_out(key: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> AdditiveModel:
     """Fit on at most ``sample`` labelled rows, those with the smallest hashes of the key."""
-    bound_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.select(F.col(key).alias("__key"), F.col("quality").cast("int").alias("__y")).distinct()
     chosen = known.orderBy(F.xxhash64("__key"), "__key", "__y").limit(sample)
@@ -191,9 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
             yield pd.DataFrame({"k": batch["k"], "y": batch["y"], "x": x})
 
     # a repeated doc_id must not multiply the sample: one text a label, the least by its hash
-    joined = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key"))
-    some = joined.select(F.col("__key").alias("k"), F.col("__y").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    taken = some.mapInPandas(rows, "k long, y int, x array<double>").groupBy("k", "y").agg(F.min("x").alias("x")).toPandas()
+    texts = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    joined = texts.join(F.broadcast(chosen), F.col("__id") == F.col("__key"))
+    some = joined.select(F.col("__key").alias("k"), F.col("__y").alias("y"), "text")
+    with bounded_batches(docs.sparkSession):
+        taken = some.mapInPandas(rows, "k long, y int, x array<double>").groupBy("k", "y").agg(F.min("x").alias("x")).toPandas()
     taken = taken.sort_values(["k", "y"])
     x = np.array(taken["x"].tolist(), float).reshape(-1, len(FEATURES))
     return AdditiveModel().fit(x, taken["y"].to_numpy(float))
@@ -215,13 +218,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, k
     """doc_id, held_out, score, predicted for every row."""
     score = scorer(train(docs, labels, key=key, text=text))
     scored = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), score(F.col(text)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    with bounded_batches(docs.sparkSession):
+        return materialize(scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")), "scored")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are predicted good; all of them where there is nothing to learn from."""
+    """The rows of ``docs`` that are predicted good; all of them where there is nothing to learn from.
+
+    The plan is run by the caller, who bounds the Arrow batches (see batches.py).
+    """
     model = train(docs, labels)
     if not model.n_labels:
         return docs
     score = scorer(model)
-    return docs.withColumn("__quality", score(F.col("text"))).filter(F.col("__quality") >= threshold).select(*docs.columns)
+    name = free_name(docs.columns, "__quality")
+    return docs.withColumn(name, score(F.col("text"))).filter(F.col(name) >= threshold).select(*docs.columns)

@@ -72,13 +72,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda x: F.concat(h, x))))
     e = p.select("*", F.explode_outer(F.when(F.col("host") != "", expressions)).alias("__expression"))
     e = e.withColumn("__digest", _digest(F.col("__expression"))).withColumn("__prefix", F.substring("__digest", 1, PREFIX_HEX))
-    match = (F.col("__prefix") == F.col("rule_prefix")) & (F.col("__digest") == F.col("rule_digest"))
+    match = F.col("__prefix") == F.col("rule_prefix")
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         joined = e.join(F.broadcast(coded), match, "left")
     else:
         e = e.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
         salted = coded.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("rule_salt"))
         joined = e.join(salted, match & (F.col("__salt") == F.col("rule_salt")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("rule_host_n"), F.col("rule"), F.col("rule_verdict"))))
+    best = F.max(F.when(F.col("__digest") == F.col("rule_digest"), F.struct(F.length("rule").alias("n"), F.col("rule_host_n"), F.col("rule"), F.col("rule_verdict"))))
     judged = joined.groupBy("__row", "page_id", "host", "path").agg(best.alias("__best"))
     return judged.select("page_id", "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.rule_verdict", F.lit(default)).alias("verdict"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.llm.ranking import gapless_rank
+from tallymill.llm.rows import free_name, placed_rows
 from tallymill.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -70,11 +71,13 @@ def mix_sources(
     return r.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"), *carry)
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns as they were."""
-    rows = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    taken = mix_sources(rows, carry=("__rid",)).filter(F.col("copies") > 0).select("__rid", "copies")
-    taken = materialize(taken, "copies")
+def mixed_documents(docs: DataFrame, from_files: bool = False) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns as they were. ``from_files``: see rows.py."""
+    rows, file, row = placed_rows(docs, from_files)
+    times, turn = free_name(rows.columns, "__times"), free_name(rows.columns, "__turn")
+    narrow = rows.select(*[F.col(c).alias(n) for c, n in (("doc_id", "doc_id"), ("text", "text"), ("source", "source"), (file, "file"), (row, "row"))])
+    taken = mix_sources(narrow, carry=("file", "row")).filter(F.col("copies") > 0)
+    taken = materialize(taken.select(F.col("file").alias(file), F.col("row").alias(row), F.col("copies").alias(times)), "copies")
     few = taken.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(taken) if few else taken, "__rid")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    joined = rows.join(F.broadcast(taken) if few else taken, [file, row])
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)

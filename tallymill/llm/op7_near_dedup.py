@@ -11,9 +11,12 @@ limit at which all components are filled, so elements beyond the first few
 points cost one draw each.
 
 Equal word sequences are collapsed first. Bands of the signature give buckets,
-bucket members are compared with hubs (see linking.py), and every candidate
-pair is verified on the multisets: overlap over union of 0.8 or more. Recall:
-a pair at exactly 0.8 shares one of 20 bands of 6 with probability 0.998.
+bucket members are compared with hubs, and every candidate pair is verified on
+the multisets: overlap over union of 0.8 or more. Buckets that stay open are
+settled whole (see linking.py): of two multisets that are so near, the rarest
+fifth of either shares an element, so those of the open vertices are joined on
+these. Recall: a pair at exactly 0.8 shares one of 20 bands of 6 with
+probability 0.998.
 
 Edge cases: null and empty texts have no words and are copies of each other; a
 class takes the id of its least document (null ids last); repeated rows are
@@ -28,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.llm.batches import bound_batches
+from tallymill.llm.batches import bounded_batches
 from tallymill.llm.linking import connect, sized
+from tallymill.llm.rows import placed_rows
 from tallymill.llm.words import mix, normalized, shingle_hashes, word_spans
 from tallymill.session import materialize
 
@@ -59,13 +63,13 @@ def multiset(text: str | None, k: int = SHINGLE) -> tuple[bytes, np.ndarray, np.
 
 
 def elements(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The multiset as a sorted set of 32-bit codes of (shingle, how many times before)."""
+    """The multiset as a sorted set of 64-bit codes of (shingle, how many times before)."""
     parts, again, at = [mix(values)], np.flatnonzero(counts > 1), 1
     while len(again):
         parts.append(mix(values[again] + _times(at, _COPY)))
         at += 1
         again = again[counts[again] > at]
-    return np.unique((np.concatenate(parts) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    return np.unique(np.concatenate(parts)).view(np.int64)
 
 
 def signatures(owner: np.ndarray, values: np.ndarray, counts: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -121,15 +125,15 @@ def band_keys(points: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCH = "rid long, doc_id long, digest binary, bands array<long>, elems array<int>"
+SKETCH = "file long, row long, doc_id long, digest binary, bands array<long>, elems array<long>"
 
 
 def sketches(rows: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """From (rid, doc_id, text): digest, band keys and elements of every row."""
+    """From (file, row, doc_id, text): digest, band keys and elements of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, texts = batch.column(0), batch.column(1), batch.column(2)
+            names, texts = batch.columns[:3], batch.column(3)
             at = 0
             while at < batch.num_rows:
                 begin, held, digests, sets = at, 0, [], []
@@ -147,64 +151,82 @@ def sketches(rows: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, per_ba
                 found = band_keys(points[filled], bands, per_band)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(begin, n),
-                        keys.slice(begin, n),
+                        *[c.slice(begin, n) for c in names],
                         pa.array(digests, pa.binary()),
                         _lists(filled * bands, found.reshape(-1), pa.int64()),
-                        _lists(np.array([len(c) for c in codes]), np.concatenate(codes), pa.int32()),
+                        _lists(np.array([len(c) for c in codes]), np.concatenate(codes), pa.int64()),
                     ],
-                    ["rid", "doc_id", "digest", "bands", "elems"],
+                    ["file", "row", "doc_id", "digest", "bands", "elems"],
                 )
 
-    bound_batches(rows.sparkSession)
-    return rows.select("rid", "doc_id", "text").mapInArrow(run, SKETCH)
+    return rows.select("file", "row", "doc_id", "text").mapInArrow(run, SKETCH)
 
 
 def _lists(lengths: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values, kind))
 
 
+def _rarest(profiles: DataFrame, similarity: float) -> DataFrame:
+    """(key, v, x, c) of those elements of (v, x, c, elems) of which two sets so near share one.
+
+    Elements stand by how many of the sets have them; a set of n has
+    n - ceil(similarity * n) + 1 of the rarest to show.
+    """
+    spread = materialize(profiles.select("v", "x", "c", F.explode("elems").alias("key")), "elements")
+    often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    order = Window.partitionBy("v").orderBy("often", "key")
+    shown = F.col("x") - F.ceil(F.col("x") * F.lit(similarity) - F.lit(1e-9)) + 1
+    ranked = spread.join(often, "key").withColumn("at", F.row_number().over(order))
+    return ranked.filter((F.col("at") <= shown) & (F.col("lo") < F.col("hi"))).select("key", "v", "x", "c")
+
+
 def near_duplicate_classes(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """From stable rows (rid, doc_id, text): rid, doc_id, class_id, class_size, kept, one row each.
+    """From stable rows (file, row, doc_id, text): file, row, doc_id, class_id, class_size, kept, one row each.
 
     ``kept`` holds for exactly one row of a class, its head.
     """
-    made = materialize(sketches(rows, shingle), "sketches")
+    with bounded_batches(rows.sparkSession):
+        made = materialize(sketches(rows, shingle).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    reps = made.groupBy("digest").agg(F.min(rank).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    reps = made.groupBy("digest").agg(F.min(rank).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first(F.size("elems")).alias("x"))
     reps = materialize(reps, "texts")
     members = reps.select(F.explode("bands").alias("key"), F.col("head.rid").alias("v"))
+    close = lambda p, q: F.least(p, q) >= F.lit(similarity) * F.greatest(p, q)
+
+    def profiles(vertices: DataFrame, few: bool) -> DataFrame:
+        return made.select(F.col("rid").alias("v"), "elems").join(F.broadcast(vertices) if few else vertices, "v")
+
+    def narrow(vertices: DataFrame) -> DataFrame:
+        return _rarest(profiles(vertices, vertices.count() <= BROADCAST_IDS), similarity)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-        ends = materialize(sized(ends, pairs.count()), "ends")
-        few = ends.count() <= BROADCAST_IDS
-        profiles = made.select("rid", "elems").join(F.broadcast(ends) if few else ends, F.col("rid") == F.col("v"), "left_semi")
-        p, q = profiles.toDF("a", "ea"), profiles.toDF("b", "eb")
-        both = pairs.join(p, "a").join(q, "b")
-        small, large = F.least(F.size("ea"), F.size("eb")), F.greatest(F.size("ea"), F.size("eb"))
+        size = (pairs.agg(F.sum(F.col("xa") + F.col("xb"))).first()[0] or 0) * 8
+        ends = materialize(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct(), "ends")
+        some = profiles(ends, ends.count() <= BROADCAST_IDS)
+        both = pairs.join(some.toDF("a", "ea"), "a").join(some.toDF("b", "eb"), "b")
         common = F.size(F.array_intersect("ea", "eb"))
-        near = common.cast("double") >= F.lit(similarity) * (small + large - common)
-        return both.filter((small >= F.lit(similarity) * large) & near).select("a", "b")
+        near = common.cast("double") >= F.lit(similarity) * (F.col("xa") + F.col("xb") - common)
+        return sized(both.filter(near).select("a", "b"), size)
 
-    groups = connect(members, verify)
+    groups = connect(members, verify, reps.select(F.col("head.rid").alias("v"), "x"), close, narrow)
     named = reps.join(groups, F.col("head.rid") == F.col("v"), "left").select("digest", "head", "copies", F.coalesce("c", "head.rid").alias("c"))
     heads = named.groupBy("c").agg(F.min("head").alias("top"), F.sum("copies").alias("class_size"))
     classes = named.select("digest", "c").join(heads, "c").select("digest", "top", "class_size")
-    done = made.select("rid", "doc_id", "digest").join(classes, "digest")
-    return done.select("rid", "doc_id", F.col("top.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("top.rid")).alias("kept"))
+    done = made.select("file", "row", "rid", "doc_id", "digest").join(classes, "digest")
+    return done.select("file", "row", "doc_id", F.col("top.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("top.rid")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, class_size, kept for every row of ``docs``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return near_duplicate_classes(rows).drop("rid")
+    zero = F.lit(0).cast("long")
+    rows = docs.select(zero.alias("file"), zero.alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return near_duplicate_classes(rows).drop("file", "row")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of every class, with its columns as they were."""
-    rows = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    judged = near_duplicate_classes(rows.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    dropped = materialize(judged.filter(~F.col("kept")).select(F.col("rid").alias("__rid")), "dropped")
+def drop_near_duplicates(docs: DataFrame, from_files: bool = False) -> DataFrame:
+    """One row of every class, with its columns as they were. ``from_files``: see rows.py."""
+    rows, file, row = placed_rows(docs, from_files)
+    judged = near_duplicate_classes(rows.select(F.col(file).alias("file"), F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    dropped = materialize(judged.filter(~F.col("kept")).select(F.col("file").alias(file), F.col("row").alias(row)), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(dropped) if few else dropped, "__rid", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(dropped) if few else dropped, [file, row], "left_anti").select(*docs.columns)

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.batches import bound_batches
+from tallymill.llm.batches import bounded_batches
+from tallymill.session import materialize
 
 MODEL = "piece_bpe_32k.model"
 CHUNK_BYTES, OVERLAP_BYTES, LIMIT = 1 << 15, 256, 4096
@@ -111,8 +112,6 @@ class SplicingCounter:
 def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row."""
 
-    bound_batches(docs.sparkSession)
-
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = SplicingCounter(model, chunk_bytes, overlap_bytes)
@@ -121,4 +120,5 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chunk_
 
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), tokens(body).alias("n_tokens"))
-    return rows.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
+    with bounded_batches(docs.sparkSession):
+        return materialize(rows.withColumn("over_limit", F.col("n_tokens") > F.lit(limit)), "counted")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymill.llm import op1_license_scan, op10_line_dedup, op2_quality, op3_url_filter, op4_decontamination, op5_sharding, op6_mixing, op7_near_dedup, op8_token_counts, op9_ann
-from tallymill.session import read_table
+from tallymill.llm.batches import bounded_batches
+from tallymill.session import materialize, read_table
 
 
 def op1_license_scan_query(spark, sf_dir):
@@ -22,8 +23,9 @@ def op3_url_filter_query(spark, sf_dir):
 
 def op4_decontamination_query(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = op4_decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return judged.select("doc_id", "__contamination.*")
+    judged = op4_decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark"), from_files=True)
+    with bounded_batches(spark):
+        return materialize(judged.select("doc_id", "__contamination.*"), "judged")
 
 
 def op5_sharding_query(spark, sf_dir):

@@ -8,7 +8,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.llm import linking, op2_quality, op4_decontamination, queries
+from tallymill.llm import op2_quality, op4_decontamination, queries
 from tallymill.llm.linking import components, connect
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -38,16 +38,35 @@ def test_connect_finds_groups_that_hubs_alone_miss(spark):
     assert none.count() == 0
 
 
-@pytest.mark.parametrize(("most", "rounds"), [(linking.SLICE_PAIRS, 5), (5_000, 1)])
-def test_connect_settles_hot_buckets_of_many_small_classes(spark, most, rounds, monkeypatch):
+@pytest.mark.parametrize("rounds", [3, 1])
+def test_connect_settles_hot_buckets_of_many_small_classes(spark, rounds):
     """Each vertex has three true partners among 120 in a bucket, and hubs are hardly ever partners."""
-    monkeypatch.setattr(linking, "SLICE_PAIRS", most)
     rows = [(k, v) for k in (1, 2) for v in range(180) if v // 60 in (0, k)]
     same = lambda pairs: pairs.filter(F.col("a") % 30 == F.col("b") % 30)
     got = {r.v: r.c for r in connect(spark.createDataFrame(rows, "key long, v long"), same, rounds=rounds).collect()}
     assert got == {v: v % 30 for v in range(180)}
 
 
+@pytest.mark.parametrize("rounds", [3, 1])
+def test_connect_follows_a_chain_within_one_bucket(spark, rounds):
+    members = spark.createDataFrame([(7, v) for v in range(60)] * 2, "key long, v long")
+    got = connect(members, lambda pairs: pairs.filter(F.col("b") - F.col("a") == 1), rounds=rounds).collect()
+    assert {(r.v, r.c) for r in got} == {(v, 0) for v in range(60)} and len(got) == 60
+
+
+def test_connect_tests_no_pair_that_cannot_be_a_link(spark):
+    members = spark.createDataFrame([(1, v) for v in range(50)], "key long, v long")
+    about = spark.createDataFrame([(v, v % 5) for v in range(50)], "v long, x long")
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.filter(F.col("xa") != F.col("xb")).count())
+        return pairs.select("a", "b")
+
+    got = {r.v: r.c for r in connect(members, verify, about, lambda p, q: p == q).collect()}
+    assert got == {v: v % 5 for v in range(50)} and not any(seen)
+
+
 def test_pipeline_stages(spark, data):
     pipeline = importlib.import_module("corpus_pipeline")
     docs = spark.read.parquet(f"{data}/documents.parquet")
