@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,11 +26,13 @@ def build_session(app: str = "tallymill", cores: str = "*", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where it is unset (local tests) a folder of our own."""
+    """The folder named in ``spark.checkpoint.dir``; only where it is unset and the master is local (tests) a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and spark.sparkContext.getCheckpointDir():
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tallymill-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -49,7 +52,18 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallymill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return _reader(spark).schema(df.schema).parquet(path)
+    made = _reader(spark).schema(df.schema).parquet(path)
+    made.tallymill_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "tallymill_path", None)
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
