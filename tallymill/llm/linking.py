@@ -94,17 +94,23 @@ def _pairs(stars: DataFrame, may: Callable[[Column, Column], Column]) -> DataFra
     return some.select(pick("v", "h.v").alias("a"), pick("x", "h.x").alias("xa"), pick("h.v", "v").alias("b"), pick("h.x", "x").alias("xb")).distinct()
 
 
-def across(keyed: DataFrame, may: Callable[[Column, Column], Column]) -> DataFrame:
+def across(keyed: DataFrame, may: Callable[[Column, Column], Column], meet: Callable[..., Column] | None = None) -> DataFrame:
     """Distinct pairs that share a key, are of different groups and that ``may`` allows, of (key, v, x, c).
 
+    With ``meet``, ``keyed`` has a column ``y`` of what is known of the vertex
+    under the key, and ``meet(xa, ya, xb, yb)`` says whether the pair can be a link by this key.
+
     Of every key the members of the largest group are not compared with each other.
     """
     counts = keyed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     tops = counts.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("top"), F.count(F.lit(1)).alias("groups")).filter(F.col("groups") > 1).select("key", "top")
-    keyed = materialize(keyed.join(tops, "key").select("key", "v", "x", "c", "top"), "keyed")
-    rest = keyed.filter(F.col("c") != F.col("top")).select("key", F.col("v").alias("a"), F.col("x").alias("xa"), F.col("c").alias("ca"))
-    every = keyed.select("key", "top", F.col("v").alias("b"), F.col("x").alias("xb"), F.col("c").alias("cb"))
+    keyed = keyed if meet else keyed.withColumn("y", F.lit(0))
+    keyed = materialize(keyed.join(tops, "key").select("key", "v", "x", "c", "y", "top"), "keyed")
+    rest = keyed.filter(F.col("c") != F.col("top")).select("key", F.col("v").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("c").alias("ca"))
+    every = keyed.select("key", "top", F.col("v").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("c").alias("cb"))
     once = (F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))
+    if meet:
+        once = once & meet(*map(F.col, ("xa", "ya", "xb", "yb")))
     both = rest.join(every, (rest["key"] == every["key"]) & (F.col("ca") != F.col("cb")) & once & may(F.col("xa"), F.col("xb")))
     return _pairs(both.select(F.col("a").alias("v"), F.col("xa").alias("x"), F.struct(F.col("b").alias("v"), F.col("xb").alias("x")).alias("h")), may)
 
@@ -115,6 +121,7 @@ def connect(
     about: DataFrame | None = None,
     may: Callable[[Column, Column], Column] = lambda xa, xb: F.lit(True),
     narrow: Callable[[DataFrame], DataFrame] | None = None,
+    meet: Callable[..., Column] | None = None,
     prepare: Callable[[DataFrame], None] | None = None,
     rounds: int = ROUNDS,
 ) -> DataFrame:
@@ -124,7 +131,7 @@ def connect(
     be a link. ``verify`` takes distinct pairs (a, xa, b, xb), a < b, and
     returns those (a, b) that are links. ``narrow`` makes rows (key, v, x, c)
     of the open vertices (v, x, c) such that every link between groups shares
-    a key. ``prepare`` gets the vertices that share a bucket, before the first pairs.
+    a key, for ``meet`` with a column ``y`` (see ``across``). ``prepare`` gets the vertices that share a bucket, before the first pairs.
     """
     nothing = members.sparkSession.createDataFrame([], "v long, c long")
     hubs = members.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key", "lo")
@@ -168,7 +175,7 @@ def connect(
         return nothing if groups is None else groups
     rest = m.join(F.broadcast(ends) if buckets <= BROADCAST_BUCKETS else ends, "key").select("key", "v", "x", "c")
     keyed = narrow(materialize(sized(rest.select("v", "x", "c").distinct(), size), "open")) if narrow else rest
-    fresh = materialize(across(keyed, may).join(tested.select("a", "b"), ["a", "b"], "left_anti").select(*tested.columns), "pairs")
+    fresh = materialize(across(keyed, may, meet if narrow else None).join(tested.select("a", "b"), ["a", "b"], "left_anti").select(*tested.columns), "pairs")
     if not fresh.isEmpty():
         groups = _united(groups, materialize(verify(fresh), "links"))
     return nothing if groups is None else groups

@@ -1,10 +1,12 @@
 """Fuzzy line deduplication by SimHash.
 
 Lines are normalized (lower case, no white space or punctuation at the ends).
-The 64 bits of a line's SimHash are the majority votes of its words' hashes,
-whatever the line's length. Two SimHashes at most two bits apart agree on two
-of four blocks whole, so every line stands under the six pairs of its blocks,
-and with it whatever else agrees on 32 bits. A replaced word moves more bits
+The 64 bits of a line's SimHash are the majority votes of the hashes of its
+words of five characters or more, or of all where it has none of these: shorter
+ones are function words mostly, which would make all long lines of a language
+alike. Two SimHashes at most one bit apart agree on three of four blocks whole,
+so every line stands under the four choices of three blocks, and with it
+whatever else agrees on 48 bits. A replaced word moves more bits
 than that, so the words are pigeonholed too: by their hashes eight to sixteen
 of them (in short lines all) fall into four parts, and a line stands under the
 words of each two parts. One replaced word, two left out or two put in touch
@@ -37,14 +39,16 @@ from tallymill.llm.linking import TASK_BYTES, connect, sized
 from tallymill.session import materialize
 
 #: Blocks of a SimHash and how many of them agree in a bucket; the bits that the SimHashes of candidates differ in at most.
-SIMILARITY, BLOCKS, AGREE, BITS_APART = 0.8, 4, 2, 20
+SIMILARITY, BLOCKS, AGREE, BITS_APART = 0.8, 4, 3, 20
 _EDGES = " \t\r.,;:!?\"'()[]|-"
 #: Four lanes of a long; the most votes that their comparison bears; the characters that can hold no more words.
 _LANES, _MOST, _LONG = 0x0001000100010001, 8191, 16_000
+#: A word of five characters within a line.
+_WORD = r"[^ \t\r.,;:!?\"'()\[\]|-]{5}"
 #: Parts of the sampled words, how many make a key, and the words that the sample has on an average at least.
 _PARTS, _CHOSEN, _SAMPLE = 4, 2, 8
 #: Widths of the bands in which an edit distance is looked for, before the allowed one.
-_BANDS = (24, 96, 384, 1536, 6144, 24576)
+_BANDS = (24, 192, 1536, 12288)
 #: Up to this many line ids (8 bytes each), or places of dropped lines (4 bytes each, 8 places' worth a document), are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_PLACES = 1_000_000, 4_000_000
 #: Pairs and characters that one task compares.
@@ -79,7 +83,7 @@ def _coded(docs: DataFrame) -> DataFrame:
     by turns, else lines of two words would be mostly zeros. Four counts share
     a long, 16 bits each, and are compared with half the votes together; the
     few lines of so many words that this could overflow are counted bit by bit.
-    A part is the exclusive or of its words' hashes; ``seen`` has 16 bits a
+    A part is the sum of 31 bits of its words' hashes; ``seen`` has 16 bits a
     part, one of which each of its words sets. Both stand there for the sample
     that a line has and for the next one.
     """
@@ -89,27 +93,31 @@ def _coded(docs: DataFrame) -> DataFrame:
         # beside an explode in one select these would be computed for every word
         spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
         scale = F.greatest(F.floor(F.log2(spaces.cast("double") / _SAMPLE)).cast("int"), F.lit(0))
-        lines = some.select(*keys[:4], F.xxhash64("norm").alias("lid"), F.length("norm").alias("n"), spaces.alias("spaces"), F.call_function("shiftleft", F.lit(1), scale).alias("scale"), "norm")
-        words = lines.select(*keys, "scale", "spaces", F.explode_outer(F.split("norm", " ")).alias("word")).withColumn("word", F.trim("word", F.lit(_EDGES)))
-        words = words.filter(F.col("word") != "").select(*keys, "scale", "spaces", F.xxhash64("word").alias("h"))
+        picky = F.rlike("norm", F.lit(_WORD))
+        lines = some.select(*keys[:4], picky.alias("picky"), F.xxhash64("norm").alias("lid"), F.length("norm").alias("n"), spaces.alias("spaces"), F.call_function("shiftleft", F.lit(1), scale).alias("scale"), "norm")
+        words = lines.select(*keys, "scale", "spaces", "picky", F.explode_outer(F.split("norm", " ")).alias("word")).withColumn("word", F.trim("word", F.lit(_EDGES)))
+        votes = (F.length("word") > 4) | ~F.col("picky")
+        words = words.filter(F.col("word") != "").select(*keys, "scale", "spaces", votes.alias("votes"), F.xxhash64("word").alias("h"))
+        heard = lambda c: F.when(F.col("votes"), c).otherwise(F.lit(0).cast("long"))
         sampled = F.shiftrightunsigned("h", 40).cast("int")
         words = words.withColumns({f"at{j}": sampled.bitwiseAND(F.col("scale") * F.lit(_PARTS << j) - F.lit(1)) for j in (0, 1)})
+        words = words.withColumn("heard", heard(F.col("h")))
         nil, parts = F.lit(0).cast("long"), []
         for j in (0, 1):
             at = F.col(f"at{j}")
             bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(15).cast("int") + at * 16)
             parts.append(F.bit_or(F.when(at < _PARTS, bit).otherwise(nil)).alias(f"seen{j}"))
-            parts += [F.bit_xor(F.when(at == i, F.col("h")).otherwise(nil)).alias(f"part{j}{i}") for i in range(_PARTS)]
-        counts = [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(mask).cast("long"))).alias(f"s{i}") for i in range(bits)]
-        return words.groupBy(*keys, "scale", "spaces").agg(F.count(F.lit(1)).alias("n_words"), F.max("h").alias("tie0"), F.min("h").alias("tie1"), *parts, *counts)
+            parts += [F.sum(F.when(at == i, F.col("h").bitwiseAND(0x7FFFFFFF)).otherwise(nil)).alias(f"part{j}{i}") for i in range(_PARTS)]
+        counts = [F.sum(F.shiftright("heard", i).bitwiseAND(F.lit(mask).cast("long"))).alias(f"s{i}") for i in range(bits)]
+        return words.groupBy(*keys, "scale", "spaces").agg(F.count_if("votes").alias("n_votes"), F.count(F.lit(1)).alias("n_words"), F.max(F.when(F.col("votes"), F.col("h"))).alias("tie0"), F.min(F.when(F.col("votes"), F.col("h"))).alias("tie1"), *parts, *counts)
 
     out = [*keys, "scale", "spaces", "n_words", *[f"{x}{j}{i}" for j in (0, 1) for x, i in [("seen", ""), *[("part", i) for i in range(_PARTS)]]]]
     short = votes(_numbered(docs).filter(F.length("norm") < _LONG), _LANES, 16)
-    spare = (F.lit(_MOST) - F.col("n_words")) * F.lit(_LANES)  # brings a lane that has more than half to the bit above _MOST
+    spare = (F.lit(_MOST) - F.col("n_votes")) * F.lit(_LANES)  # brings a lane that has more than half to the bit above _MOST
     tied = lambda i, mask: F.shiftright(f"tie{i % 2}", i).bitwiseAND(F.lit(mask).cast("long"))
     packed = [F.shiftright(F.shiftleft(f"s{i}", 1) + tied(i, _LANES) + spare, _MOST.bit_length()).bitwiseAND(_LANES) for i in range(16)]
     long = votes(_numbered(docs.filter(F.length("text") >= _LONG)).filter(F.length("norm") >= _LONG), 1, 64)
-    single = [(F.col(f"s{i}") * 2 + tied(i, 1) > F.col("n_words")).cast("long") for i in range(64)]
+    single = [(F.col(f"s{i}") * 2 + tied(i, 1) > F.col("n_votes")).cast("long") for i in range(64)]
     both = short.select(*out, _either(packed).alias("simhash")).unionByName(long.select(*out, _either(single).alias("simhash")))
     return both.select(*keys, "simhash", F.concat(block_keys(F.col("simhash")), part_keys()).alias("keys"))
 
@@ -144,10 +152,10 @@ def _near(a: Column, b: Column, similarity: float) -> Column:
     """Whether the edit distance is at most the allowed share of the longer text, by bands as narrow as settle it."""
     longest = F.greatest(F.length(a), F.length(b))
     allowed = _allowed(longest, similarity)
-    out = F.call_function("levenshtein", a, b, allowed) >= 0
-    for band in reversed(_BANDS):
-        d = F.levenshtein(a, b, band)
-        out = F.when(d >= 0, d <= allowed).when(allowed <= band, F.lit(False)).otherwise(out)
+    within = lambda band: F.call_function("levenshtein", a, b, band) >= 0
+    out = within(F.least(allowed, F.lit(_BANDS[0])))
+    for narrower, band in zip(_BANDS, (*_BANDS[1:], None), strict=True):
+        out = out | ((allowed > narrower) & within(allowed if band is None else F.least(allowed, F.lit(band))))
     return (F.least(F.length(a), F.length(b)) >= longest - allowed) & out
 
 

@@ -15,7 +15,7 @@ bucket members are compared with hubs, and every candidate pair is verified on
 the multisets: overlap over union of 0.8 or more. Buckets that stay open are
 settled whole (see linking.py): of two multisets that are so near, the rarest
 fifth of either shares an element, so those of the open vertices are joined on
-these. Recall: a pair at exactly 0.8 shares one of 20 bands of 6 with
+these, where enough elements follow in both. Recall: a pair at exactly 0.8 shares one of 20 bands of 6 with
 probability 0.998.
 
 Edge cases: null and empty texts have no words and are copies of each other; a
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.llm.batches import bounded_batches
@@ -167,17 +167,17 @@ def _lists(lengths: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
 
 
 def _rarest(profiles: DataFrame, similarity: float) -> DataFrame:
-    """(key, v, x, c) of those elements of (v, x, c, elems) of which two sets so near share one.
+    """(key, v, x, c, y) of those elements of (v, x, c, elems) of which two sets so near share one.
 
-    Elements stand by how many of the sets have them; a set of n has
-    n - ceil(similarity * n) + 1 of the rarest to show.
+    Elements stand by how many of the sets have them, ``y`` is an element's
+    place; a set of n has n - ceil(similarity * n) + 1 of the rarest to show.
     """
     spread = materialize(profiles.select("v", "x", "c", F.explode("elems").alias("key")), "elements")
     often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     order = Window.partitionBy("v").orderBy("often", "key")
     shown = F.col("x") - F.ceil(F.col("x") * F.lit(similarity) - F.lit(1e-9)) + 1
     ranked = spread.join(often, "key").withColumn("at", F.row_number().over(order))
-    return ranked.filter((F.col("at") <= shown) & (F.col("lo") < F.col("hi"))).select("key", "v", "x", "c")
+    return ranked.filter((F.col("at") <= shown) & (F.col("lo") < F.col("hi"))).select("key", "v", "x", "c", F.col("at").alias("y"))
 
 
 def near_duplicate_classes(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -193,6 +193,10 @@ def near_duplicate_classes(rows: DataFrame, similarity: float = SIMILARITY, shin
     members = reps.select(F.explode("bands").alias("key"), F.col("head.rid").alias("v"))
     close = lambda p, q: F.least(p, q) >= F.lit(similarity) * F.greatest(p, q)
 
+    def meet(xa: Column, ya: Column, xb: Column, yb: Column) -> Column:
+        """The first element that two sets share has enough elements behind it in both; no other one has to."""
+        return F.least(xa - ya, xb - yb) + 1 >= F.lit(similarity / (1 + similarity)) * (xa + xb) - F.lit(1e-9)
+
     def profiles(vertices: DataFrame, few: bool) -> DataFrame:
         return made.select(F.col("rid").alias("v"), "elems").join(F.broadcast(vertices) if few else vertices, "v")
 
@@ -208,7 +212,7 @@ def near_duplicate_classes(rows: DataFrame, similarity: float = SIMILARITY, shin
         near = common.cast("double") >= F.lit(similarity) * (F.col("xa") + F.col("xb") - common)
         return sized(both.filter(near).select("a", "b"), size)
 
-    groups = connect(members, verify, reps.select(F.col("head.rid").alias("v"), "x"), close, narrow)
+    groups = connect(members, verify, reps.select(F.col("head.rid").alias("v"), "x"), close, narrow, meet)
     named = reps.join(groups, F.col("head.rid") == F.col("v"), "left").select("digest", "head", "copies", F.coalesce("c", "head.rid").alias("c"))
     heads = named.groupBy("c").agg(F.min("head").alias("top"), F.sum("copies").alias("class_size"))
     classes = named.select("digest", "c").join(heads, "c").select("digest", "top", "class_size")
