@@ -22,7 +22,7 @@ def money(c: str) -> Column:
     return F.sum(F.col(c).cast("decimal(18,2)"))
 
 
-def threshold_breach(t: DataFrame, single: float, daily: float) -> DataFrame:
+def threshold_breach(t: DataFrame, single: float = 150_000, daily: float = 500_000) -> DataFrame:
     """Rows above ``single``, or that bring their sender's day above ``daily``."""
     w = Window.partitionBy("sender", F.to_date("ts")).orderBy("at", "txn").rowsBetween(Window.unboundedPreceding, 0)
     s = t.withColumn("day_sum", money("amount").over(w).cast("double"))
@@ -49,13 +49,19 @@ def rapid_escalation(t: DataFrame, days: int, volume: float) -> DataFrame:
     return young.groupBy("sender").agg(money("amount").cast("double").alias("volume"), F.count(F.lit(1)).alias("n")).filter(F.col("volume") > volume).withColumn("flag", F.lit("RAPID_ESCALATION"))
 
 
-def float_anomaly(t: DataFrame, growth: float, span: int, count: int, each: float) -> DataFrame:
-    """Agents whose window's inflow exceeds ``growth`` while they make more than ``count`` transfers of ``each`` or more."""
+def float_anomaly(t: DataFrame, growth: float = 500_000, span: int = 3 * HOUR, count: int = 10, each: float = 50_000, ratio: float = 4.0, ratio_span: int = 6 * HOUR) -> DataFrame:
+    """Agents whose window's inflow exceeds ``growth`` while they make more than ``count`` transfers of ``each`` or more.
+
+    ``ratio``: of cash in to what is sent in a window of its own, above which the row is marked as of high confidence.
+    """
     w = trailing("agent", span)
     inflow = F.sum(F.when(F.col("kind") == "in", F.col("amount").cast("decimal(18,2)"))).over(w).cast("double")
     sent = F.count(F.when((F.col("kind") == "out") & (F.col("amount") >= each), F.lit(1))).over(w)
-    s = t.withColumns({"float_growth": inflow, "n_out": sent})
-    return s.filter((F.col("float_growth") > growth) & (F.col("n_out") > count)).select("txn", "agent", "float_growth", "n_out", F.lit("CUCKOO_SMURFING_RISK").alias("flag"))
+    wide = trailing("agent", ratio_span)
+    cash = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("amount").cast("decimal(18,2)"))).over(wide).cast("double"), F.lit(0.0))
+    s = t.withColumns({"float_growth": inflow, "n_out": sent, "high_confidence": cash("in") > ratio * cash("out")})
+    hit = (F.col("float_growth") > growth) & (F.col("n_out") > count)
+    return s.filter(hit).select("txn", "agent", "float_growth", "n_out", "high_confidence", F.lit("CUCKOO_SMURFING_RISK").alias("flag"))
 
 
 def geographic(t: DataFrame, places: int, span: int = 12 * HOUR) -> DataFrame:
@@ -75,6 +81,27 @@ def fan(t: DataFrame, one: str, many: str, low: float, high: float, span: int, p
     return s.filter((F.col("parties") >= parties) & (F.col("total") > total)).select("txn", one, "parties", "total")
 
 
+def new_sender_wave(t: DataFrame, opened: DataFrame, low: float = 140_000, high: float = 149_999, days: int = 7, span: int = 2 * HOUR, senders: int = 3) -> DataFrame:
+    """Receivers that ``senders`` or more accounts younger than ``days`` pay amounts in a band within ``span`` seconds. ``opened``: (sender, opened_at in seconds)."""
+    young = t.filter(F.col("amount").between(low, high)).join(opened, "sender").filter((F.col("at") - F.col("opened_at")).between(0, days * DAY - 1))
+    w = trailing("receiver", span)
+    s = young.withColumns({"parties": F.size(F.collect_set("sender").over(w)).cast("long"), "total": money("amount").over(w).cast("double")})
+    return s.filter(F.col("parties") >= senders).select("txn", "receiver", "parties", "total")
+
+
+def gathered_withdrawal(t: DataFrame, deposit: float = 100_000, agents: int = 10, span: int = 4 * HOUR, withdrawal: float = 900_000) -> DataFrame:
+    """Withdrawals of ``withdrawal`` or more from accounts that got deposits of just ``deposit`` at ``agents`` or more agents in the ``span`` seconds before."""
+    w = trailing("account", span)
+    s = t.withColumn("n_agents", F.size(F.collect_set(F.when((F.col("kind") == "in") & (F.col("amount") == deposit), F.col("agent"))).over(w)).cast("long"))
+    return s.filter((F.col("kind") == "out") & (F.col("amount") >= withdrawal) & (F.col("n_agents") >= agents)).select("txn", "account", "n_agents")
+
+
+def to_bank(chains_: DataFrame, bank: DataFrame, span: int = 90 * 60) -> DataFrame:
+    """Chains (target, at) whose last account pays a bank (account, at2) within ``span`` seconds of the chain's first hop."""
+    in_time = (F.col("at2") >= F.col("at")) & (F.col("at2") <= F.col("at") + span)
+    return _within(chains_, bank.select(F.col("account").alias("bank_account"), "at2"), span, ("target", "bank_account"), in_time).select(*chains_.columns).distinct()
+
+
 def cooling_off(t: DataFrame, low: float, high: float, gap_low: int, gap_high: int, repeats: int, span: int = 12 * HOUR) -> DataFrame:
     """Rows of a pair in a band whose gap to the one before is in a range, ``repeats`` times within the span."""
     banded = t.filter(F.col("amount").between(low, high))
@@ -91,7 +118,7 @@ def _within(a: DataFrame, b: DataFrame, span: int, on: tuple[str, str], where: C
     return left.join(right, (left[on[0]] == right[on[1]]) & (left["__bucket"] == right["__b"]) & where).drop("__bucket", "__b")
 
 
-def chains(t: DataFrame, low: float, span: int) -> DataFrame:
+def chains(t: DataFrame, low: float = 145_000, span: int = 90 * 60, keep_time: bool = False) -> DataFrame:
     """Three hops A to B to C to D of ``low`` or more within ``span`` seconds of the first."""
     hop = t.filter(F.col("amount") >= low).select("txn", "sender", "receiver", "at")
     second = hop.toDF("txn2", "s2", "r2", "at2")
@@ -99,7 +126,7 @@ def chains(t: DataFrame, low: float, span: int) -> DataFrame:
     in_time = (F.col("at2") > F.col("at")) & (F.col("at2") <= F.col("at") + span)
     two = _within(hop, second, span, ("receiver", "s2"), in_time).filter(F.col("r2") != F.col("sender")).withColumnRenamed("at2", "mid")
     three = _within(two, third, span, ("r2", "s3"), in_time & (F.col("at2") > F.col("mid")))
-    return three.filter((F.col("r3") != F.col("sender")) & (F.col("r3") != F.col("receiver"))).select("txn", "txn2", "txn3", F.col("sender").alias("source"), F.col("r3").alias("target"))
+    return three.filter((F.col("r3") != F.col("sender")) & (F.col("r3") != F.col("receiver"))).select("txn", "txn2", "txn3", F.col("sender").alias("source"), F.col("r3").alias("target"), *([F.col("at")] if keep_time else []))
 
 
 def circular(t: DataFrame, span: int, repeats: int) -> DataFrame:
@@ -122,10 +149,16 @@ def rolling_sum_alert(t: DataFrame, limit: float, span: int = 30 * DAY) -> DataF
 
 
 def replays(t: DataFrame, receipt: str, request: str, span: int = 90 * DAY) -> DataFrame:
-    """Rows whose receipt was seen with another request up to ``span`` seconds before."""
+    """Rows whose receipt was seen with another request up to ``span`` seconds before.
+
+    The last row of another request stands before the run of equal requests
+    that a row is in, so it is carried along from the run's first row.
+    """
     w = Window.partitionBy(receipt).orderBy("at", request)
-    s = t.withColumns({"seen_at": F.lag("at").over(w), "seen": F.lag(request).over(w)})
-    return s.filter((F.col("seen") != F.col(request)) & (F.col("at") - F.col("seen_at") <= span)).select(receipt, request, F.col("seen").alias("earlier_request"))
+    before = F.when(F.lag(request).over(w) != F.col(request), F.struct(F.lag("at").over(w).alias("at"), F.lag(request).over(w).alias("request")))
+    s = t.withColumn("__before", before)
+    s = s.withColumn("__before", F.last("__before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.filter(F.col("at") - F.col("__before.at") <= span).select(receipt, request, F.col("__before.request").alias("earlier_request"))
 
 
 def fraud_features(t: DataFrame) -> DataFrame:
@@ -149,13 +182,63 @@ def escalates(risk: Column, at: float = 0.7) -> Column:
     return risk >= F.lit(at)
 
 
-def credit_features(t: DataFrame, key: str = "sender") -> DataFrame:
-    """Per account: volume, spread and the slope of amounts over time, with a decision band by regularity."""
-    by = t.groupBy(key).agg(
+def credit_features(t: DataFrame, key: str = "sender", other: str = "receiver") -> DataFrame:
+    """Per account: volume, spread, frequency, the slope of amounts over time, regularity and the network of its parties."""
+    gap = F.col("at") - F.lag("at").over(Window.partitionBy(key).orderBy("at", "txn"))
+    days = F.greatest((F.max("at") - F.min("at")) / F.lit(DAY), F.lit(1.0))
+    by = t.withColumn("__gap", gap).groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
         money("amount").cast("double").alias("volume"),
         F.round(money("amount").cast("double") / F.count("amount"), 6).alias("avg_amount"),
-        F.countDistinct("receiver").alias("parties"),
+        F.countDistinct(other).alias("parties"),
         F.round(F.regr_slope("amount", F.col("at") / F.lit(DAY)), 3).alias("slope_per_day"),
+        F.round(F.count(F.lit(1)) / days, 6).alias("txn_frequency_per_day"),
+        F.round(F.stddev_samp("__gap"), 3).alias("txn_interval_deviation"),
+        F.round((F.max("at") - F.min("at")) / F.lit(DAY), 6).alias("wallet_age_days"),
+    )
+    return by
+
+
+def monthly_income(t: DataFrame, key: str = "receiver") -> DataFrame:
+    """Per account: mean, coefficient of variation and slope of its monthly inflow."""
+    month = F.date_format("ts", "yyyy-MM")
+    by = t.groupBy(key, month.alias("month")).agg(money("amount").cast("double").alias("income"))
+    step = F.row_number().over(Window.partitionBy(key).orderBy("month")).cast("double")
+    s = by.withColumn("step", step).groupBy(key).agg(
+        F.count(F.lit(1)).alias("months"),
+        F.avg("income").alias("mean"),
+        F.stddev_samp("income").alias("deviation"),
+        F.regr_slope("income", "step").alias("slope"),
     )
-    return by.withColumn("band", F.when(F.col("n") >= 20, "approve").when(F.col("n") >= 10, "review").otherwise("decline"))
+    cv = F.when(F.col("mean") > 0, F.col("deviation") / F.col("mean"))
+    return s.select(key, "months", F.round("mean", 4).alias("avg_monthly_income"), F.round(cv, 6).alias("income_volatility_cv"), F.round("slope", 3).alias("income_growth_trend"))
+
+
+def reciprocity(t: DataFrame) -> DataFrame:
+    """Per account: transfers received per transfer sent, and how many parties it has had dealings with."""
+    out = t.select(F.col("sender").alias("account"), F.col("receiver").alias("party"), F.lit(1).alias("o"), F.lit(0).alias("i"))
+    into = t.select(F.col("receiver").alias("account"), F.col("sender").alias("party"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    by = out.unionByName(into).groupBy("account").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.countDistinct("party").alias("network_density"))
+    return by.withColumn("reciprocity_score", F.round(F.when(F.col("n_out") > 0, F.col("n_in") / F.col("n_out")), 6))
+
+
+def credit_decision(probability: Column) -> Column:
+    """Fixed cut-offs of the default probability: 0.14 and above declines, 0.09 and above refers, below approves."""
+    return F.when(probability >= 0.14, "DECLINE").when(probability >= 0.09, "REFER").when(probability < 0.09, "APPROVE")
+
+
+# Codes by feature, with the contribution that they need; at most six are given.
+ADVERSE = (("avg_monthly_income_6m", 0.02, "RC-001"), ("fuliza_repayment_rate", 0.02, "RC-002"), ("income_volatility_cv", 0.02, "RC-003"), ("min_monthly_balance_6m", 0.02, "RC-004"), ("max_delinquency_days", 0.02, "RC-005"), ("savings_rate", 0.01, "RC-006"))
+FAVOURABLE = (("avg_monthly_income_6m", -0.02, "RC-101"), ("fuliza_repayment_rate", -0.02, "RC-102"), ("savings_rate", -0.02, "RC-103"), ("merchant_diversity", -0.02, "RC-104"), ("txn_regularity_score", -0.02, "RC-105"), ("wallet_age_days", -0.02, "RC-106"))
+MOST_CODES = 6
+
+
+def reason_codes(contributions: Column) -> Column:
+    """Codes of a map from feature to contribution, the greatest contributions first, ties by code."""
+    ranked = []
+    for feature, limit, code in (*ADVERSE, *FAVOURABLE):
+        value = F.try_element_at(contributions, F.lit(feature))
+        beyond = value > limit if limit > 0 else value < limit
+        ranked.append(F.when(beyond, F.struct((-F.abs(value)).alias("by"), F.lit(code).alias("code"))))
+    top = F.slice(F.array_sort(F.array_compact(F.array(*ranked))), 1, MOST_CODES)
+    return F.transform(top, lambda x: x["code"])

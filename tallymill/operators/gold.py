@@ -74,11 +74,16 @@ def features(facts: DataFrame, dim: DataFrame) -> DataFrame:
     return zscore_global(high_risk(customer_stats(joined, null_keys=False)), over=joined)
 
 
-def write(features_: DataFrame, orphans_: DataFrame, path: str, version: str = "1.0") -> None:
-    """Features by day, orphans beside them, and a one-line manifest."""
+def write(features_: DataFrame, orphans_: DataFrame, path: str, version: str = "1.0", facts: DataFrame | None = None, dim: DataFrame | None = None) -> None:
+    """Features by day, orphans beside them, and a one-line manifest: rows in and out, the time and the columns' types."""
     root = f"{path}/v{version.removeprefix('v')}"
     features_.write.mode("overwrite").partitionBy("partition_date").parquet(f"{root}/features")
     orphans_.write.mode("overwrite").parquet(f"{root}/orphans")
-    columns = json.dumps(features_.columns)
-    counts = features_.agg(F.count(F.lit(1)).alias("rows")).crossJoin(orphans_.agg(F.count(F.lit(1)).alias("orphans")))
-    counts.withColumns({"version": F.lit(version), "columns": F.lit(columns)}).coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+    spark = features_.sparkSession
+    rows = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    counts = rows(spark.read.parquet(f"{root}/features"), "output_rows").crossJoin(rows(spark.read.parquet(f"{root}/orphans"), "orphan_rows"))
+    for name, df in (("input_rows_fact", facts), ("input_rows_dim", dim)):
+        counts = counts.withColumn(name, F.lit(None).cast("long")) if df is None else counts.crossJoin(rows(df, name))
+    about = {"version": F.lit(version), "timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "schema": F.lit(json.dumps(dict(features_.dtypes)))}
+    about |= {"rows": F.col("output_rows"), "orphans": F.col("orphan_rows")}
+    counts.withColumns(about).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/manifest")

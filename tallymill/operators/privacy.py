@@ -77,3 +77,13 @@ def psi(df: DataFrame, value: str, sample: str, edges: list[float]) -> DataFrame
     p = counts.crossJoin(F.broadcast(total)).select("bucket", (F.col("a") / F.col("ta")).alias("expected"), (F.col("b") / F.col("tb")).alias("actual"))
     low = lambda c: F.greatest(F.col(c), F.lit(1e-6))
     return p.withColumn("part", (low("actual") - low("expected")) * F.log(low("actual") / low("expected")))
+
+
+# Fixed value: the index at which a drifted feature raises an alert.
+PSI_ALERT = 0.15
+
+
+def psi_alert(df: DataFrame, value: str, sample: str, edges: list[float], at: float = PSI_ALERT) -> DataFrame:
+    """One row: the index, summed over the buckets, and whether it reaches ``at``."""
+    total = psi(df, value, sample, edges).agg(F.sum("part").alias("psi"))
+    return total.withColumn("alert", F.col("psi") >= at)

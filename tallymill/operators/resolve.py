@@ -46,10 +46,10 @@ def least_ratio(threshold: float) -> float:
 
 
 def similar_pairs(df: DataFrame, key: str, name: str, block: Column, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
-    """(left_id, right_id, similarity) of distinct names that share a block.
+    """(left_id, right_id, similarity) of distinct names that share a block, by the least id of each.
 
-    Equal names meet once: names are made distinct first and ids joined back
-    by the least id of a name, so copies don't multiply pairs.
+    Names are made distinct first, so copies don't multiply pairs;
+    ``same_names`` says whose ids a name's least id stands for.
     """
 
     @F.pandas_udf("double")
@@ -62,3 +62,10 @@ def similar_pairs(df: DataFrame, key: str, name: str, block: Column, threshold:
     fits = (F.col("id") < F.col("id2")) & (F.least(F.length("n"), F.length("n2")) >= least_ratio(threshold) * F.greatest(F.length("n"), F.length("n2")))
     pairs = names.join(other, "__block").filter(fits).withColumn("similarity", score("n", "n2"))
     return pairs.filter(F.col("similarity") >= threshold).select(F.col("id").alias("left_id"), F.col("id2").alias("right_id"), F.round("similarity", 6).alias("similarity"))
+
+
+def same_names(df: DataFrame, key: str, name: str, block: Column) -> DataFrame:
+    """(id, name_id) of every row with a name: the least id of its name in its block, which ``similar_pairs`` knows it by."""
+    rows = df.filter(F.col(name).isNotNull()).withColumn("__block", block)
+    least = rows.groupBy(F.col("__block").alias("__b"), F.col(name).alias("__n")).agg(F.min(key).alias("name_id"))
+    return rows.join(least, F.col("__block").eqNullSafe(F.col("__b")) & (F.col(name) == F.col("__n"))).select(F.col(key).alias("id"), "name_id")

@@ -10,26 +10,36 @@ from pyspark.sql import functions as F
 from tallymill import rules
 from tallymill.functions.text import strip_all
 from tallymill.operators.latest import keep_latest
+from tallymill.session import materialize
 
 # The version of the resolution logic and the threshold of fuzzy name matches.
 ER_LOGIC_VERSION = "v1.0"
 FUZZY_THRESHOLD = 0.85
 
 
+def utc_time(text: Column) -> Column:
+    """A string's time in UTC; null where it is none."""
+    local = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(text.rlike(r":\d{2}(\.\d+)?\s*(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)\s*$"), local).otherwise(text.try_cast("timestamp_ntz"))
+
+
 def standardize(df: DataFrame) -> DataFrame:
-    """email lower, name upper, both stripped; currency USD where null; amount and timestamp typed, null where they can't be."""
+    """email lower, name upper, both stripped; currency upper, USD where null; amount and timestamp typed, null where they can't be.
+
+    A time with an offset or Z is turned into UTC, one without is taken as UTC, whatever the session's zone.
+    """
     made = {}
     if "email" in df.columns:
         made["email"] = strip_all(F.lower("email"))
     if "customer_name" in df.columns:
         made["customer_name"] = strip_all(F.upper("customer_name"))
     if "currency" in df.columns:
-        made["currency"] = F.coalesce("currency", F.lit("USD"))
+        made["currency"] = F.coalesce(F.upper("currency"), F.lit("USD"))
     types = dict(df.dtypes)
     if types.get("amount", "double") != "double":
         made["amount"] = F.expr("try_cast(amount AS double)")
     if types.get("timestamp") == "string":
-        made["timestamp"] = F.expr("try_cast(timestamp AS timestamp_ntz)")
+        made["timestamp"] = utc_time(F.col("timestamp"))
     return df.withColumns(made)
 
 
@@ -102,10 +112,27 @@ def drift_report(bronze: DataFrame, facts: DataFrame, dim: DataFrame, partition_
     )
 
 
+def write(tables: dict[str, DataFrame], root: str, partition_key: str) -> None:
+    """Facts and dimension of a partition replace what is there; quarantine and drift are appended, drift by columns that are there or new."""
+    for name in ("facts", "dimension"):
+        tables[name].write.mode("overwrite").parquet(f"{root}/{name}/{partition_key}")
+    write_quarantine(tables["quarantine"], f"{root}/quarantine")
+    append_drift(tables["drift"], f"{root}/drift")
+
+
+def append_drift(report: DataFrame, path: str) -> None:
+    report.write.mode("append").parquet(path)
+
+
 def build(bronze: DataFrame, partition_key: str | None = None, suite: Sequence[rules.Rule] = rules.DEFAULT_SUITE, run_id: str = "") -> dict[str, DataFrame]:
-    """All of Silver from one Bronze partition: facts, dimension, quarantine, drift."""
-    clean = standardize(bronze)
-    facts, dim = split_fact_dimension(clean)
+    """All of Silver from one Bronze partition: facts, dimension, quarantine, drift.
+
+    The standardized rows, the dimension and the facts are written to the shared
+    folder first, since each of the four tables reads them.
+    """
+    clean = materialize(standardize(bronze), "standardized")
+    dim = materialize(customer_dimension(clean), "dimension")
+    facts = materialize(attach_golden_id(transaction_facts(clean), dim), "facts")
     good, bad = rules.split(facts, suite)
     good_dim, bad_dim = rules.split(dim, suite)
     held = quarantine(bad, partition_key, run_id=run_id).unionByName(quarantine(bad_dim, partition_key, run_id=run_id), allowMissingColumns=True)

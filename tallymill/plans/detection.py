@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallymill.operators import callbacks
 from tallymill.operators import detection as d
 from tallymill.plans.registry import query
 from tallymill.session import read_table
@@ -58,9 +59,10 @@ def aml_rapid_escalation(spark, sf_dir):
     return d.rapid_escalation(transfers(spark, sf_dir), 7, 700_000)
 
 
-@query("aml_float_anomaly", f"WITH {T}, s AS (SELECT txn, agent, (sum(CASE WHEN kind = 'in' THEN amount::DECIMAL(18,2) END) {_w('agent', 12 * HOUR)})::DOUBLE AS float_growth, count(CASE WHEN kind = 'out' AND amount >= 30000 THEN 1 END) {_w('agent', 12 * HOUR)} AS n_out FROM t) SELECT *, 'CUCKOO_SMURFING_RISK' AS flag FROM s WHERE float_growth > 300000 AND n_out > 3")
+@query("aml_float_anomaly", f"""WITH {T}, s AS (SELECT txn, agent, (sum(CASE WHEN kind = 'in' THEN amount::DECIMAL(18,2) END) {_w('agent', 12 * HOUR)})::DOUBLE AS float_growth, count(CASE WHEN kind = 'out' AND amount >= 30000 THEN 1 END) {_w('agent', 12 * HOUR)} AS n_out,
+  coalesce((sum(CASE WHEN kind = 'in' THEN amount::DECIMAL(18,2) END) {_w('agent', 6 * HOUR)})::DOUBLE, 0) > 1.0::DOUBLE * coalesce((sum(CASE WHEN kind = 'out' THEN amount::DECIMAL(18,2) END) {_w('agent', 6 * HOUR)})::DOUBLE, 0) AS high_confidence FROM t) SELECT *, 'CUCKOO_SMURFING_RISK' AS flag FROM s WHERE float_growth > 300000 AND n_out > 3""")
 def aml_float_anomaly(spark, sf_dir):
-    return d.float_anomaly(transfers(spark, sf_dir), 300_000, 12 * HOUR, 3, 30_000)
+    return d.float_anomaly(transfers(spark, sf_dir), 300_000, 12 * HOUR, 3, 30_000, 1.0)
 
 
 @query("aml_geographic", f"WITH {T}, s AS (SELECT txn, sender, len(list_distinct(list(place) {_w('sender', 12 * HOUR)}))::BIGINT AS n_places FROM t) SELECT *, 'GEOGRAPHIC_ANOMALY' AS flag FROM s WHERE n_places > 2")
@@ -108,9 +110,14 @@ def aml_rolling_sum(spark, sf_dir):
     return d.rolling_sum_alert(transfers(spark, sf_dir), 1_500_000, 10 * DAY)
 
 
-@query("aml_replays", f"WITH {T}, s AS (SELECT sender, txn, sec, lag(sec) OVER w AS seen_at, lag(txn) OVER w AS seen FROM t WINDOW w AS (PARTITION BY sender ORDER BY sec, txn)) SELECT sender, txn, seen AS earlier_request FROM s WHERE seen <> txn AND sec - seen_at <= 7200")
+@query(
+    "aml_replays",
+    f"""WITH {T}, x AS (SELECT a.sender, a.place, b.place AS earlier_request, row_number() OVER (PARTITION BY a.txn ORDER BY b.sec DESC, b.place DESC) AS n
+    FROM t a JOIN t b ON b.sender = a.sender AND b.place <> a.place AND a.sec - b.sec <= 7200 AND (b.sec < a.sec OR b.sec = a.sec AND b.place < a.place)) SELECT sender, place, earlier_request FROM x WHERE n = 1""",
+)
 def aml_replays(spark, sf_dir):
-    return d.replays(transfers(spark, sf_dir), "sender", "txn", 2 * HOUR)
+    """Places as requests: runs of the same one, of which each row has been preceded by another."""
+    return d.replays(transfers(spark, sf_dir), "sender", "place", 2 * HOUR)
 
 
 @query(
@@ -129,34 +136,93 @@ def risk_tiers(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", d.risk_tier(risk).alias("tier"), d.escalates(risk).alias("escalate"))
 
 
-@query("credit_features", f"WITH {T} SELECT sender, count(*) AS n, {_SUM}::DOUBLE AS volume, round({_SUM}::DOUBLE / count(amount), 6) AS avg_amount, count(DISTINCT receiver) AS parties, round(regr_slope(amount, sec / 86400), 3) AS slope_per_day, CASE WHEN count(*) >= 20 THEN 'approve' WHEN count(*) >= 10 THEN 'review' ELSE 'decline' END AS band FROM t GROUP BY sender")
+@query(
+    "credit_features",
+    f"""WITH {T}, g AS (SELECT *, sec - lag(sec) OVER (PARTITION BY sender ORDER BY sec, txn) AS gap FROM t)
+    SELECT sender, count(*) AS n, {_SUM}::DOUBLE AS volume, round({_SUM}::DOUBLE / count(amount), 6) AS avg_amount, count(DISTINCT receiver) AS parties, round(regr_slope(amount, sec / 86400), 3) AS slope_per_day,
+    round(count(*) / greatest((max(sec) - min(sec)) / 86400, 1.0::DOUBLE), 6) AS txn_frequency_per_day, round(stddev_samp(gap), 3) AS txn_interval_deviation, round((max(sec) - min(sec)) / 86400, 6) AS wallet_age_days FROM g GROUP BY sender""",
+)
 def credit_features(spark, sf_dir):
     return d.credit_features(transfers(spark, sf_dir))
 
 
-@query("quarantine_alerts", "SELECT c_nationkey, count(*) AS checked, count_if(c_acctbal < 0)::BIGINT AS held, count_if(c_acctbal < 0) / count(*) > 0.05 AS alert FROM customer GROUP BY 1")
+@query(
+    "credit_income",
+    f"""WITH {T}, m AS (SELECT receiver, strftime(ts, '%Y-%m') AS month, {_SUM}::DOUBLE AS income FROM t GROUP BY 1, 2), s AS (SELECT *, row_number() OVER (PARTITION BY receiver ORDER BY month)::DOUBLE AS step FROM m)
+    SELECT receiver, count(*) AS months, round(avg(income), 4) AS avg_monthly_income, round(CASE WHEN avg(income) > 0 THEN stddev_samp(income) / avg(income) END, 6) AS income_volatility_cv, round(regr_slope(income, step), 3) AS income_growth_trend FROM s GROUP BY receiver""",
+)
+def credit_income(spark, sf_dir):
+    return d.monthly_income(transfers(spark, sf_dir))
+
+
+@query(
+    "credit_network",
+    f"""WITH {T}, u AS (SELECT sender AS account, receiver AS party, 1 AS o, 0 AS i FROM t UNION ALL SELECT receiver, sender, 0, 1 FROM t)
+    SELECT account, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in, count(DISTINCT party) AS network_density, round(CASE WHEN sum(o) > 0 THEN sum(i) / sum(o) END, 6) AS reciprocity_score FROM u GROUP BY account""",
+)
+def credit_network(spark, sf_dir):
+    return d.reciprocity(transfers(spark, sf_dir))
+
+
+@query("credit_decisions", "SELECT event_id, CASE WHEN value / 500 >= 0.14 THEN 'DECLINE' WHEN value / 500 >= 0.09 THEN 'REFER' ELSE 'APPROVE' END AS recommendation, concat_ws(',', CASE WHEN value > 50 THEN 'RC-001' END, CASE WHEN value < 40 THEN 'RC-102' END) AS codes FROM events")
+def credit_decisions(spark, sf_dir):
+    """Contributions made up from the value: income speaks against, repayment for the account."""
+    e = read_table(spark, sf_dir, "events")
+    c = F.create_map(F.lit("avg_monthly_income_6m"), F.when(F.col("value") > 50, 0.05).otherwise(0.0), F.lit("fuliza_repayment_rate"), F.when(F.col("value") < 40, -0.03).otherwise(0.0))
+    return e.select("event_id", d.credit_decision(F.col("value") / 500).alias("recommendation"), F.array_join(d.reason_codes(c), ",").alias("codes"))
+
+
+@query("quarantine_alerts", "SELECT c_nationkey, count(*) AS checked, count_if(c_acctbal < 0)::BIGINT AS held, count_if(c_acctbal < 0) / count(*) > 0.05 OR count_if(c_acctbal < 0) > 1000 AS alert FROM customer GROUP BY 1")
 def quarantine_alerts(spark, sf_dir):
+    """By share of a group, or by more than 1,000 rows of it."""
     c = read_table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("c_acctbal") < 0).alias("held"))
-    return c.withColumn("alert", F.col("held") / F.col("checked") > 0.05)
+    return c.withColumn("alert", (F.col("held") / F.col("checked") > 0.05) | (F.col("held") > 1000))
+
+
+def sent_callbacks(spark, sf_dir):
+    """Events as callbacks: some receipts, numbers, amounts and times break the contract, some result codes are missing or failures."""
+    e = read_table(spark, sf_dir, "events")
+    item = lambda n, v: F.struct(F.lit(n).alias("Name"), v.cast("string").alias("Value"))
+    i = F.col("event_id")
+    receipt = F.when(i % 11 == 3, F.lit("short")).otherwise(F.concat(F.lit("R"), F.lpad((i * 7919).cast("string"), 9, "0")))
+    phone = F.concat(F.element_at(F.array(*map(F.lit, ("2547", "07", "7", "+2541", "2559"))), (i % 5 + 1).cast("int")), F.lpad(F.col("user_id").cast("string"), 8, "0"))
+    amount = F.when(i % 17 == 0, F.lit("none")).when(i % 13 == 0, F.lit("-5")).otherwise(F.concat(F.floor("value").cast("string"), F.lit(".129")))
+    when = F.when(i % 19 == 0, F.lit("20990101000000")).when(i % 23 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyyMMddHHmmss"))
+    items = F.array(item("Amount", amount), item("MpesaReceiptNumber", receipt), item("PhoneNumber", phone), item("TransactionDate", when))
+    code = F.when(i % 29 == 0, F.lit(None).cast("int")).when(i % 7 == 0, F.lit(1)).otherwise(F.lit(0))
+    body = F.struct(F.concat(F.lit("m"), i).alias("MerchantRequestID"), F.concat(F.lit("c"), i).alias("CheckoutRequestID"), code.alias("ResultCode"), F.struct(items.alias("Item")).alias("CallbackMetadata"))
+    return e.select("event_id", F.to_json(F.struct(F.struct(body.alias("stkCallback")).alias("Body"))).alias("payload"))
+
+
+CALLBACKS = r"""e AS (SELECT event_id, CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS code,
+  CASE WHEN event_id % 11 = 3 THEN 'short' ELSE 'R' || lpad((event_id * 7919)::VARCHAR, 9, '0') END AS receipt,
+  CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 13 = 0 THEN -5.0 ELSE floor(value) + 0.12 END AS amount,
+  CASE WHEN event_id % 5 = 4 THEN NULL ELSE '254' || CASE WHEN event_id % 5 = 3 THEN '1' ELSE '7' END || lpad(user_id::VARCHAR, 8, '0') END AS phone,
+  event_id % 19 = 0 AS future, event_id % 19 <> 0 AND event_id % 23 = 0 AS no_time FROM events),
+v AS (SELECT *, CASE WHEN code IS DISTINCT FROM 0 THEN '' ELSE concat_ws(',', CASE WHEN NOT regexp_full_match(receipt, '[A-Z0-9]{10}') THEN 'receipt' END, CASE WHEN coalesce(amount < 1 OR amount > 150000, true) THEN 'amount' END,
+  CASE WHEN phone IS NULL THEN 'msisdn' END, CASE WHEN future THEN 'future' END) END AS reasons FROM e)"""
 
 
 @query(
     "callback_payload",
-    """WITH p AS (SELECT event_id, value, user_id FROM events) SELECT event_id, 'R' || lpad((event_id * 7919)::VARCHAR, 9, '0') AS receipt, round(value, 2) AS amount, '254' || lpad(user_id::VARCHAR, 9, '0') AS phone, event_id % 10 <> 0 AS valid FROM p""",
+    f"""WITH {CALLBACKS} SELECT event_id, receipt, round(amount, 2)::DOUBLE AS amount, phone AS msisdn, code AS result_code, reasons, CASE WHEN code IS NULL THEN 'review' WHEN code <> 0 THEN 'failed' WHEN reasons <> '' THEN 'reject' ELSE 'accept' END AS verdict,
+    coalesce(code = 0, NULL) AND no_time AS no_time FROM v""",
 )
 def callback_payload(spark, sf_dir):
-    """A nested callback is rendered and parsed back: items are found by name, receipts and phones validated."""
-    e = read_table(spark, sf_dir, "events")
-    item = lambda n, v: F.struct(F.lit(n).alias("Name"), v.cast("string").alias("Value"))
-    receipt = F.concat(F.lit("R"), F.lpad((F.col("event_id") * 7919).cast("string"), 9, "0"))
-    phone = F.concat(F.lit("254"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
-    items = F.array(item("Amount", F.round("value", 2)), item("Receipt", receipt), item("Phone", phone))
-    sent = e.select("event_id", F.to_json(F.struct(F.struct((F.col("event_id") % 10 == 0).cast("int").alias("ResultCode"), F.struct(items.alias("Item")).alias("Metadata")).alias("Body"))).alias("payload"))
-    schema = "Body struct<ResultCode int, Metadata struct<Item array<struct<Name string, Value string>>>>"
-    b = sent.select("event_id", F.from_json("payload", schema)["Body"].alias("b"))
-    named = lambda n: F.element_at(F.filter(F.col("b.Metadata.Item"), lambda x: x["Name"] == n), 1)["Value"]
-    ok = (F.col("b.ResultCode") == 0) & named("Receipt").rlike("^R[0-9]{9,}$") & named("Phone").rlike("^254[0-9]{9}$")
-    return b.select("event_id", named("Receipt").alias("receipt"), named("Amount").cast("double").alias("amount"), named("Phone").alias("phone"), ok.alias("valid"))
+    v = callbacks.validate(sent_callbacks(spark, sf_dir), F.lit("2026-01-01 00:00:00"))
+    return v.select("event_id", "receipt", "amount", "msisdn", "result_code", F.array_join("reasons", ",").alias("reasons"), "verdict", "no_time")
+
+
+@query(
+    "callback_flags",
+    f"""WITH {CALLBACKS}, r AS (SELECT event_id, floor(value) + CASE WHEN event_id % 4 = 0 THEN 2 ELSE 0 END AS asked FROM events WHERE event_id % 31 <> 0), x AS (SELECT v.*, r.asked, r.event_id AS known FROM v LEFT JOIN r USING (event_id))
+    SELECT event_id, 'ORPHAN_CALLBACK' AS flag FROM x WHERE known IS NULL UNION ALL SELECT event_id, 'INCONSISTENT_B2C_STATE' FROM x WHERE code <> 0 UNION ALL SELECT event_id, 'AMOUNT_INTEGRITY_FAILURE' FROM x WHERE code = 0 AND abs(amount - asked) >= 1""",
+)
+def callback_flags(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").filter(F.col("event_id") % 31 != 0)
+    asked = e.select(F.concat(F.lit("c"), F.col("event_id")).alias("checkout_request_id"), (F.floor("value") + F.when(F.col("event_id") % 4 == 0, 2).otherwise(0)).cast("double").alias("requested_amount"))
+    v = callbacks.validate(sent_callbacks(spark, sf_dir), F.lit("2026-01-01 00:00:00"))
+    return callbacks.reconcile(v, asked).select("event_id", "flag")
 
 
 @query("amount_mismatch", "SELECT o_orderkey, round(o_totalprice - coalesce(p, 0), 2) AS difference FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE abs(o_totalprice - coalesce(p, 0)) >= 1")

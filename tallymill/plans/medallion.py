@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallymill import rules
 from tallymill.operators import features, gold, privacy, resolve, silver
 from tallymill.operators.latest import keep_latest
 from tallymill.plans.registry import query
-from tallymill.session import read_table
+from tallymill.session import read_table, shared_dir
 from tallymill.sources import bronze, external
 
 
@@ -30,15 +32,17 @@ def people(spark, sf_dir):
         F.concat(F.lit("  "), F.col("c_name"), F.lit("\t")).alias("customer_name"),
         F.concat(F.lit(" C"), F.col("c_custkey"), F.lit("@Example.COM\n")).alias("email"),
         F.when(F.col("c_custkey") % 10 != 0, F.concat(F.lit("TAX"), F.col("c_custkey"))).alias("tax_id"),
-        F.when(F.col("c_custkey") % 3 != 0, F.lit("KES")).alias("currency"),
+        F.when(F.col("c_custkey") % 3 != 0, F.when(F.col("c_custkey") % 2 == 0, "kes").otherwise("KES")).alias("currency"),
+        F.concat(F.lit("2024-01-01T03:00:0"), F.col("c_custkey") % 10, F.element_at(F.array(*map(F.lit, ("", "Z", "+03:00", "-05:30"))), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("timestamp"),
         F.col("c_acctbal").alias("amount"),
     )
 
 
 PEOPLE = r"""p AS (SELECT c_custkey::VARCHAR AS customer_id, '  ' || c_name || chr(9) AS customer_name, ' C' || c_custkey || '@Example.COM' || chr(10) AS email,
-  CASE WHEN c_custkey % 10 <> 0 THEN 'TAX' || c_custkey END AS tax_id, CASE WHEN c_custkey % 3 <> 0 THEN 'KES' END AS currency, c_acctbal AS amount FROM customer),
+  CASE WHEN c_custkey % 10 <> 0 THEN 'TAX' || c_custkey END AS tax_id, CASE WHEN c_custkey % 3 <> 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'kes' ELSE 'KES' END END AS currency, c_acctbal AS amount,
+  TIMESTAMP '2024-01-01 03:00:00' + to_seconds(c_custkey % 10) - to_minutes(([0, 0, 180, -330])[c_custkey % 4 + 1]) AS "timestamp" FROM customer),
 s AS (SELECT customer_id, regexp_replace(upper(customer_name), '^\s+|\s+$', '', 'g') AS customer_name, regexp_replace(lower(email), '^\s+|\s+$', '', 'g') AS email,
-  tax_id, coalesce(currency, 'USD') AS currency, amount FROM p)"""
+  tax_id, coalesce(upper(currency), 'USD') AS currency, amount, "timestamp" FROM p)"""
 
 
 def dated_people(spark, sf_dir):
@@ -112,10 +116,12 @@ def bronze_conform(spark, sf_dir):
 
 @query("bronze_read_partition", "SELECT event_id, user_id, event_type, value, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07'")
 def bronze_read_partition(spark, sf_dir):
-    """Two day slices, each a filter that reaches the scan, as one table."""
+    """Days are appended as partitions of their own, one of them twice with the guard on; two are read back."""
     e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
-    day = lambda a, b: e.filter((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz")))
-    return day("2024-01-05", "2024-01-06").unionByName(day("2024-01-06", "2024-01-07"))
+    root = f"{shared_dir(spark)}/bronze-{uuid.uuid4().hex}"
+    for day in ("2024-01-04", "2024-01-05", "2024-01-06", "2024-01-05"):
+        bronze.ingest_once(e.filter(F.to_date("ts") == F.lit(day).cast("date")), root, day)
+    return bronze.read_partition(spark, root, "2024-01-05", e.schema).unionByName(bronze.read_partition(spark, root, "2024-01-06", e.schema))
 
 
 @query("source_range_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'")
@@ -330,3 +336,42 @@ def events_props_json(spark, sf_dir):
 def silver_latest_nulls_first(spark, sf_dir):
     e = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("ts"))
     return keep_latest(e, ["user_id"], "ts", ["event_id"], nulls_first=True).select("user_id", "event_id")
+
+
+@query("er_same_names", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, split_part(p_name, ' ', 1)) AS name_id FROM part")
+def er_same_names(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word"))
+    return resolve.same_names(p, "p_partkey", "word", F.col("p_brand"))
+
+
+@query(
+    "psi_alerts",
+    """WITH s AS (SELECT ((l_extendedprice > 20000)::INTEGER + (l_extendedprice > 40000)::INTEGER) AS bucket, (l_shipdate >= TIMESTAMP '1998-01-01')::INTEGER AS k FROM lineitem),
+    c AS (SELECT bucket, count_if(k = 0) AS a, count_if(k = 1) AS b FROM s GROUP BY bucket), p AS (SELECT bucket, a / (sum(a) OVER ()) AS e, b / (sum(b) OVER ()) AS f FROM c),
+    t AS (SELECT sum((greatest(f, 1e-6) - greatest(e, 1e-6)) * ln(greatest(f, 1e-6) / greatest(e, 1e-6))) AS x FROM p) SELECT round(x, 6) AS psi, x >= 0.15 AS alert FROM t""",
+)
+def psi_alerts(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select("l_extendedprice", (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).cast("int").alias("k"))
+    return privacy.psi_alert(li, "l_extendedprice", "k", [20_000.0, 40_000.0]).withColumn("psi", F.round("psi", 6))
+
+
+@query(
+    "silver_build",
+    """WITH e AS (SELECT 'TAX' || user_id AS tax_id, 'u' || user_id || '@x.com' AS email, 'USER ' || user_id AS customer_name, value - 50 AS amount, ts AS "timestamp", event_id AS transaction_id FROM events),
+    d AS (SELECT *, row_number() OVER (PARTITION BY tax_id, email ORDER BY "timestamp" DESC, transaction_id DESC) AS n FROM e)
+    SELECT 'facts' AS part, count(*) AS n FROM e WHERE amount >= 0
+    UNION ALL SELECT 'facts held', count(*) FROM e WHERE amount < 0""",
+)
+def silver_build(spark, sf_dir):
+    """Silver written by partition, and read back."""
+    e = read_table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    b = e.select(
+        F.col("event_id").alias("transaction_id"), user.alias("customer_id"), F.concat(F.lit("User "), user).alias("customer_name"), F.concat(F.lit("U"), user, F.lit("@x.com ")).alias("email"),
+        F.concat(F.lit("TAX"), user).alias("tax_id"), (F.col("value") - 50).alias("amount"), F.col("ts").alias("timestamp"),
+    )
+    root = f"{shared_dir(spark)}/silver-{uuid.uuid4().hex}"
+    silver.write(silver.build(b, "2024-01-01", run_id="run"), root, "2024-01-01")
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+    held = spark.read.parquet(f"{root}/quarantine").filter(F.col("transaction_id").isNotNull()).join(spark.read.parquet(f"{root}/facts/2024-01-01").select("transaction_id"), "transaction_id", "left_anti")
+    return count(spark.read.parquet(f"{root}/facts/2024-01-01"), "facts").unionByName(count(held.select("transaction_id").distinct(), "facts held"))
