@@ -162,7 +162,7 @@ def replays(t: DataFrame, receipt: str, request: str, span: int = 90 * DAY) -> D
 
 
 def fraud_features(t: DataFrame) -> DataFrame:
-    """Counts, sums and deviations over trailing hours and days per sender and receiver, with a risk tier."""
+    """Counts, sums and deviations over trailing hours and days per sender and receiver; fraud.py has all of them."""
     both = {"n_1h": F.count(F.lit(1)).over(trailing("sender", HOUR)), "n_24h": F.count(F.lit(1)).over(trailing("sender", DAY))}
     both |= {"sum_1h": money("amount").over(trailing("sender", HOUR)).cast("double"), "sum_24h": money("amount").over(trailing("sender", DAY)).cast("double")}
     both |= {"in_n_24h": F.count(F.lit(1)).over(trailing("receiver", DAY)), "in_sum_24h": money("amount").over(trailing("receiver", DAY)).cast("double")}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymill.operators import callbacks
 from tallymill.operators import detection as d
+from tallymill.operators import fraud
 from tallymill.plans.registry import query
 from tallymill.session import read_table
 
@@ -130,6 +131,44 @@ def fraud_features(spark, sf_dir):
     return d.fraud_features(transfers(spark, sf_dir))
 
 
+def accounts(spark):
+    """Profiles of the 150 users."""
+    i = F.col("id")
+    return spark.range(150).select(
+        i.alias("account"), (i % 5).alias("county"), (i % 8 * 0.5 - 4.0).alias("lat"), (i % 6 * 0.5 + 34.0).alias("lon"), (F.lit(1_700_000_000) - i * 40_000).alias("opened_at"), (F.lit(1_702_000_000) - i * 9_000).alias("device_at"),
+        (i % 9 != 0).alias("sim_match"), (i % 4 + 1).alias("tier"), (i % 3).alias("kyc"), F.when(i % 10 == 0, 2).alias("frauds_90d"),
+    )
+
+
+@query(
+    "fraud_features_full",
+    f"""WITH {T}, a AS (SELECT range AS account, range % 5 AS county, range % 8 * 0.5::DOUBLE - 4.0 AS lat, range % 6 * 0.5::DOUBLE + 34.0 AS lon, 1700000000 - range * 40000 AS opened_at, 1702000000 - range * 9000 AS device_at,
+      range % 9 <> 0 AS sim_match, range % 4 + 1 AS tier, range % 3 AS kyc, CASE WHEN range % 10 = 0 THEN 2 ELSE 0 END AS frauds FROM range(150)),
+    p AS (SELECT *, ts::DATE AS day, floor(ln(1 + amount) * 8) AS bucket, (['stk_push', 'b2c', 'p2p', 'agent_float'])[txn % 4 + 1] AS channel FROM t),
+    q AS (SELECT x.txn, count(*) FILTER (y.bucket <= x.bucket) / nullif(count(y.txn), 0) AS pc FROM p x LEFT JOIN p y ON y.sender = x.sender AND y.day BETWEEN x.day - 7 AND x.day - 1 GROUP BY x.txn),
+    w AS (SELECT *, count(*) {_w("sender", HOUR)} AS s1, count(*) {_w("sender", DAY)} AS s24, ({_SUM} {_w("sender", HOUR)})::DOUBLE AS v1, ({_SUM} {_w("sender", DAY)})::DOUBLE AS v24, count(*) {_w("receiver", HOUR)} AS r1, count(*) {_w("receiver", DAY)} AS r24,
+      ({_SUM} {_w("receiver", HOUR)})::DOUBLE AS rv, count(*) {_w("agent", HOUR)} AS a1, coalesce((sum(CASE WHEN kind = 'in' THEN amount::DECIMAL(18,2) END) {_w("agent", 3 * HOUR)})::DOUBLE, 0) - coalesce((sum(CASE WHEN kind = 'out' THEN amount::DECIMAL(18,2) END) {_w("agent", 3 * HOUR)})::DOUBLE, 0) AS growth,
+      coalesce((sum(CASE WHEN kind = 'in' THEN amount::DECIMAL(18,2) END) {_w("agent", 6 * HOUR)})::DOUBLE, 0) AS ci, coalesce((sum(CASE WHEN kind = 'out' THEN amount::DECIMAL(18,2) END) {_w("agent", 6 * HOUR)})::DOUBLE, 0) AS co,
+      len(list_distinct(list(place) {_w("sender", DAY)}))::BIGINT AS sc, len(list_distinct(list(place) {_w("receiver", DAY)}))::BIGINT AS rc, avg(amount) {_w("sender", 30 * DAY)} AS m, stddev_samp(amount) {_w("sender", 30 * DAY)} AS d,
+      sec - lag(sec) OVER (PARTITION BY sender ORDER BY sec, txn) AS gap, ({_SUM} OVER (PARTITION BY sender, day ORDER BY sec, txn ROWS UNBOUNDED PRECEDING))::DOUBLE AS spent FROM p),
+    j AS (SELECT w.*, q.pc, s.county = r.county AS same, s.opened_at, s.device_at, s.sim_match, s.tier, s.kyc, s.frauds,
+      2 * 6371.0::DOUBLE * asin(least(sqrt(pow(sin((radians(r.lat) - radians(s.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(r.lat)) * pow(sin((radians(r.lon) - radians(s.lon)) / 2), 2)), 1.0)) AS km
+      FROM w JOIN q USING (txn) LEFT JOIN a s ON s.account = w.sender LEFT JOIN a r ON r.account = w.receiver)
+    SELECT txn, amount AS txn_amount, round(ln(1 + amount), 5) AS log_amount, round(pc, 5) AS amount_percentile_7d, round(CASE WHEN d > 0 THEN (amount - m) / d ELSE 0.0 END, 5) AS amount_zscore_30d, hour(ts)::BIGINT AS hour_of_day, isodow(ts)::BIGINT AS day_of_week, (isodow(ts) >= 6)::BIGINT AS is_weekend,
+    round(gap / 86400, 5) AS days_since_last_txn, round(s1 / 60, 5) AS txn_frequency_1h, s1 AS txn_count_1h_sender, s24 AS txn_count_24h_sender, v1 AS sum_amount_1h_sender, v24 AS sum_amount_24h_sender, r1 AS txn_count_1h_receiver, r24 AS txn_count_24h_receiver, rv AS sum_amount_1h_receiver,
+    a1 AS agent_txn_count_1h, round(growth, 2) AS agent_float_growth_3h, round(CASE WHEN co > 0 THEN ci / co END, 5) AS agent_cash_in_out_ratio_6h, sc AS sender_counties_24h, rc AS receiver_counties_24h, round(km, 3) AS sender_receiver_distance_km, coalesce(same, false)::BIGINT AS is_same_county,
+    (channel = 'stk_push')::BIGINT AS is_stk_push, (channel = 'b2c')::BIGINT AS is_b2c, (channel = 'p2p')::BIGINT AS is_p2p, (channel = 'agent_float')::BIGINT AS is_agent_float, round((sec - device_at) / 86400, 5) AS device_age_days, coalesce(sim_match, false)::BIGINT AS sim_match_status,
+    round((sec - opened_at) / 86400, 5) AS account_age_days, tier::BIGINT AS wallet_tier_encoded, kyc::BIGINT AS kyc_level_encoded, coalesce(frauds, 0)::BIGINT AS prev_fraud_flag_count_90d, (amount BETWEEN 140000 AND 149999)::BIGINT AS amount_near_threshold, (amount > 0 AND amount % 100000 = 0)::BIGINT AS is_round_number_100k,
+    round(greatest(0.0, 1 - spent / 500000), 5) AS daily_cumulative_remaining_pct, round(amount * s24, 2) AS amount_x_velocity, round(amount * ((sec - opened_at) / 86400), 1) AS amount_x_account_age, (amount BETWEEN 140000 AND 149999)::BIGINT * s24 AS threshold_proximity_x_velocity FROM j""",
+)
+def fraud_features_full(spark, sf_dir):
+    channel = F.element_at(F.array(*map(F.lit, ("stk_push", "b2c", "p2p", "agent_float"))), (F.col("txn") % 4 + 1).cast("int"))
+    out = fraud.features(transfers(spark, sf_dir).withColumn("channel", channel), accounts(spark))
+    places = {"agent_float_growth_3h": 2, "sender_receiver_distance_km": 3, "amount_x_velocity": 2, "amount_x_account_age": 1}
+    exact = {"txn_amount", "sum_amount_1h_sender", "sum_amount_24h_sender", "sum_amount_1h_receiver"}
+    return out.withColumns({c: F.round(c, places.get(c, 5)) for c, kind in out.dtypes if kind == "double" and c not in exact})
+
+
 @query("risk_tiers", "SELECT event_id, CASE WHEN value / 100 >= 0.85 THEN 'critical' WHEN value / 100 >= 0.65 THEN 'high' WHEN value / 100 >= 0.30 THEN 'medium' ELSE 'low' END AS tier, value / 100 >= 0.7 AS escalate FROM events")
 def risk_tiers(spark, sf_dir):
     risk = F.col("value") / 100

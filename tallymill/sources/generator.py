@@ -15,6 +15,7 @@ from tallymill.operators.scan import running_sums
 DOMAINS = ("example.com", "example.net", "example.org")
 
 
+# The defaults of a profile.
 @dataclass(frozen=True)
 class Profile:
     transaction_type_probs: dict = field(default_factory=lambda: {"P2P": 0.6, "C2B": 0.3, "B2C": 0.1})

@@ -68,6 +68,10 @@ def test_write(spark, tmp_path):
     gold.write(out, gold.orphans(f, d), str(tmp_path), "v1.0")
     m = spark.read.json(str(tmp_path / "v1.0/manifest")).first()
     assert (m.rows, m.orphans) == (1, 1)
+    gold.write(out, gold.orphans(f, d), str(tmp_path), "2", facts=f, dim=d)
+    m = spark.read.json(str(tmp_path / "v2/manifest")).first()
+    assert (m.version, m.input_rows_fact, m.input_rows_dim, m.output_rows, m.orphan_rows) == ("2", 2, 1, 1, 1)
+    assert m.timestamp and '"amount": "double"' in m.schema
     assert spark.read.parquet(str(tmp_path / "v1.0/features")).filter(F.col("partition_date") == "2024-01-07").count() == 1
 
 

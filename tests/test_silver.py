@@ -106,3 +106,18 @@ def test_empty_input_keeps_its_columns(spark):
     out = silver.build(people(spark, []))
     assert out["facts"].count() == 0 and "golden_record_id" in out["facts"].columns
     assert out["drift"].first().bronze_row_count == 0
+
+
+def test_zones_are_turned_into_utc_and_currency_is_upper(spark):
+    rows = [("2024-01-01T03:00:00+03:00", "kes"), ("2024-01-01 03:00:00Z", None), ("2024-01-01 03:00:00.5 -05:30", "uSd"), ("2024-01-01 03:00:00", "KES"), ("2024-01-01", ""), ("soon", "x"), (None, "x")]
+    df = spark.createDataFrame(rows, "timestamp string, currency string")
+    want = ["2024-01-01 00:00:00", "2024-01-01 03:00:00", "2024-01-01 08:30:00.5", "2024-01-01 03:00:00", "2024-01-01 00:00:00", None, None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            got = silver.standardize(df).selectExpr("cast(timestamp as string) t", "currency").collect()
+            assert [r.t for r in got] == want, z
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r.currency for r in got] == ["KES", "USD", "USD", "KES", "", "X", "X"]

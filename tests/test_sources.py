@@ -117,3 +117,51 @@ def test_late_repeats_and_silver_batches(spark, tmp_path):
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/facts")).count() == 3
     assert jobs.run_once(jobs.sessions(stream, "ts", "k", "10 minutes", "1 hour"), "complete").count() == 2
+
+
+def test_replays_behind_a_run_of_equal_requests(spark):
+    rows = [("r", "1", 0), ("r", "2", 10), ("r", "2", 20), ("r", "2", 95), ("r", "1", 100), ("s", "1", 0)]
+    t = spark.createDataFrame(rows, "receipt string, request string, at long")
+    got = d.replays(t, "receipt", "request", 90).orderBy("request", "earlier_request").collect()
+    assert sorted((x.request, x.earlier_request) for x in got) == [("1", "2"), ("2", "1"), ("2", "1")]
+
+
+def test_callbacks(spark):
+    import json
+
+    from tallymill.operators import callbacks
+
+    def sent(code=0, receipt="QWE23RT4Y7", amount="10.129", phone="0712345678", at="20250125163000", items=True):
+        item = [{"Name": n, "Value": v} for n, v in (("Amount", amount), ("MpesaReceiptNumber", receipt), ("PhoneNumber", phone), ("TransactionDate", at)) if v is not None]
+        return json.dumps({"Body": {"stkCallback": {"MerchantRequestID": "m", "CheckoutRequestID": "c", "ResultCode": code, **({"CallbackMetadata": {"Item": item}} if items else {})}}})
+
+    payloads = [sent(), sent(code=None), sent(code=1, items=False), sent(receipt=None), sent(receipt="qwe23rt4y7"), sent(amount="0"), sent(amount="150000.01"), sent(amount="x"), sent(phone="25571234567"), sent(at="20990101000000"), sent(at="no"), "{", None]
+    df = spark.createDataFrame(list(enumerate(payloads)), "i int, payload string")
+    got = callbacks.validate(df, F.lit("2025-01-25 16:26:00")).orderBy("i").collect()
+    assert [r.verdict for r in got] == ["accept", "review", "failed", *["reject"] * 7, "accept", "review", "review"]
+    assert (got[0].amount, got[0].msisdn) == (10.12, "254712345678") and [r.no_time for r in got[:11]].index(True) == 10
+    assert [list(r.reasons) for r in got[3:10]] == [["receipt"], ["receipt"], ["amount"], ["amount"], ["amount"], ["msisdn"], ["future"]]
+    asked = spark.createDataFrame([("c", 12.0)], "checkout_request_id string, requested_amount double")
+    assert {r.flag for r in callbacks.reconcile(callbacks.validate(df.limit(1), F.lit("2025-02-01")), asked).collect()} == {"AMOUNT_INTEGRITY_FAILURE"}
+    assert [r.flag for r in callbacks.reconcile(callbacks.validate(df.limit(1), F.lit("2025-02-01")), asked.limit(0)).collect()] == ["ORPHAN_CALLBACK"]
+
+
+def test_structuring_with_ages_and_withdrawals(spark):
+    rows = [(i, f"s{i}", "r", 145_000.0, i * 60) for i in range(3)] + [(9, "old", "r", 145_000.0, 200)]
+    t = spark.createDataFrame(rows, "txn int, sender string, receiver string, amount double, at long")
+    opened = spark.createDataFrame([(f"s{i}", -86_400) for i in range(3)] + [("old", -8 * 86_400)], "sender string, opened_at long")
+    assert [(x.txn, x.parties) for x in d.new_sender_wave(t, opened).collect()] == [(2, 3)]
+    moves = [(i, "w", f"a{i}", "in", 100_000.0, i * 60) for i in range(10)] + [(50, "w", "b", "out", 900_000.0, 700), (51, "w", "b", "out", 900_000.0, 90_000)]
+    m = spark.createDataFrame(moves, "txn int, account string, agent string, kind string, amount double, at long")
+    assert [(x.txn, x.n_agents) for x in d.gathered_withdrawal(m).collect()] == [(50, 10)]
+    chain = spark.createDataFrame([("D", 0), ("E", 0)], "target string, at long")
+    bank = spark.createDataFrame([("D", 5_000), ("E", 6_000)], "account string, at2 long")
+    assert [x.target for x in d.to_bank(chain, bank).collect()] == ["D"]
+
+
+def test_credit_decisions(spark):
+    df = spark.createDataFrame([(0.14,), (0.1399,), (0.09,), (0.0899,), (None,)], "p double")
+    assert [r[0] for r in df.select(d.credit_decision(F.col("p"))).collect()] == ["DECLINE", "REFER", "REFER", "APPROVE", None]
+    c = {f: 0.03 for f, limit, _ in d.ADVERSE} | {"merchant_diversity": -0.5, "wallet_age_days": -0.01}
+    got = spark.createDataFrame([(c,), ({},)], "c map<string,double>").select(d.reason_codes(F.col("c"))).collect()
+    assert got[0][0] == ["RC-104", "RC-001", "RC-002", "RC-003", "RC-004", "RC-005"] and got[1][0] == []
