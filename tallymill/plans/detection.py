@@ -155,17 +155,17 @@ def accounts(spark):
       2 * 6371.0::DOUBLE * asin(least(sqrt(pow(sin((radians(r.lat) - radians(s.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(r.lat)) * pow(sin((radians(r.lon) - radians(s.lon)) / 2), 2)), 1.0)) AS km
       FROM w JOIN q USING (txn) LEFT JOIN a s ON s.account = w.sender LEFT JOIN a r ON r.account = w.receiver)
     SELECT txn, amount AS txn_amount, round(ln(1 + amount), 5) AS log_amount, round(pc, 5) AS amount_percentile_7d, round(CASE WHEN d > 0 THEN (amount - m) / d ELSE 0.0 END, 5) AS amount_zscore_30d, hour(ts)::BIGINT AS hour_of_day, isodow(ts)::BIGINT AS day_of_week, (isodow(ts) >= 6)::BIGINT AS is_weekend,
-    round(gap / 86400, 5) AS days_since_last_txn, round(s1 / 60, 5) AS txn_frequency_1h, s1 AS txn_count_1h_sender, s24 AS txn_count_24h_sender, v1 AS sum_amount_1h_sender, v24 AS sum_amount_24h_sender, r1 AS txn_count_1h_receiver, r24 AS txn_count_24h_receiver, rv AS sum_amount_1h_receiver,
+    gap / 86400 AS days_since_last_txn, round(s1 / 60, 5) AS txn_frequency_1h, s1 AS txn_count_1h_sender, s24 AS txn_count_24h_sender, v1 AS sum_amount_1h_sender, v24 AS sum_amount_24h_sender, r1 AS txn_count_1h_receiver, r24 AS txn_count_24h_receiver, rv AS sum_amount_1h_receiver,
     a1 AS agent_txn_count_1h, round(growth, 2) AS agent_float_growth_3h, round(CASE WHEN co > 0 THEN ci / co END, 5) AS agent_cash_in_out_ratio_6h, sc AS sender_counties_24h, rc AS receiver_counties_24h, round(km, 3) AS sender_receiver_distance_km, coalesce(same, false)::BIGINT AS is_same_county,
-    (channel = 'stk_push')::BIGINT AS is_stk_push, (channel = 'b2c')::BIGINT AS is_b2c, (channel = 'p2p')::BIGINT AS is_p2p, (channel = 'agent_float')::BIGINT AS is_agent_float, round((sec - device_at) / 86400, 5) AS device_age_days, coalesce(sim_match, false)::BIGINT AS sim_match_status,
-    round((sec - opened_at) / 86400, 5) AS account_age_days, tier::BIGINT AS wallet_tier_encoded, kyc::BIGINT AS kyc_level_encoded, coalesce(frauds, 0)::BIGINT AS prev_fraud_flag_count_90d, (amount BETWEEN 140000 AND 149999)::BIGINT AS amount_near_threshold, (amount > 0 AND amount % 100000 = 0)::BIGINT AS is_round_number_100k,
-    round(greatest(0.0, 1 - spent / 500000), 5) AS daily_cumulative_remaining_pct, round(amount * s24, 2) AS amount_x_velocity, round(amount * ((sec - opened_at) / 86400), 1) AS amount_x_account_age, (amount BETWEEN 140000 AND 149999)::BIGINT * s24 AS threshold_proximity_x_velocity FROM j""",
+    (channel = 'stk_push')::BIGINT AS is_stk_push, (channel = 'b2c')::BIGINT AS is_b2c, (channel = 'p2p')::BIGINT AS is_p2p, (channel = 'agent_float')::BIGINT AS is_agent_float, (sec - device_at) / 86400 AS device_age_days, coalesce(sim_match, false)::BIGINT AS sim_match_status,
+    (sec - opened_at) / 86400 AS account_age_days, tier::BIGINT AS wallet_tier_encoded, kyc::BIGINT AS kyc_level_encoded, coalesce(frauds, 0)::BIGINT AS prev_fraud_flag_count_90d, (amount BETWEEN 140000 AND 149999)::BIGINT AS amount_near_threshold, (amount > 0 AND amount % 100000 = 0)::BIGINT AS is_round_number_100k,
+    round(greatest(0.0, 1 - spent / 500000), 5) AS daily_cumulative_remaining_pct, round(amount * s24, 2) AS amount_x_velocity, amount * ((sec - opened_at) / 86400) AS amount_x_account_age, (amount BETWEEN 140000 AND 149999)::BIGINT * s24 AS threshold_proximity_x_velocity FROM j""",
 )
 def fraud_features_full(spark, sf_dir):
     channel = F.element_at(F.array(*map(F.lit, ("stk_push", "b2c", "p2p", "agent_float"))), (F.col("txn") % 4 + 1).cast("int"))
     out = fraud.features(transfers(spark, sf_dir).withColumn("channel", channel), accounts(spark))
-    places = {"agent_float_growth_3h": 2, "sender_receiver_distance_km": 3, "amount_x_velocity": 2, "amount_x_account_age": 1}
-    exact = {"txn_amount", "sum_amount_1h_sender", "sum_amount_24h_sender", "sum_amount_1h_receiver"}
+    places = {"agent_float_growth_3h": 2, "sender_receiver_distance_km": 3, "amount_x_velocity": 2}
+    exact = {"txn_amount", "days_since_last_txn", "device_age_days", "account_age_days", "amount_x_account_age", "sum_amount_1h_sender", "sum_amount_24h_sender", "sum_amount_1h_receiver"}
     return out.withColumns({c: F.round(c, places.get(c, 5)) for c, kind in out.dtypes if kind == "double" and c not in exact})
 
 
