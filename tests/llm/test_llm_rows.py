@@ -153,6 +153,51 @@ def test_nearest(spark):
     assert op9.nearest(df.filter("vec_id in (50, 7)")).select("vec_id").first().vec_id == 7
 
 
+def test_cells_part_all_of_space_and_are_found_by_their_distance():
+    r = np.random.default_rng(9)
+    points = r.standard_normal((2000, 4))
+    points[:700] = points[0]  # a third are one point
+    tree = op9.Cells(points, 16)
+    assert 8 <= tree.count <= 16
+    more = np.concatenate([points, 5 * r.standard_normal((500, 4))])
+    own = tree.of(more)
+    assert set(own) == set(range(tree.count))
+    assert len(set(own[:700])) == 1
+    who, where = tree.within(more, np.full(len(more), 0.7))
+    found = set(zip(who.tolist(), where.tolist(), strict=True))
+    assert all((i, c) in found for i, c in enumerate(own))
+    near = ((more[:, None, :] - more[None, ::7, :]) ** 2).sum(2) <= 0.7
+    for i, j in zip(*np.nonzero(near), strict=True):  # the cell of a point so near is never missed
+        assert (int(i), int(own[::7][j])) in found
+    assert len(found) < 0.8 * len(more) * tree.count
+    assert len(tree.within(points[:3], np.full(3, np.inf))[0]) == 3 * tree.count
+    assert op9.Cells(np.ones((9, 4)), 8).count == op9.Cells(np.zeros((0, 4)), 8).count == 1
+
+
+def test_nearest_across_cells_of_clustered_vectors(spark):
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((40, 24))
+    v = np.repeat(centres, 100, axis=0) + 0.15 * r.standard_normal((4000, 24))
+    v[1000:2300] = v[1000]  # a third of the rows are equal and go to several blocks
+    order = r.permutation(4000)
+    v = v[order]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in sorted(op9.nearest(df, block_rows=400).collect(), key=lambda x: (x.query_id, x.rank)):
+        got[x.query_id].append(x.vec_id)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 4000, 50):
+        s = np.round(unit @ unit[q], 12)
+        s[q] = -9
+        best = np.lexsort((np.arange(4000), -s))[:5]
+        hits += len(set(best) & set(got[q]))
+        if s[best[4]] == 1:
+            assert got[q] == best.tolist()
+    assert sorted(got) == list(range(0, 4000, 50))
+    assert hits >= 0.9 * 400
+
+
 def test_equal_vectors_go_by_id():
     v = np.ones((40, 8))
     found, _ = op9.search_block(v, np.arange(40)[::-1].copy(), np.arange(40), v[:1], np.array([39]), 5, 8, 0.98, 5)
