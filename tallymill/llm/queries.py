@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymill.llm import op1_license_scan, op10_line_dedup, op2_quality, op3_url_filter, op4_decontamination, op5_sharding, op6_mixing, op7_near_dedup, op8_token_counts, op9_ann
+from tallymill.llm import op1_license_scan, op10_line_dedup, op13_phrases, op2_quality, op3_url_filter, op4_decontamination, op5_sharding, op6_mixing, op7_near_dedup, op8_token_counts, op9_ann
 from tallymill.llm.batches import bounded_batches
 from tallymill.session import materialize, read_table
 
@@ -54,6 +54,10 @@ def op10_line_dedup_query(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op13_phrases_query(spark, sf_dir):
+    return op13_phrases.mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan_query,
     "op2_quality": op2_quality_query,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts_query,
     "op9_ann": op9_ann_query,
     "op10_line_dedup": op10_line_dedup_query,
+    "op13_phrases": op13_phrases_query,
 }
 
 ORACLES = {
@@ -100,4 +105,17 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, row_number() OVER (PARTI
     ('0x' || substr(md5('17:' || coalesce('s' || d.source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (least(floor(start + k * rate) - floor(start + (k - 1) * rate), ceil(rate)) * size)::BIGINT AS taken FROM r""",
+    "op13_phrases": r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+s AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, m, w[i:i + m - 1] AS p, count(*) AS f FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM s, range(1, 6) AS r(m)) GROUP BY lang, m, p HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM s GROUP BY lang),
+c AS (SELECT lang, m, p, f AS a, unnest(range(1, m)) AS k FROM g WHERE m > 1),
+x AS (SELECT c.lang, c.p, c.a, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS score, k
+  FROM c JOIN n USING (lang) JOIN g AS l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN g AS r ON r.lang = c.lang AND r.p = c.p[k + 1:c.m]),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+o AS (SELECT lang, q, max(f) AS f FROM (SELECT lang, f, p[i:j] AS q FROM (SELECT *, unnest(range(i + 1, m + 1)) AS j FROM (SELECT *, unnest(range(1, m)) AS i FROM g WHERE m > 2)) WHERE j - i + 1 < m) GROUP BY ALL),
+k AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM b LEFT JOIN o ON o.lang = b.lang AND o.q = b.p WHERE o.f IS NULL OR 100 * o.f < 100 * b.a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM z WHERE rank <= 2000""",
 }
