@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymill.llm import op1_license_scan, op10_line_dedup, op13_phrases, op2_quality, op3_url_filter, op4_decontamination, op5_sharding, op6_mixing, op7_near_dedup, op8_token_counts, op9_ann
+from tallymill.llm import op1_license_scan, op10_line_dedup, op11_lm_score, op12_prefix_trie, op13_phrases, op2_quality, op3_url_filter, op4_decontamination, op5_sharding, op6_mixing, op7_near_dedup, op8_token_counts, op9_ann
 from tallymill.llm.batches import bounded_batches
 from tallymill.session import materialize, read_table
 
@@ -54,6 +54,14 @@ def op10_line_dedup_query(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_lm_score_query(spark, sf_dir):
+    return op11_lm_score.score_texts(read_table(spark, sf_dir, "documents"), from_files=True)
+
+
+def op12_prefix_trie_query(spark, sf_dir):
+    return op12_prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_phrases_query(spark, sf_dir):
     return op13_phrases.mine_phrases(read_table(spark, sf_dir, "documents"))
 
@@ -69,6 +77,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts_query,
     "op9_ann": op9_ann_query,
     "op10_line_dedup": op10_line_dedup_query,
+    "op11_lm_score": op11_lm_score_query,
+    "op12_prefix_trie": op12_prefix_trie_query,
     "op13_phrases": op13_phrases_query,
 }
 
@@ -105,6 +115,17 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, row_number() OVER (PARTI
     ('0x' || substr(md5('17:' || coalesce('s' || d.source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (least(floor(start + k * rate) - floor(start + (k - 1) * rate), ceil(rate)) * size)::BIGINT AS taken FROM r""",
+    "op12_prefix_trie": r"""
+WITH t AS (SELECT conv_id AS c, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, list(m ORDER BY i) AS m, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 9 AS h FROM t GROUP BY c),
+r AS (SELECT v.c, list_concat(CASE WHEN b.c IS NULL THEN [] ELSE b.m[1:v.h] END, v.m[v.h + 1:]) AS m FROM v LEFT JOIN v AS b ON b.c = v.c - v.c % 5),
+p AS (SELECT c, d, m[1:d] AS p, d = len(m) AS ends FROM (SELECT c, m, unnest(range(len(m) + 1)) AS d FROM r)),
+n AS (SELECT d, p, min(c) AS c, count(*) AS k, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS e FROM p GROUP BY d, p),
+s AS (SELECT n.*, CASE WHEN d = 0 THEN 0 ELSE (k - 1) * strlen(p[d].t) END AS own, (SELECT count(*) FROM n AS o WHERE o.d = n.d + 1 AND o.p[1:n.d] = n.p) AS children FROM n),
+a AS (SELECT up, q, sum(own)::BIGINT AS saved, count(*) FILTER (children = 0) AS leaves FROM (SELECT own, children, up, p[1:up] AS q FROM (SELECT *, unnest(range(d + 1)) AS up FROM s)) GROUP BY up, q)
+SELECT s.c AS conv_id, s.d AS depth, u.c AS parent_conv_id, s.k AS n_convs, s.children AS n_children, a.leaves AS n_leaves, a.saved AS saved_tokens, sha256(s.e) AS ends_sha256
+FROM s JOIN a ON a.up = s.d AND a.q = s.p LEFT JOIN s AS u ON u.d = s.d - 1 AND u.p = s.p[1:s.d - 1]""",
     "op13_phrases": r"""
 WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 s AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
