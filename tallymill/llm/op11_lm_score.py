@@ -29,7 +29,7 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,20 +37,20 @@ from tallymill.llm.rows import placed_rows
 from tallymill.session import discard, materialize
 
 DEPTH = 5
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 32 << 20
 _PIECE = 1 << 20
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _END = b"\n"  # no word has it
 
 
-def split_words(text: str) -> list[bytes]:
+def split_words(text: bytes) -> list[bytes]:
     """Words between ASCII white space, and the end."""
-    return [*text.encode("utf-8", "replace").translate(_LOWER).split(), _END]
+    return [*text.translate(_LOWER).split(), _END]
 
 
-def grams(text: str, depth: int):
+def grams(text: bytes, depth: int):
     """The contexts of ``depth`` bytes with the byte after them, packed into longs, a piece of the text at a time."""
-    data = np.frombuffer(bytes(depth) + text.encode("utf-8", "replace") + b"\0", np.uint8)
+    data = np.frombuffer(bytes(depth) + text + b"\0", np.uint8)
     n = len(data) - depth
     for i in range(0, n, _PIECE):
         j = min(n, i + _PIECE)
@@ -71,7 +71,7 @@ class _GramCounts:
         values, n = np.unique(some, return_counts=True)
         self.held.append((values, n * weight))
         self.n += len(values)
-        if self.n > 4 * _PIECE:
+        if self.n > 2 * _PIECE:
             self.held = [self.counts()]
             self.n = len(self.held[0][0]) // 2  # compact again only after as much as is there
 
@@ -108,7 +108,9 @@ def _bits(gram: str = "gram") -> list[tuple[Column, Column]]:
 def weighted_levels(counted: DataFrame, depth: int) -> list[DataFrame]:
     """From (gram, n) the nodes of every depth: key, a, b, stop and go, the shares of the node itself and of its children."""
     each = F.explode(F.array(*[F.struct(k.alias("key"), (F.col("n") * (1 - bit)).alias("a"), (F.col("n") * bit).alias("b")) for k, bit in _bits()]))
-    level = counted.select(each.alias("x")).groupBy("x.key").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
+    # dealt by context before they are taken apart, the decisions of a context are together
+    dealt = counted.withColumn("context", F.shiftright("gram", 8)).repartition("context")
+    level = dealt.select("context", each.alias("x")).groupBy("context", "x.key").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b")).drop("context")
     level = level.withColumn("lw", kt_log(F.col("a"), F.col("b"))).withColumns({"stop": F.lit(1.0), "go": F.lit(0.0)})
     levels = [materialize(level, f"level{depth}")]
     half = math.log(0.5)
@@ -134,10 +136,14 @@ def priced_grams(counted: DataFrame, depth: int) -> DataFrame:
             here = here.withColumn("up", F.col("key").bitwiseAND((1 << (8 * d)) - 1)).join(path, "up")
         mass = lambda c: F.col(f"__{c}") + F.col("__reach") * F.col("stop") * F.col(c)
         path = here.select(F.col("key").alias("up"), mass("zero").alias("__zero"), mass("one").alias("__one"), (F.col("__reach") * F.col("go")).alias("__reach"))
-    each = F.explode(F.array(*[F.struct(k.alias("key"), bit.alias("bit")) for k, bit in _bits()]))
-    asked = counted.select("gram", each.alias("x")).select("gram", F.col("x.key").alias("up"), F.col("x.bit").alias("bit"))
-    cost = F.log10(F.when(F.col("bit") == 1, F.col("__one")).otherwise(F.col("__zero")))
-    out = materialize(asked.join(path, "up").groupBy("gram").agg(F.sum(cost).alias("value")), "priced")
+    leaf = F.struct(F.col("up").bitwiseAND(255).alias("node"), F.struct(F.log10("__zero").alias("zero"), F.log10("__one").alias("one")).alias("cost"))
+    costs = path.select(F.shiftright("up", 8).alias("context"), leaf.alias("leaf")).groupBy("context").agg(F.map_from_entries(F.collect_list("leaf")).alias("costs"))  # 255 decisions at most
+    total = F.lit(0.0)
+    for leaf_key, bit in _bits():
+        cost = F.element_at("costs", leaf_key.bitwiseAND(255))
+        total = total + F.when(bit == 1, cost["one"]).otherwise(cost["zero"])
+    out = counted.select("gram", F.shiftright("gram", 8).alias("context")).join(costs, "context").select("gram", total.alias("value"))
+    out = materialize(out, "priced")
     discard(*levels)
     return out
 
@@ -150,11 +156,11 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BY
     total = rows.agg(F.sum(F.octet_length(body) + 64)).first()[0] or 0
     group = F.pmod(F.xxhash64(file, row), F.lit(max(1, -(-total // group_bytes)))).alias("g")
     # ids travel as strings, as pandas would make floats of longs with nulls
-    dealt = rows.select(F.col(key).cast("string").alias("doc_id"), held_out.alias("held_out"), body.alias("text"), group)
+    dealt = rows.select(F.col(key).cast("string").alias("doc_id"), held_out.alias("held_out"), body.cast("binary").alias("text"), group)
 
-    def ask(part: pd.DataFrame) -> pd.DataFrame:
+    def ask(part: pa.Table) -> pa.Table:
         found, words = _GramCounts(), Counter()
-        for t, out in zip(part["text"], part["held_out"]):
+        for t, out in zip(part["text"].to_pylist(), part["held_out"].to_pylist()):
             for some in grams(t, depth):
                 found.add(some, int(not out))
             if out:
@@ -163,12 +169,13 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BY
             else:
                 words.update(split_words(t))
         values, n = found.counts()
-        g = int(part["g"].iloc[0])
-        by_gram = pd.DataFrame({"g": g, "gram": pd.array(values, "Int64"), "word": None, "n": n})
-        by_word = pd.DataFrame({"g": g, "gram": pd.array([None] * len(words), "Int64"), "word": list(words), "n": list(words.values())})
-        return pd.concat([by_gram, by_word], ignore_index=True)
+        none = lambda k, t: pa.nulls(k, t)
+        g = pa.array(np.full(len(values) + len(words), part["g"][0].as_py()))
+        gram = pa.chunked_array([pa.array(values), none(len(words), pa.int64())])
+        word = pa.chunked_array([none(len(values), pa.binary()), pa.array(list(words), pa.binary())])
+        return pa.table({"g": g, "gram": gram, "word": word, "n": pa.array(np.concatenate((n, np.fromiter(words.values(), np.int64, len(words)))))})
 
-    asked = materialize(dealt.groupBy("g").applyInPandas(ask, "g long, gram long, word binary, n long"), "asked")
+    asked = materialize(dealt.groupBy("g").applyInArrow(ask, "g long, gram long, word binary, n long"), "asked")
     by_gram, by_word = asked.filter(F.col("gram").isNotNull()).select("g", "gram", "n"), asked.filter(F.col("word").isNotNull()).select("g", "word", "n")
     counted = materialize(by_gram.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     words = materialize(by_word.groupBy("word").agg(F.sum("n").alias("c")), "words")
@@ -181,23 +188,25 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BY
     )
     room = math.log10(n_all + n_different + 1)
 
-    def score(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        of_words = known["c"].to_numpy() >= 0
-        count = dict(zip(known["word"][of_words], known["c"][of_words]))
-        at = known["gram"][~of_words].to_numpy(np.int64)
+    def score(part: pa.Table, known: pa.Table) -> pa.Table:
+        c = known["c"].to_numpy()
+        of_words = c >= 0
+        count = dict(zip(known["word"].filter(pa.array(of_words)).to_pylist(), c[of_words].tolist()))
+        at, value = known["gram"].to_numpy()[~of_words], known["value"].to_numpy()[~of_words]
         order = np.argsort(at)
-        at, value = at[order], known["value"][~of_words].to_numpy(float)[order]
+        at, value = at[order], value[order]
         out = []
-        for doc, is_held, t in zip(part["doc_id"], part["held_out"], part["text"]):
+        for doc, is_held, t in zip(*(part[c].to_pylist() for c in ("doc_id", "held_out", "text"))):
             c = np.fromiter((count[w] for w in split_words(t)), float)
             base = float(np.log10(c + 1).sum()) - len(c) * room
             model = sum(float(value[np.searchsorted(at, some)].sum()) for some in grams(t, depth))
-            size = len(t.encode("utf-8", "replace"))
-            out.append((doc, is_held, len(c), int((c > 0).sum()), n_all, base, model, size, -model / math.log10(2) / (size + 1)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            out.append((doc, is_held, len(c), int((c > 0).sum()), n_all, base, model, len(t), -model / math.log10(2) / (len(t) + 1)))
+        columns = list(zip(*out)) if out else [[]] * 9
+        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+        return pa.table({x.split()[0]: pa.array(list(v), k) for x, v, k in zip(schema.split(", "), columns, kinds)})
 
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    scored = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(score, schema)
+    scored = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(score, schema)
     scored = materialize(scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema[key].dataType)), "scored")
     discard(asked, counted, words, priced)
     return scored
