@@ -1,4 +1,8 @@
-"""Payment callbacks: nested payloads parsed, validated and held against the requests they answer."""
+"""Payment callbacks: payloads of two kinds parsed, validated and held against the requests they answer.
+
+A payload is parsed once, as a VARIANT, and its top-level key tells its kind:
+``Body.stkCallback`` for payments (``stk``), ``Result`` for payouts (``b2c``).
+"""
 
 from __future__ import annotations
 
@@ -8,21 +12,46 @@ from pyspark.sql import functions as F
 # Formats, limits and flags of the callback contract.
 RECEIPT, MSISDN = r"^[A-Z0-9]{10}$", r"^254[17]\d{8}$"
 LEAST, MOST, MOST_PAYOUT, SKEW_SECONDS = 1.0, 150_000.0, 500_000.0, 300
-PAYLOAD = "Body struct<stkCallback struct<MerchantRequestID string, CheckoutRequestID string, ResultCode int, CallbackMetadata struct<Item array<struct<Name string, Value string>>>>>"
+STK, B2C = "stk", "b2c"
+STK_ITEMS = {"MpesaReceiptNumber": "receipt", "Amount": "amount", "PhoneNumber": "msisdn", "TransactionDate": "paid_at"}
+B2C_ITEMS = {
+    "TransactionReceipt": "receipt", "TransactionAmount": "amount", "B2CPartyName": "party_name", "B2CRecipientRegisteredMetadata": "recipient_status",
+    "B2CChargesPaidAccount": "charges", "B2CUtilityAccountAvailableFunds": "utility_funds", "B2CWorkingAccountAvailableFunds": "working_funds",
+}
+_STK_ROOT, _B2C_ROOT = "$.Body.stkCallback", "$.Result"
 
 
 def parse(payload: Column) -> Column:
-    """A struct of the ids, the result code and the items by name, as strings; null where the payload is not JSON."""
-    body = F.from_json(payload, PAYLOAD)["Body"]["stkCallback"]
-    item = lambda n: F.get(F.filter(body["CallbackMetadata"]["Item"], lambda x: x["Name"] == n), F.lit(0))["Value"]
+    """A struct of the kind, the ids, the result code and the items by name, as strings; null fields where the payload has none, and no kind where it is of neither.
+
+    The first item of a name counts. A payout names its recipient as number and name in one.
+    """
+    v = F.try_parse_json(payload)
+    at = lambda path, kind: F.try_variant_get(v, path, kind)
+    kind = F.when(at(_STK_ROOT, "variant").isNotNull(), STK).when(at(_B2C_ROOT, "variant").isNotNull(), B2C)
+    stk_items = at(f"{_STK_ROOT}.CallbackMetadata.Item", "array<struct<Name string, Value string>>")
+    b2c_items = at(f"{_B2C_ROOT}.ResultParameters.ResultParameter", "array<struct<Key string, Value string>>")
+
+    def first(items: Column, key: str, theirs: str) -> Column:
+        return F.get(F.filter(items, lambda x: x[key] == theirs), F.lit(0))["Value"]
+
+    def item(name: str) -> Column:
+        kinds = ((stk_items, STK_ITEMS, "Name"), (b2c_items, B2C_ITEMS, "Key"))
+        return F.coalesce(*[first(items, key, theirs) for items, names, key in kinds for theirs, ours in names.items() if ours == name])
+
+    party = item("party_name")
     return F.struct(
-        body["MerchantRequestID"].alias("merchant_request_id"),
-        body["CheckoutRequestID"].alias("checkout_request_id"),
-        body["ResultCode"].alias("result_code"),
-        item("MpesaReceiptNumber").alias("receipt"),
-        item("Amount").alias("amount"),
-        item("PhoneNumber").alias("msisdn"),
-        item("TransactionDate").alias("paid_at"),
+        kind.alias("kind"),
+        at(f"{_STK_ROOT}.MerchantRequestID", "string").alias("merchant_request_id"),
+        F.coalesce(at(f"{_STK_ROOT}.CheckoutRequestID", "string"), at(f"{_B2C_ROOT}.OriginatorConversationID", "string")).alias("checkout_request_id"),
+        at(f"{_B2C_ROOT}.ConversationID", "string").alias("conversation_id"),
+        F.coalesce(at(f"{_STK_ROOT}.ResultCode", "int"), at(f"{_B2C_ROOT}.ResultCode", "int")).alias("result_code"),
+        item("receipt").alias("receipt"),
+        item("amount").alias("amount"),
+        F.coalesce(item("msisdn"), F.regexp_extract(party, r"^\s*(\+?\d+)", 1)).alias("msisdn"),
+        item("paid_at").alias("paid_at"),
+        F.nullif(F.trim(F.regexp_extract(party, r"^[^-]*-(.*)$", 1)), F.lit("")).alias("party_name"),
+        *[item(c).alias(c) for c in ("recipient_status", "charges", "utility_funds", "working_funds")],
     )
 
 
@@ -43,40 +72,52 @@ def validate(callbacks: DataFrame, now: Column, payout: bool = False, payload: s
     """``callbacks`` with what the payload says, typed, a verdict and its reasons.
 
     A verdict is ``accept``, ``failed`` (the payment failed, items are not
-    read), ``review`` (no result code) or ``reject``. A time that is missing or
-    cannot be read is a warning; one beyond the clock's skew in the future rejects.
+    judged), ``review`` (no result code) or ``reject``. What cannot be parsed or
+    lacks a receipt or an amount is rejected, with a result code or without. A
+    time that is missing or cannot be read is a warning, and payouts tell none;
+    one beyond the clock's skew in the future rejects. Payouts may be larger;
+    ``payout`` allows all payloads that much. Charges may be negative, and are not judged.
     """
     p = callbacks.withColumn("__p", parse(F.col(payload)))
     paid = F.try_to_timestamp(F.regexp_replace(F.col("__p.paid_at"), r"\.0$", ""), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
     p = p.select(
         *callbacks.columns,
-        *[F.col(f"__p.{c}").alias(c) for c in ("merchant_request_id", "checkout_request_id", "result_code", "receipt")],
-        truncated(F.col("__p.amount")).alias("amount"),
+        *[F.col(f"__p.{c}").alias(c) for c in ("kind", "merchant_request_id", "checkout_request_id", "conversation_id", "result_code", "receipt", "party_name", "recipient_status")],
+        *[truncated(F.col(f"__p.{c}")).alias(c) for c in ("amount", "charges", "utility_funds", "working_funds")],
         normal_msisdn(F.col("__p.msisdn")).alias("msisdn"),
         F.when(F.col("__p.paid_at").rlike(r"^\d{14}(\.0)?$"), paid).alias("paid_at"),
     )
     late = F.col("paid_at") > now.cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(SKEW_SECONDS))
+    most = F.lit(MOST_PAYOUT) if payout else F.when(F.col("kind") == B2C, MOST_PAYOUT).otherwise(MOST)
     faults = {
         "receipt": ~F.coalesce(F.col("receipt").rlike(RECEIPT), F.lit(False)),
-        "amount": ~F.coalesce(F.col("amount").between(LEAST, MOST_PAYOUT if payout else MOST), F.lit(False)),
+        "amount": ~F.coalesce(F.col("amount").between(F.lit(LEAST), most), F.lit(False)),
         "msisdn": F.col("msisdn").isNull(),
         "future": F.coalesce(late, F.lit(False)),
     }
-    reasons = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in faults.items()]))
+    missing = {"receipt": F.coalesce(F.col("receipt"), F.lit("")) == "", "amount": F.col("amount").isNull()}
+    named = lambda some: F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in some.items()]))
     code = F.col("result_code")
-    p = p.withColumn("reasons", F.when(code == 0, reasons).otherwise(F.array().cast("array<string>")))
-    verdict = F.when(code.isNull(), "review").when(code != 0, "failed").when(F.size("reasons") > 0, "reject").otherwise("accept")
-    return p.withColumns({"verdict": verdict, "no_time": (code == 0) & F.col("paid_at").isNull()})
+    p = p.withColumn("reasons", F.when(code == 0, named(faults)).when(code.isNull(), named(missing)).otherwise(F.array().cast("array<string>")))
+    verdict = F.when(F.size("reasons") > 0, "reject").when(code.isNull(), "review").when(code != 0, "failed").otherwise("accept")
+    no_time = (code == 0) & F.col("paid_at").isNull() & (F.col("kind") == STK)
+    return p.withColumns({"verdict": verdict, "no_time": no_time})
 
 
 def reconcile(validated: DataFrame, requests: DataFrame) -> DataFrame:
-    """Flags of callbacks against ``requests`` (checkout_request_id, requested_amount), one row a callback and flag."""
-    asked = requests.select("checkout_request_id", "requested_amount", F.lit(True).alias("__asked"))
+    """Flags of callbacks against ``requests`` (checkout_request_id, requested_amount), one row a callback and flag.
+
+    A payout answers the request of its originator's conversation. Requests of
+    one id are one; if they ask for different amounts, the least and the greatest
+    count as asked for. A failed payout that has a receipt is inconsistent. Charges are held against nothing.
+    """
+    asked = requests.groupBy("checkout_request_id").agg(F.min("requested_amount").alias("__least"), F.max("requested_amount").alias("__most"), F.lit(True).alias("__asked"))
     both = validated.join(asked, "checkout_request_id", "left")
+    off = lambda c: F.abs(F.col("amount") - F.col(c)) >= 1.0
     flags = {
         "ORPHAN_CALLBACK": F.col("__asked").isNull(),
-        "INCONSISTENT_B2C_STATE": (F.col("result_code") != 0) & F.col("receipt").isNotNull(),
-        "AMOUNT_INTEGRITY_FAILURE": (F.col("result_code") == 0) & (F.abs(F.col("amount") - F.col("requested_amount")) >= 1.0),
+        "INCONSISTENT_B2C_STATE": (F.col("kind") == B2C) & (F.col("result_code") != 0) & (F.coalesce(F.col("receipt"), F.lit("")) != ""),
+        "AMOUNT_INTEGRITY_FAILURE": (F.col("result_code") == 0) & off("__least") & off("__most"),
     }
     flag = F.explode(F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in flags.items()])))
     return both.select(*validated.columns, flag.alias("flag"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.operators.trailing import Decayed, Different, Total, cents, count_if, deviation, squares, with_trailing
+
 HOUR, DAY = 3600, 86400
 
 
@@ -13,11 +15,6 @@ def seconds(ts: str | Column) -> Column:
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})") if isinstance(ts, str) else F.unix_seconds(ts)
 
 
-def trailing(key: str | list[str], span: int):
-    """The ``span`` seconds up to and with each row; wants a column ``at`` of seconds."""
-    return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy("at").rangeBetween(-span, 0)
-
-
 def money(c: str) -> Column:
     return F.sum(F.col(c).cast("decimal(18,2)"))
 
@@ -37,7 +34,8 @@ def velocity(t: DataFrame, count: int, turnover: float) -> DataFrame:
 def structuring(t: DataFrame, low: float, high: float, pair_count: int, window_sum: float, span: int = 12 * HOUR) -> DataFrame:
     """Amounts just below a limit, several the same day for the same pair, and a large sum in the hours before."""
     pair = Window.partitionBy("sender", "receiver", F.to_date("ts"))
-    s = t.withColumns({"pair_day": F.count(F.lit(1)).over(pair), "window_sum": money("amount").over(trailing("sender", span)).cast("double")})
+    s = with_trailing(t.withColumn("pair_day", F.count(F.lit(1)).over(pair)), "sender", {"window_sum": Total(span, cents("amount"))})
+    s = s.withColumn("window_sum", F.col("window_sum").cast("double"))
     hit = F.col("amount").between(low, high) & (F.col("pair_day") >= pair_count) & (F.col("window_sum") > window_sum)
     return s.filter(hit).select("txn", "sender", "receiver", "pair_day", "window_sum", F.lit("STRUCTURING_SUSPECTED").alias("flag"))
 
@@ -54,18 +52,17 @@ def float_anomaly(t: DataFrame, growth: float = 500_000, span: int = 3 * HOUR, c
 
     ``ratio``: of cash in to what is sent in a window of its own, above which the row is marked as of high confidence.
     """
-    w = trailing("agent", span)
-    inflow = F.sum(F.when(F.col("kind") == "in", F.col("amount").cast("decimal(18,2)"))).over(w).cast("double")
-    sent = F.count(F.when((F.col("kind") == "out") & (F.col("amount") >= each), F.lit(1))).over(w)
-    wide = trailing("agent", ratio_span)
-    cash = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("amount").cast("decimal(18,2)"))).over(wide).cast("double"), F.lit(0.0))
-    s = t.withColumns({"float_growth": inflow, "n_out": sent, "high_confidence": cash("in") > ratio * cash("out")})
+    cash = lambda kind: F.when(F.col("kind") == kind, cents("amount"))
+    sent = count_if((F.col("kind") == "out") & (F.col("amount") >= each))
+    stats = {"float_growth": Total(span, cash("in")), "n_out": Total(span, sent), "__in": Total(ratio_span, cash("in")), "__out": Total(ratio_span, cash("out"))}
+    s = with_trailing(t, "agent", stats)
+    s = s.withColumns({"float_growth": F.col("float_growth").cast("double"), "high_confidence": F.col("__in").cast("double") > ratio * F.col("__out").cast("double")})
     hit = (F.col("float_growth") > growth) & (F.col("n_out") > count)
     return s.filter(hit).select("txn", "agent", "float_growth", "n_out", "high_confidence", F.lit("CUCKOO_SMURFING_RISK").alias("flag"))
 
 
 def geographic(t: DataFrame, places: int, span: int = 12 * HOUR) -> DataFrame:
-    s = t.withColumn("n_places", F.size(F.collect_set("place").over(trailing("sender", span))).cast("long"))
+    s = with_trailing(t, "sender", {"n_places": Different(span, "place")})
     return s.filter(F.col("n_places") > places).select("txn", "sender", "n_places", F.lit("GEOGRAPHIC_ANOMALY").alias("flag"))
 
 
@@ -76,23 +73,21 @@ def threshold_testing(t: DataFrame, tested: Column, per_week: int) -> DataFrame:
 
 def fan(t: DataFrame, one: str, many: str, low: float, high: float, span: int, parties: int, total: float) -> DataFrame:
     """Fan-out (one sender, many receivers) or fan-in: amounts in a band, many counterparties, a large sum within the span."""
-    w = trailing(one, span)
-    s = t.filter(F.col("amount").between(low, high)).withColumns({"parties": F.size(F.collect_set(many).over(w)).cast("long"), "total": money("amount").over(w).cast("double")})
-    return s.filter((F.col("parties") >= parties) & (F.col("total") > total)).select("txn", one, "parties", "total")
+    s = with_trailing(t.filter(F.col("amount").between(low, high)), one, {"parties": Different(span, many), "total": Total(span, cents("amount"))})
+    return s.withColumn("total", F.col("total").cast("double")).filter((F.col("parties") >= parties) & (F.col("total") > total)).select("txn", one, "parties", "total")
 
 
 def new_sender_wave(t: DataFrame, opened: DataFrame, low: float = 140_000, high: float = 149_999, days: int = 7, span: int = 2 * HOUR, senders: int = 3) -> DataFrame:
     """Receivers that ``senders`` or more accounts younger than ``days`` pay amounts in a band within ``span`` seconds. ``opened``: (sender, opened_at in seconds)."""
     young = t.filter(F.col("amount").between(low, high)).join(opened, "sender").filter((F.col("at") - F.col("opened_at")).between(0, days * DAY - 1))
-    w = trailing("receiver", span)
-    s = young.withColumns({"parties": F.size(F.collect_set("sender").over(w)).cast("long"), "total": money("amount").over(w).cast("double")})
-    return s.filter(F.col("parties") >= senders).select("txn", "receiver", "parties", "total")
+    s = with_trailing(young, "receiver", {"parties": Different(span, "sender"), "total": Total(span, cents("amount"))})
+    return s.withColumn("total", F.col("total").cast("double")).filter(F.col("parties") >= senders).select("txn", "receiver", "parties", "total")
 
 
 def gathered_withdrawal(t: DataFrame, deposit: float = 100_000, agents: int = 10, span: int = 4 * HOUR, withdrawal: float = 900_000) -> DataFrame:
     """Withdrawals of ``withdrawal`` or more from accounts that got deposits of just ``deposit`` at ``agents`` or more agents in the ``span`` seconds before."""
-    w = trailing("account", span)
-    s = t.withColumn("n_agents", F.size(F.collect_set(F.when((F.col("kind") == "in") & (F.col("amount") == deposit), F.col("agent"))).over(w)).cast("long"))
+    paid_in = t.withColumn("__at_agent", F.when((F.col("kind") == "in") & (F.col("amount") == deposit), F.col("agent")))
+    s = with_trailing(paid_in, "account", {"n_agents": Different(span, "__at_agent")})
     return s.filter((F.col("kind") == "out") & (F.col("amount") >= withdrawal) & (F.col("n_agents") >= agents)).select("txn", "account", "n_agents")
 
 
@@ -107,8 +102,8 @@ def cooling_off(t: DataFrame, low: float, high: float, gap_low: int, gap_high: i
     banded = t.filter(F.col("amount").between(low, high))
     gap = F.col("at") - F.lag("at").over(Window.partitionBy("sender", "receiver").orderBy("at", "txn"))
     spaced = banded.withColumn("spaced", gap.between(gap_low, gap_high).cast("int"))
-    s = spaced.withColumn("n_spaced", F.sum(F.coalesce("spaced", F.lit(0))).over(trailing(["sender", "receiver"], span)))
-    return s.filter((F.col("spaced") == 1) & (F.col("n_spaced") >= repeats)).select("txn", "sender", "receiver", F.col("n_spaced").cast("long").alias("n_spaced"))
+    s = with_trailing(spaced, ["sender", "receiver"], {"n_spaced": Total(span, F.col("spaced").cast("long"))})
+    return s.filter((F.col("spaced") == 1) & (F.col("n_spaced") >= repeats)).select("txn", "sender", "receiver", "n_spaced")
 
 
 def _within(a: DataFrame, b: DataFrame, span: int, on: tuple[str, str], where: Column) -> DataFrame:
@@ -129,14 +124,6 @@ def chains(t: DataFrame, low: float = 145_000, span: int = 90 * 60, keep_time: b
     return three.filter((F.col("r3") != F.col("sender")) & (F.col("r3") != F.col("receiver"))).select("txn", "txn2", "txn3", F.col("sender").alias("source"), F.col("r3").alias("target"), *([F.col("at")] if keep_time else []))
 
 
-def circular(t: DataFrame, span: int, repeats: int) -> DataFrame:
-    """Pairs that pay each other back within ``span`` seconds, ``repeats`` times or more."""
-    back = t.select(F.col("txn").alias("txn2"), F.col("sender").alias("s2"), F.col("receiver").alias("r2"), F.col("at").alias("at2"))
-    in_time = (F.col("at2") > F.col("at")) & (F.col("at2") <= F.col("at") + span)
-    loops = _within(t.select("txn", "sender", "receiver", "at"), back, span, ("receiver", "s2"), in_time & (F.col("r2") == F.col("sender")))
-    return loops.groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("n_loops")).filter(F.col("n_loops") >= repeats)
-
-
 def large_cash(t: DataFrame, limit: float) -> DataFrame:
     """A single row, or a sender's day, of more than ``limit``."""
     by = t.groupBy("sender", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(money("amount").cast("double").alias("day_sum"), F.max("amount").alias("largest"))
@@ -144,7 +131,7 @@ def large_cash(t: DataFrame, limit: float) -> DataFrame:
 
 
 def rolling_sum_alert(t: DataFrame, limit: float, span: int = 30 * DAY) -> DataFrame:
-    s = t.withColumn("window_sum", money("amount").over(trailing("sender", span)).cast("double"))
+    s = with_trailing(t, "sender", {"window_sum": Total(span, cents("amount"))}).withColumn("window_sum", F.col("window_sum").cast("double"))
     return s.filter(F.col("window_sum") > limit).select("txn", "sender", "window_sum")
 
 
@@ -163,19 +150,26 @@ def replays(t: DataFrame, receipt: str, request: str, span: int = 90 * DAY) -> D
 
 def fraud_features(t: DataFrame) -> DataFrame:
     """Counts, sums and deviations over trailing hours and days per sender and receiver; fraud.py has all of them."""
-    both = {"n_1h": F.count(F.lit(1)).over(trailing("sender", HOUR)), "n_24h": F.count(F.lit(1)).over(trailing("sender", DAY))}
-    both |= {"sum_1h": money("amount").over(trailing("sender", HOUR)).cast("double"), "sum_24h": money("amount").over(trailing("sender", DAY)).cast("double")}
-    both |= {"in_n_24h": F.count(F.lit(1)).over(trailing("receiver", DAY)), "in_sum_24h": money("amount").over(trailing("receiver", DAY)).cast("double")}
-    month = trailing("sender", 30 * DAY)
-    both |= {"avg_30d": F.avg("amount").over(month), "std_30d": F.stddev_samp("amount").over(month)}
-    s = t.withColumns(both)
-    z = F.when(F.col("std_30d") > 0, (F.col("amount") - F.col("avg_30d")) / F.col("std_30d")).otherwise(F.lit(0.0))
-    return s.withColumn("z_30d", F.round(z, 6)).select("txn", "sender", "receiver", "n_1h", "n_24h", "sum_1h", "sum_24h", "in_n_24h", "in_sum_24h", "z_30d")
+    one, amount = F.lit(1).cast("long"), cents("amount")
+    out = {f"n_{n}": Total(span, one) for n, span in (("1h", HOUR), ("24h", DAY))} | {f"sum_{n}": Total(span, amount) for n, span in (("1h", HOUR), ("24h", DAY))}
+    month = {"__n": Total(30 * DAY, one), "__sum": Total(30 * DAY, amount), "__squares": Total(30 * DAY, squares("amount"))}
+    s = with_trailing(t, "sender", out | month)
+    s = with_trailing(s, "receiver", {"in_n_24h": Total(DAY, one), "in_sum_24h": Total(DAY, amount)})
+    dev = deviation(F.col("__n"), F.col("__sum"), F.col("__squares"))
+    z = F.when(dev > 0, (F.col("amount") - F.col("__sum").cast("double") / F.col("__n")) / dev).otherwise(F.lit(0.0))
+    sums = {c: F.col(c).cast("double") for c in ("sum_1h", "sum_24h", "in_sum_24h")}
+    return s.withColumns({**sums, "z_30d": F.round(z, 6)}).select("txn", "sender", "receiver", "n_1h", "n_24h", "sum_1h", "sum_24h", "in_n_24h", "in_sum_24h", "z_30d")
+
+
+def decayed_velocity(t: DataFrame, span: int = 12 * HOUR, half_life: int = 3 * HOUR) -> DataFrame:
+    """A sender's transfers over the last ``span`` seconds, and the same count with those of one half-life ago counted half."""
+    s = with_trailing(t, "sender", {"agg_velocity_12h": Total(span, F.lit(1).cast("long")), "agg_velocity_12h_decayed": Decayed(span, half_life)})
+    return s.select("txn", "sender", "agg_velocity_12h", "agg_velocity_12h_decayed")
 
 
 def risk_tier(score: Column) -> Column:
-    """Fixed cut-offs 0.30, 0.65 and 0.85."""
-    return F.when(score >= 0.85, "critical").when(score >= 0.65, "high").when(score >= 0.30, "medium").otherwise("low")
+    """Fixed cut-offs 0.30, 0.65 and 0.85; each belongs to the tier below it. Null without a score."""
+    return F.when(score > 0.85, "critical").when(score > 0.65, "high").when(score > 0.30, "medium").when(score <= 0.30, "low")
 
 
 def escalates(risk: Column, at: float = 0.7) -> Column:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill import lineage
+
 # Fixed value: amounts above this are high-risk.
 HIGH_RISK_ABOVE = 10_000
 
@@ -17,8 +19,15 @@ def orphans(facts: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def denormalize(facts: DataFrame, dim: DataFrame) -> DataFrame:
-    """Facts with their customers; columns of both sides keep apart as name and name_right."""
-    right = dim.withColumnsRenamed({c: f"{c}_right" for c in dim.columns if c in facts.columns and c != "customer_id"})
+    """Facts with their customers; columns of both sides keep apart as name and name_right, with one more _right as long as that name is taken."""
+    taken, names = {c.lower() for c in (*facts.columns, *dim.columns)}, {}
+    for c in dim.columns:
+        if c != "customer_id" and c.lower() in {f.lower() for f in facts.columns}:
+            names[c] = f"{c}_right"
+            while names[c].lower() in taken:
+                names[c] += "_right"
+            taken.add(names[c].lower())
+    right = dim.withColumnsRenamed(names)
     return facts.join(right, "customer_id").select(*facts.columns, *[c for c in right.columns if c != "customer_id"])
 
 
@@ -75,15 +84,20 @@ def features(facts: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def write(features_: DataFrame, orphans_: DataFrame, path: str, version: str = "1.0", facts: DataFrame | None = None, dim: DataFrame | None = None) -> None:
-    """Features by day, orphans beside them, and a one-line manifest: rows in and out, the time and the columns' types."""
+    """Features and orphans by day, and a one-line manifest of this write: rows in and out, the time and the columns' types.
+
+    The days that are written replace themselves, and other days stay, so a day
+    can be run again. Orphans without a time are a day of their own. A day that
+    has no rows any more stays as it was.
+    """
     root = f"{path}/v{version.removeprefix('v')}"
-    features_.write.mode("overwrite").partitionBy("partition_date").parquet(f"{root}/features")
-    orphans_.write.mode("overwrite").parquet(f"{root}/orphans")
-    spark = features_.sparkSession
-    rows = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    counts = rows(spark.read.parquet(f"{root}/features"), "output_rows").crossJoin(rows(spark.read.parquet(f"{root}/orphans"), "orphan_rows"))
-    for name, df in (("input_rows_fact", facts), ("input_rows_dim", dim)):
-        counts = counts.withColumn(name, F.lit(None).cast("long")) if df is None else counts.crossJoin(rows(df, name))
+    seen = {}
+    for name, df in (("features", features_), ("orphans", orphans_ if "partition_date" in orphans_.columns else temporal(orphans_).select(*orphans_.columns, "partition_date"))):
+        counted, seen[name] = lineage.counted(df, name)
+        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition_date").parquet(f"{root}/{name}")
+    rows = {"output_rows": seen["features"].get["rows"], "orphan_rows": seen["orphans"].get["rows"]}
+    rows |= {name: None if df is None else df.count() for name, df in (("input_rows_fact", facts), ("input_rows_dim", dim))}
     about = {"version": F.lit(version), "timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "schema": F.lit(json.dumps(dict(features_.dtypes)))}
     about |= {"rows": F.col("output_rows"), "orphans": F.col("orphan_rows")}
-    counts.withColumns(about).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/manifest")
+    one = features_.sparkSession.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in rows.items()])
+    one.withColumns(about).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/manifest")

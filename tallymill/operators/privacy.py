@@ -67,23 +67,39 @@ def fidelity(df: DataFrame, value: str, sample: str) -> dict:
     return {"ks_statistic": row["ks_statistic"], "p_value": p, "is_aligned": p > SIGNIFICANCE, "fidelity_status": "PASS" if p > SIGNIFICANCE else "FAIL"}
 
 
+def reference_edges(df: DataFrame, value: str, sample: str, buckets: int = 10, error: float = 1e-4) -> list[float]:
+    """Edges that cut the reference (``sample`` 0) into ``buckets`` of equal counts, from one quantile sketch merged over all partitions.
+
+    The rank of an edge is off by at most ``error`` times the rows. Equal edges
+    are one; without a reference there are none.
+    """
+    at = [i / buckets for i in range(1, buckets)]
+    reference = F.when(F.col(sample) == 0, F.col(value))
+    row = df.agg(F.percentile_approx(reference, at, round(1 / error)).alias("edges")).first()
+    return sorted(set(row["edges"] or []))
+
+
 def psi(df: DataFrame, value: str, sample: str, edges: list[float]) -> DataFrame:
-    """Population stability index over fixed buckets: bucket, expected, actual, part."""
+    """Population stability index over fixed buckets: bucket, expected, actual, part.
+
+    Rows without a value are in no bucket. The share of a sample without rows, and with it the part, is null.
+    """
     bucket = F.lit(0)
     for e in edges:
         bucket = bucket + (F.col(value) > e).cast("int")
-    counts = df.groupBy(bucket.alias("bucket")).agg(F.count_if(F.col(sample) == 0).alias("a"), F.count_if(F.col(sample) != 0).alias("b"))
+    known = df.filter(F.col(value).isNotNull())
+    counts = known.groupBy(bucket.alias("bucket")).agg(F.count_if(F.col(sample) == 0).alias("a"), F.count_if(F.col(sample) != 0).alias("b"))
     total = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    p = counts.crossJoin(F.broadcast(total)).select("bucket", (F.col("a") / F.col("ta")).alias("expected"), (F.col("b") / F.col("tb")).alias("actual"))
-    low = lambda c: F.greatest(F.col(c), F.lit(1e-6))
+    p = counts.crossJoin(F.broadcast(total)).select("bucket", F.try_divide("a", "ta").alias("expected"), F.try_divide("b", "tb").alias("actual"))
+    low = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(1e-6)))
     return p.withColumn("part", (low("actual") - low("expected")) * F.log(low("actual") / low("expected")))
 
 
-# Fixed value: the index at which a drifted feature raises an alert.
+# Fixed value: the index above which a drifted feature raises an alert.
 PSI_ALERT = 0.15
 
 
-def psi_alert(df: DataFrame, value: str, sample: str, edges: list[float], at: float = PSI_ALERT) -> DataFrame:
-    """One row: the index, summed over the buckets, and whether it reaches ``at``."""
+def psi_alert(df: DataFrame, value: str, sample: str, edges: list[float], above: float = PSI_ALERT) -> DataFrame:
+    """One row: the index, summed over the buckets, and whether it is more than ``above``; both null where a sample has no rows."""
     total = psi(df, value, sample, edges).agg(F.sum("part").alias("psi"))
-    return total.withColumn("alert", F.col("psi") >= at)
+    return total.withColumn("alert", F.col("psi") > above)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions.text import tokenize
+from tallymill.session import discard, materialize
 
 # BM25's parameters and the constant of reciprocal rank fusion.
 K1, B, RRF = 1.5, 0.75, 60
@@ -31,22 +33,78 @@ def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
     return df.select("term", "df", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
+def asked_terms(spark: SparkSession, query: str) -> dict[str, int]:
+    """The query's terms and how often each is asked; as many as the query has."""
+    row = spark.createDataFrame([(query,)], "q string").select(tokenize(F.col("q")).alias("w")).first()
+    return dict(Counter(row["w"] or []))
+
+
+def _score_hits(hits: DataFrame, stats: DataFrame, asked: dict[str, int]) -> DataFrame:
+    """(doc_id, score) from (doc_id, doc_len, term, tf) of the asked terms and one row of n_docs, avg_len."""
+    idf = F.broadcast(term_stats(hits, stats))  # one row a query term
+    times = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])[F.col("term")]
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    scored = hits.join(idf, "term").crossJoin(F.broadcast(stats.select("avg_len")))
+    return scored.groupBy("doc_id").agg(F.sum(F.round(times * part, 9).cast("decimal(28,9)")).cast("double").alias("score"))
+
+
 def bm25_scores(docs: DataFrame, query: str, key: str, text: str) -> DataFrame:
     """(doc_id, score) of every document; 0 without a query term; a repeated query term adds again.
 
-    Only the query's terms are exploded: documents are filtered to those words
-    before anything is shuffled.
+    Texts are read and cut into words once: a document's length and its hits are
+    written, and all else comes from these.
     """
-    spark = docs.sparkSession
-    asked = spark.createDataFrame([(query,)], "q string").select(F.explode(tokenize(F.col("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    words = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("w")).select("doc_id", F.size("w").alias("doc_len"), F.explode_outer("w").alias("term"))
-    hits = words.join(F.broadcast(asked), "term").groupBy("doc_id", "doc_len", "term", "times").agg(F.count(F.lit(1)).alias("tf"))
-    stats = corpus_stats(docs, text)
-    idf = term_stats(hits, stats)
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = hits.join(F.broadcast(idf), "term").crossJoin(F.broadcast(stats.select("avg_len")))  # one row a query term
-    sums = scored.groupBy("doc_id").agg(F.sum(F.round(F.col("times") * part, 9).cast("decimal(28,9)")).cast("double").alias("score"))
-    return docs.select(F.col(key).alias("doc_id")).join(sums, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    asked = asked_terms(docs.sparkSession, query)
+    w = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("w"))
+    found = materialize(w.select("doc_id", F.size("w").alias("doc_len"), F.filter("w", lambda x: x.isin(*asked)).alias("found")), "hits")
+    stats = found.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest(F.coalesce("doc_len", F.lit(0)), F.lit(0))).alias("avg_len"))
+    if not asked:
+        return found.select("doc_id", F.lit(0.0).alias("score"))
+    hits = found.select("doc_id", "doc_len", F.explode("found").alias("term")).groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return found.select("doc_id").join(_score_hits(hits, stats, asked), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+class TermIndex:
+    """Postings in a folder: by bucket of the term and batch of documents, beside the documents' lengths and one row of totals a batch.
+
+    A batch that is added again replaces itself. A search reads the buckets of
+    the terms that it asks for, the totals, and the lengths only where documents
+    without a hit are wanted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def add(self, docs: DataFrame, batch: str, key: str = "doc_id", text: str = "text") -> None:
+        """Documents' ids are new ones, or those of the batch that is replaced."""
+        w = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("w"))
+        w = materialize(w.select("doc_id", F.greatest(F.coalesce(F.size("w"), F.lit(0)), F.lit(0)).cast("long").alias("doc_len"), "w"), "words")
+        post = w.select("doc_id", "doc_len", F.explode("w").alias("term")).groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        post = post.withColumn("bucket", self._bucket(F.col("term")))
+        totals = w.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
+        parts = {"postings": (post.repartition("bucket").sortWithinPartitions("bucket", "term"), ["batch", "bucket"]), "lengths": (w.select("doc_id", "doc_len"), ["batch"]), "totals": (totals, ["batch"])}
+        for name, (df, by) in parts.items():
+            df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{name}")
+        discard(w)
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms; only their buckets' folders are listed and read."""
+        asked = self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket(F.col("term")).alias("b")).distinct().collect()
+        return self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin(*[r["b"] for r in asked]) & F.col("term").isin(*terms))
+
+    def scores(self, query: str, every: bool = True) -> DataFrame:
+        """(doc_id, score) of every document, or of those with a hit only."""
+        asked = asked_terms(self.spark, query)
+        lengths = self.spark.read.parquet(f"{self.path}/lengths").select("doc_id")
+        if not asked:
+            return lengths.select("doc_id", F.lit(0.0).alias("score")).filter(F.lit(every))
+        totals = self.spark.read.parquet(f"{self.path}/totals").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
+        stats = totals.select("n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
+        sums = _score_hits(self.postings(list(asked)).select("doc_id", "doc_len", "term", "tf"), stats, asked)
+        return lengths.join(sums, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")) if every else sums
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id", ascending: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymill.operators import callbacks
+from tallymill.operators import callbacks, cycles
 from tallymill.operators import detection as d
 from tallymill.operators import fraud
 from tallymill.plans.registry import query
@@ -96,9 +96,38 @@ def aml_chains(spark, sf_dir):
     return d.chains(transfers(spark, sf_dir), 60_000, 12 * HOUR)
 
 
-@query("aml_circular", f"WITH {T} SELECT a.sender, a.receiver, count(*) AS n_loops FROM t a JOIN t b ON b.sender = a.receiver AND b.receiver = a.sender AND b.sec > a.sec AND b.sec <= a.sec + 604800 GROUP BY 1, 2 HAVING count(*) >= 3")
+def _circular(joins: str, path: str, total: str, least: int, repeats: int, span: int) -> str:
+    return f"""WITH {T}, m AS (SELECT *, amount::DECIMAL(18,2) AS v FROM t WHERE sender <> receiver), c AS (SELECT {path} AS cycle, z.txn, z.sec, max({total}) AS total FROM {joins} GROUP BY ALL HAVING max({total}) >= {least}),
+    r AS (SELECT *, CASE WHEN sec - lag(sec, {repeats - 1}) OVER (PARTITION BY cycle ORDER BY sec, txn::VARCHAR) <= {span} THEN sec END AS alert FROM c)
+    SELECT cycle, count(*) AS n_cycles, max(total)::DOUBLE AS largest, min(alert) AS first_alert_at FROM r GROUP BY cycle HAVING min(alert) IS NOT NULL"""
+
+
+@query("aml_circular", _circular(f"m x JOIN m z ON z.sender = x.receiver AND z.receiver = x.sender AND z.sec > x.sec AND z.sec - x.sec <= {7 * DAY}", "x.sender || '>' || z.sender", "x.v + z.v", 20_000, 3, 7 * DAY))
 def aml_circular(spark, sf_dir):
-    return d.circular(transfers(spark, sf_dir), 7 * DAY, 3)
+    """Money that comes straight back, three times in seven days."""
+    found = cycles.circular_payments(transfers(spark, sf_dir), 2, 20_000, 7 * DAY, 3)
+    return found.withColumn("cycle", F.array_join("cycle", ">"))
+
+
+@query(
+    "aml_merchant_cycles",
+    _circular(
+        f"m x JOIN m y ON y.sender = x.receiver AND y.receiver <> x.sender AND y.sec > x.sec JOIN m z ON z.sender = y.receiver AND z.receiver = x.sender AND z.sec > y.sec AND z.sec - x.sec <= {14 * DAY}",
+        "x.sender || '>' || y.sender || '>' || z.sender", "x.v + y.v + z.v", 50_000, 3, 14 * DAY,
+    ),
+)
+def aml_merchant_cycles(spark, sf_dir):
+    """Money that comes back over two others, at a scale of these amounts: 50,000 a cycle, three times in fourteen days."""
+    found = cycles.circular_payments(transfers(spark, sf_dir), 3, 50_000, 14 * DAY, 3)
+    return found.withColumn("cycle", F.array_join("cycle", ">"))
+
+
+@query(
+    "fraud_velocity",
+    f"WITH {T} SELECT a.txn, a.sender, count(*) AS agg_velocity_12h, round(sum(pow(2, (b.sec - a.sec) / 10800)), 6) AS agg_velocity_12h_decayed FROM t a JOIN t b ON b.sender = a.sender AND b.sec BETWEEN a.sec - 43200 AND a.sec GROUP BY 1, 2",
+)
+def fraud_velocity(spark, sf_dir):
+    return d.decayed_velocity(transfers(spark, sf_dir)).withColumn("agg_velocity_12h_decayed", F.round("agg_velocity_12h_decayed", 6))
 
 
 @query("aml_large_cash", f"WITH {T} SELECT sender, strftime(ts, '%Y-%m-%d') AS day, {_SUM}::DOUBLE AS day_sum, max(amount) AS largest FROM t GROUP BY 1, 2 HAVING max(amount) > 400000 OR {_SUM} >= 400000")
@@ -144,9 +173,10 @@ def accounts(spark):
     "fraud_features_full",
     f"""WITH {T}, a AS (SELECT range AS account, range % 5 AS county, range % 8 * 0.5::DOUBLE - 4.0 AS lat, range % 6 * 0.5::DOUBLE + 34.0 AS lon, 1700000000 - range * 40000 AS opened_at, 1702000000 - range * 9000 AS device_at,
       range % 9 <> 0 AS sim_match, range % 4 + 1 AS tier, range % 3 AS kyc, CASE WHEN range % 10 = 0 THEN 2 ELSE 0 END AS frauds FROM range(150)),
-    p AS (SELECT *, ts::DATE AS day, floor(ln(1 + amount) * 8) AS bucket, (['stk_push', 'b2c', 'p2p', 'agent_float'])[txn % 4 + 1] AS channel FROM t),
-    q AS (SELECT x.txn, count(*) FILTER (y.bucket <= x.bucket) / nullif(count(y.txn), 0) AS pc FROM p x LEFT JOIN p y ON y.sender = x.sender AND y.day BETWEEN x.day - 7 AND x.day - 1 GROUP BY x.txn),
-    w AS (SELECT *, count(*) {_w("sender", HOUR)} AS s1, count(*) {_w("sender", DAY)} AS s24, ({_SUM} {_w("sender", HOUR)})::DOUBLE AS v1, ({_SUM} {_w("sender", DAY)})::DOUBLE AS v24, count(*) {_w("receiver", HOUR)} AS r1, count(*) {_w("receiver", DAY)} AS r24,
+    p AS (SELECT *, ts::DATE AS day, (['stk_push', 'b2c', 'p2p', 'agent_float'])[txn % 4 + 1] AS channel FROM t),
+    q AS (SELECT x.txn, count(*) FILTER (y.amount <= x.amount) / nullif(count(y.txn), 0) AS pc FROM p x LEFT JOIN p y ON y.sender = x.sender AND y.day BETWEEN x.day - 7 AND x.day - 1 GROUP BY x.txn),
+    e AS (SELECT a.txn, sum(pow(2, (b.sec - a.sec) / 10800)) AS decayed FROM t a JOIN t b ON b.sender = a.sender AND b.sec BETWEEN a.sec - 43200 AND a.sec GROUP BY 1),
+    w AS (SELECT *, count(*) {_w("sender", HOUR)} AS s1, count(*) {_w("sender", DAY)} AS s24, count(*) {_w("sender", 12 * HOUR)} AS v12, ({_SUM} {_w("sender", HOUR)})::DOUBLE AS v1, ({_SUM} {_w("sender", DAY)})::DOUBLE AS v24, count(*) {_w("receiver", HOUR)} AS r1, count(*) {_w("receiver", DAY)} AS r24,
       ({_SUM} {_w("receiver", HOUR)})::DOUBLE AS rv, count(*) {_w("agent", HOUR)} AS a1, coalesce((sum(CASE WHEN kind = 'in' THEN amount::DECIMAL(18,2) END) {_w("agent", 3 * HOUR)})::DOUBLE, 0) - coalesce((sum(CASE WHEN kind = 'out' THEN amount::DECIMAL(18,2) END) {_w("agent", 3 * HOUR)})::DOUBLE, 0) AS growth,
       coalesce((sum(CASE WHEN kind = 'in' THEN amount::DECIMAL(18,2) END) {_w("agent", 6 * HOUR)})::DOUBLE, 0) AS ci, coalesce((sum(CASE WHEN kind = 'out' THEN amount::DECIMAL(18,2) END) {_w("agent", 6 * HOUR)})::DOUBLE, 0) AS co,
       len(list_distinct(list(place) {_w("sender", DAY)}))::BIGINT AS sc, len(list_distinct(list(place) {_w("receiver", DAY)}))::BIGINT AS rc, avg(amount) {_w("sender", 30 * DAY)} AS m, stddev_samp(amount) {_w("sender", 30 * DAY)} AS d,
@@ -159,20 +189,23 @@ def accounts(spark):
     a1 AS agent_txn_count_1h, round(growth, 2) AS agent_float_growth_3h, round(CASE WHEN co > 0 THEN ci / co END, 5) AS agent_cash_in_out_ratio_6h, sc AS sender_counties_24h, rc AS receiver_counties_24h, round(km, 3) AS sender_receiver_distance_km, coalesce(same, false)::BIGINT AS is_same_county,
     (channel = 'stk_push')::BIGINT AS is_stk_push, (channel = 'b2c')::BIGINT AS is_b2c, (channel = 'p2p')::BIGINT AS is_p2p, (channel = 'agent_float')::BIGINT AS is_agent_float, (sec - device_at) / 86400 AS device_age_days, coalesce(sim_match, false)::BIGINT AS sim_match_status,
     (sec - opened_at) / 86400 AS account_age_days, tier::BIGINT AS wallet_tier_encoded, kyc::BIGINT AS kyc_level_encoded, coalesce(frauds, 0)::BIGINT AS prev_fraud_flag_count_90d, (amount BETWEEN 140000 AND 149999)::BIGINT AS amount_near_threshold, (amount > 0 AND amount % 100000 = 0)::BIGINT AS is_round_number_100k,
-    round(greatest(0.0, 1 - spent / 500000), 5) AS daily_cumulative_remaining_pct, round(amount * s24, 2) AS amount_x_velocity, amount * ((sec - opened_at) / 86400) AS amount_x_account_age, (amount BETWEEN 140000 AND 149999)::BIGINT * s24 AS threshold_proximity_x_velocity FROM j""",
+    round(greatest(0.0, 1 - spent / 500000), 5) AS daily_cumulative_remaining_pct, round(amount * s24, 2) AS amount_x_velocity, amount * ((sec - opened_at) / 86400) AS amount_x_account_age, round((150000 - amount) * ln(s1 + 1), 3) AS threshold_proximity_x_velocity, v12 AS agg_velocity_12h, round(e.decayed, 5) AS agg_velocity_12h_decayed FROM j JOIN e USING (txn)""",
 )
 def fraud_features_full(spark, sf_dir):
     channel = F.element_at(F.array(*map(F.lit, ("stk_push", "b2c", "p2p", "agent_float"))), (F.col("txn") % 4 + 1).cast("int"))
     out = fraud.features(transfers(spark, sf_dir).withColumn("channel", channel), accounts(spark))
-    places = {"agent_float_growth_3h": 2, "sender_receiver_distance_km": 3, "amount_x_velocity": 2}
+    places = {"agent_float_growth_3h": 2, "sender_receiver_distance_km": 3, "amount_x_velocity": 2, "threshold_proximity_x_velocity": 3}
     exact = {"txn_amount", "days_since_last_txn", "device_age_days", "account_age_days", "amount_x_account_age", "sum_amount_1h_sender", "sum_amount_24h_sender", "sum_amount_1h_receiver"}
     return out.withColumns({c: F.round(c, places.get(c, 5)) for c, kind in out.dtypes if kind == "double" and c not in exact})
 
 
-@query("risk_tiers", "SELECT event_id, CASE WHEN value / 100 >= 0.85 THEN 'critical' WHEN value / 100 >= 0.65 THEN 'high' WHEN value / 100 >= 0.30 THEN 'medium' ELSE 'low' END AS tier, value / 100 >= 0.7 AS escalate FROM events")
+@query("risk_tiers", """SELECT event_id, CASE WHEN score <= 0.30 THEN 'low' WHEN score <= 0.65 THEN 'medium' WHEN score <= 0.85 THEN 'high' ELSE 'critical' END AS tier, score >= 0.70 AS escalate
+  FROM (SELECT event_id, floor(value)::INTEGER % 101 / 100::DOUBLE AS score FROM events UNION ALL SELECT -event_id - 1, value / 500 FROM events)""")
 def risk_tiers(spark, sf_dir):
-    risk = F.col("value") / 100
-    return read_table(spark, sf_dir, "events").select("event_id", d.risk_tier(risk).alias("tier"), d.escalates(risk).alias("escalate"))
+    """Scores of whole hundredths, so that every limit is met, and others."""
+    e = read_table(spark, sf_dir, "events")
+    risk = e.select("event_id", (F.floor("value") % 101 / 100).alias("score")).union(e.select(-F.col("event_id") - 1, F.col("value") / 500))
+    return risk.select("event_id", d.risk_tier(F.col("score")).alias("tier"), d.escalates(F.col("score"), 0.70).alias("escalate"))
 
 
 @query(
@@ -219,49 +252,57 @@ def quarantine_alerts(spark, sf_dir):
 
 
 def sent_callbacks(spark, sf_dir):
-    """Events as callbacks: some receipts, numbers, amounts and times break the contract, some result codes are missing or failures."""
+    """Events as callbacks, every third a payout: some receipts, numbers, amounts and times break the contract, some result codes are missing or failures, some payloads are cut off."""
     e = read_table(spark, sf_dir, "events")
-    item = lambda n, v: F.struct(F.lit(n).alias("Name"), v.cast("string").alias("Value"))
     i = F.col("event_id")
     receipt = F.when(i % 11 == 3, F.lit("short")).otherwise(F.concat(F.lit("R"), F.lpad((i * 7919).cast("string"), 9, "0")))
     phone = F.concat(F.element_at(F.array(*map(F.lit, ("2547", "07", "7", "+2541", "2559"))), (i % 5 + 1).cast("int")), F.lpad(F.col("user_id").cast("string"), 8, "0"))
-    amount = F.when(i % 17 == 0, F.lit("none")).when(i % 13 == 0, F.lit("-5")).otherwise(F.concat(F.floor("value").cast("string"), F.lit(".129")))
+    amount = F.when(i % 17 == 0, F.lit("none")).when(i % 13 == 0, F.lit("-5")).otherwise(F.concat((F.floor("value") * F.when(i % 37 == 0, 2000).otherwise(1)).cast("string"), F.lit(".129")))
     when = F.when(i % 19 == 0, F.lit("20990101000000")).when(i % 23 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyyMMddHHmmss"))
-    items = F.array(item("Amount", amount), item("MpesaReceiptNumber", receipt), item("PhoneNumber", phone), item("TransactionDate", when))
     code = F.when(i % 29 == 0, F.lit(None).cast("int")).when(i % 7 == 0, F.lit(1)).otherwise(F.lit(0))
+    item = lambda key, n, v: F.struct(F.lit(n).alias(key), v.cast("string").alias("Value"))
+    items = F.array(*[item("Name", n, v) for n, v in (("Amount", amount), ("MpesaReceiptNumber", receipt), ("PhoneNumber", phone), ("TransactionDate", when))])
     body = F.struct(F.concat(F.lit("m"), i).alias("MerchantRequestID"), F.concat(F.lit("c"), i).alias("CheckoutRequestID"), code.alias("ResultCode"), F.struct(items.alias("Item")).alias("CallbackMetadata"))
-    return e.select("event_id", F.to_json(F.struct(F.struct(body.alias("stkCallback")).alias("Body"))).alias("payload"))
+    given = (("TransactionAmount", amount), ("TransactionReceipt", receipt), ("B2CPartyName", F.concat(phone, F.lit(" - Jo Doe-Roe"))), ("B2CChargesPaidAccount", -(i % 50)), ("B2CWorkingAccountAvailableFunds", i * 10))
+    result = F.struct(F.concat(F.lit("c"), i).alias("OriginatorConversationID"), F.concat(F.lit("v"), i).alias("ConversationID"), code.alias("ResultCode"), F.struct(F.array(*[item("Key", n, v) for n, v in given]).alias("ResultParameter")).alias("ResultParameters"))
+    payload = F.when(i % 3 == 0, F.to_json(F.struct(result.alias("Result")))).otherwise(F.to_json(F.struct(F.struct(body.alias("stkCallback")).alias("Body"))))
+    return e.select("event_id", F.when(i % 41 == 0, F.substring(payload, 1, 40)).otherwise(payload).alias("payload"))
 
 
-CALLBACKS = r"""e AS (SELECT event_id, CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS code,
+CALLBACKS = r"""e AS (SELECT event_id, event_id % 41 = 0 AS cut, CASE WHEN event_id % 3 = 0 THEN 'b2c' ELSE 'stk' END AS kind, CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS code,
   CASE WHEN event_id % 11 = 3 THEN 'short' ELSE 'R' || lpad((event_id * 7919)::VARCHAR, 9, '0') END AS receipt,
-  CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 13 = 0 THEN -5.0 ELSE floor(value) + 0.12 END AS amount,
-  CASE WHEN event_id % 5 = 4 THEN NULL ELSE '254' || CASE WHEN event_id % 5 = 3 THEN '1' ELSE '7' END || lpad(user_id::VARCHAR, 8, '0') END AS phone,
-  event_id % 19 = 0 AS future, event_id % 19 <> 0 AND event_id % 23 = 0 AS no_time FROM events),
-v AS (SELECT *, CASE WHEN code IS DISTINCT FROM 0 THEN '' ELSE concat_ws(',', CASE WHEN NOT regexp_full_match(receipt, '[A-Z0-9]{10}') THEN 'receipt' END, CASE WHEN coalesce(amount < 1 OR amount > 150000, true) THEN 'amount' END,
-  CASE WHEN phone IS NULL THEN 'msisdn' END, CASE WHEN future THEN 'future' END) END AS reasons FROM e)"""
+  CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 13 = 0 THEN -5.0 ELSE floor(value) * CASE WHEN event_id % 37 = 0 THEN 2000 ELSE 1 END + 0.12 END AS amount,
+  CASE WHEN event_id % 5 = 4 THEN NULL ELSE '254' || CASE WHEN event_id % 5 = 3 THEN '1' ELSE '7' END || lpad(user_id::VARCHAR, 8, '0') END AS phone, -(event_id % 50) AS charges,
+  event_id % 3 > 0 AND event_id % 19 = 0 AS future, event_id % 3 > 0 AND event_id % 19 <> 0 AND event_id % 23 = 0 AS no_time FROM events),
+k AS (SELECT event_id, CASE WHEN NOT cut THEN kind END AS kind, CASE WHEN NOT cut THEN code END AS code, CASE WHEN NOT cut THEN receipt END AS receipt, CASE WHEN NOT cut THEN amount END AS amount, CASE WHEN NOT cut THEN phone END AS phone,
+  CASE WHEN NOT cut AND kind = 'b2c' THEN charges END AS charges, CASE WHEN NOT cut AND kind = 'b2c' THEN 'Jo Doe-Roe' END AS party_name, future AND NOT cut AS future, no_time FROM e),
+v AS (SELECT *, CASE WHEN code IS NULL THEN concat_ws(',', CASE WHEN receipt IS NULL THEN 'receipt' END, CASE WHEN amount IS NULL THEN 'amount' END) WHEN code <> 0 THEN '' ELSE concat_ws(',', CASE WHEN NOT regexp_full_match(receipt, '[A-Z0-9]{10}') THEN 'receipt' END,
+  CASE WHEN coalesce(amount < 1 OR amount > CASE WHEN kind = 'b2c' THEN 500000 ELSE 150000 END, true) THEN 'amount' END, CASE WHEN phone IS NULL THEN 'msisdn' END, CASE WHEN future THEN 'future' END) END AS reasons FROM k)"""
 
 
 @query(
     "callback_payload",
-    f"""WITH {CALLBACKS} SELECT event_id, receipt, round(amount, 2)::DOUBLE AS amount, phone AS msisdn, code AS result_code, reasons, CASE WHEN code IS NULL THEN 'review' WHEN code <> 0 THEN 'failed' WHEN reasons <> '' THEN 'reject' ELSE 'accept' END AS verdict,
-    coalesce(code = 0, NULL) AND no_time AS no_time FROM v""",
+    f"""WITH {CALLBACKS} SELECT event_id, kind, receipt, round(amount, 2)::DOUBLE AS amount, charges::DOUBLE AS charges, party_name, phone AS msisdn, code AS result_code, reasons, CASE WHEN reasons <> '' THEN 'reject' WHEN code IS NULL THEN 'review' WHEN code <> 0 THEN 'failed' ELSE 'accept' END AS verdict,
+    coalesce(code = 0 AND no_time, false) AS no_time FROM v""",
 )
 def callback_payload(spark, sf_dir):
     v = callbacks.validate(sent_callbacks(spark, sf_dir), F.lit("2026-01-01 00:00:00"))
-    return v.select("event_id", "receipt", "amount", "msisdn", "result_code", F.array_join("reasons", ",").alias("reasons"), "verdict", "no_time")
+    no_time = F.coalesce("no_time", F.lit(False))
+    return v.select("event_id", "kind", "receipt", "amount", "charges", "party_name", "msisdn", "result_code", F.array_join("reasons", ",").alias("reasons"), "verdict", no_time.alias("no_time"))
 
 
 @query(
     "callback_flags",
-    f"""WITH {CALLBACKS}, r AS (SELECT event_id, floor(value) + CASE WHEN event_id % 4 = 0 THEN 2 ELSE 0 END AS asked FROM events WHERE event_id % 31 <> 0), x AS (SELECT v.*, r.asked, r.event_id AS known FROM v LEFT JOIN r USING (event_id))
-    SELECT event_id, 'ORPHAN_CALLBACK' AS flag FROM x WHERE known IS NULL UNION ALL SELECT event_id, 'INCONSISTENT_B2C_STATE' FROM x WHERE code <> 0 UNION ALL SELECT event_id, 'AMOUNT_INTEGRITY_FAILURE' FROM x WHERE code = 0 AND abs(amount - asked) >= 1""",
+    f"""WITH {CALLBACKS}, r AS (SELECT event_id, floor(value) * CASE WHEN event_id % 37 = 0 THEN 2000 ELSE 1 END + CASE WHEN event_id % 4 = 0 THEN 2 ELSE 0 END AS asked FROM events WHERE event_id % 31 <> 0), x AS (SELECT v.*, r.asked, r.event_id AS known FROM v LEFT JOIN r ON r.event_id = v.event_id AND kind IS NOT NULL)
+    SELECT event_id, 'ORPHAN_CALLBACK' AS flag FROM x WHERE known IS NULL UNION ALL SELECT event_id, 'INCONSISTENT_B2C_STATE' FROM x WHERE code <> 0 AND kind = 'b2c' UNION ALL SELECT event_id, 'AMOUNT_INTEGRITY_FAILURE' FROM x WHERE code = 0 AND abs(amount - asked) >= 1""",
 )
 def callback_flags(spark, sf_dir):
+    """Every request stands twice; what was asked is off by two for every fourth."""
     e = read_table(spark, sf_dir, "events").filter(F.col("event_id") % 31 != 0)
-    asked = e.select(F.concat(F.lit("c"), F.col("event_id")).alias("checkout_request_id"), (F.floor("value") + F.when(F.col("event_id") % 4 == 0, 2).otherwise(0)).cast("double").alias("requested_amount"))
+    value = F.floor("value") * F.when(F.col("event_id") % 37 == 0, 2000).otherwise(1)
+    asked = e.select(F.concat(F.lit("c"), F.col("event_id")).alias("checkout_request_id"), (value + F.when(F.col("event_id") % 4 == 0, 2).otherwise(0)).cast("double").alias("requested_amount"))
     v = callbacks.validate(sent_callbacks(spark, sf_dir), F.lit("2026-01-01 00:00:00"))
-    return callbacks.reconcile(v, asked).select("event_id", "flag")
+    return callbacks.reconcile(v, asked.union(asked)).select("event_id", "flag")
 
 
 @query("amount_mismatch", "SELECT o_orderkey, round(o_totalprice - coalesce(p, 0), 2) AS difference FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE abs(o_totalprice - coalesce(p, 0)) >= 1")

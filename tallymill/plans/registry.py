@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from tallymill.plans import detection, evaluation, medallion, retrieval, streams  # noqa: E402, F401
+from tallymill.plans import credit, detection, evaluation, medallion, retrieval, streams  # noqa: E402, F401

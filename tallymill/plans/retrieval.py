@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallymill.functions import text
 from tallymill.operators import retrieval as r
 from tallymill.plans.registry import query
-from tallymill.session import read_table
+from tallymill.session import read_table, shared_dir
 
 ASK = "the and thation of thered ouer la que der"
 #: A fixed query vector: alternating steps over the 64 components.
@@ -46,6 +48,16 @@ def bm25_topk(spark, sf_dir):
     return r.top_k(_bm25(spark, sf_dir), 10)
 
 
+@query("bm25_index_topk", f"WITH {_BM25} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_index_topk(spark, sf_dir):
+    """From an index written in two batches, the second one twice."""
+    docs = read_table(spark, sf_dir, "documents")
+    index = r.TermIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", 16)
+    for batch, odd in (("even", 0), ("odd", 1), ("odd", 1)):
+        index.add(docs.filter(F.abs(F.col("doc_id")) % 2 == odd), batch)
+    return r.top_k(index.scores(ASK).withColumn("score", F.round("score", 6)), 10)
+
+
 @query("vector_topk", f"WITH {_L2} SELECT doc_id, distance FROM v ORDER BY distance, doc_id LIMIT 10")
 def vector_topk(spark, sf_dir):
     return r.vector_top_k(read_table(spark, sf_dir, "embeddings"), VECTOR, 10, "vec_id", "embedding")

@@ -16,9 +16,9 @@ def read_files(spark: SparkSession, path: str, schema: StructType, files_per_tri
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def windowed_totals(events: DataFrame, ts: str, key: str, value: str, width: str, late: str) -> DataFrame:
-    """Count and sum per key and tumbling window; state goes once the watermark has passed."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("total"))
+def windowed_totals(events: DataFrame, ts: str, key: str, value: str, width: str, late: str, slide: str | None = None) -> DataFrame:
+    """Count and sum per key and window, tumbling or every ``slide``; state goes once the watermark has passed."""
+    return events.withWatermark(ts, late).groupBy(F.window(ts, width, slide).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 def sessions(events: DataFrame, ts: str, key: str, gap: str, late: str) -> DataFrame:

@@ -79,3 +79,23 @@ def test_write(spark, tmp_path):
 def test_no_rows_or_no_time(spark, rows):
     d = spark.createDataFrame([("c", "A")], "customer_id string, name string")
     assert gold.features(facts(spark, rows), d).count() == len(rows)
+
+
+def test_writing_a_day_leaves_the_others(spark, tmp_path):
+    d = spark.createDataFrame([("c1", "A")], "customer_id string, name string")
+    run = lambda *rows: gold.write(gold.features(facts(spark, rows), d), gold.orphans(facts(spark, rows), d), str(tmp_path))
+    run(("c1", 1.0, SUNDAY), ("c1", 2.0, SUNDAY + dt.timedelta(days=1)), ("c9", 3.0, SUNDAY), ("c9", 3.0, None))
+    run(("c1", 5.0, SUNDAY), ("c1", 6.0, SUNDAY), ("c9", 7.0, SUNDAY + dt.timedelta(days=2)))
+    got = {(str(r.partition_date), r.amount) for r in spark.read.parquet(str(tmp_path / "v1.0/features")).collect()}
+    assert got == {("2024-01-07", 5.0), ("2024-01-07", 6.0), ("2024-01-08", 2.0)}
+    left = {(str(r.partition_date), r.amount) for r in spark.read.parquet(str(tmp_path / "v1.0/orphans")).collect()}
+    assert left == {("2024-01-07", 3.0), ("None", 3.0), ("2024-01-09", 7.0)}
+    m = spark.read.json(str(tmp_path / "v1.0/manifest")).first()
+    assert (m.output_rows, m.orphan_rows) == (2, 1)
+
+
+def test_names_that_are_taken_on_both_sides(spark):
+    f = spark.createDataFrame([("c1", 1, 2)], "customer_id string, name int, name_right int")
+    d = spark.createDataFrame([("c1", 3, 4, 5)], "customer_id string, name int, NAME_RIGHT int, name_right_right int")
+    r = gold.denormalize(f, d).first().asDict()
+    assert len(r) == 6 and sorted(v for k, v in r.items() if k != "customer_id") == [1, 2, 3, 4, 5]

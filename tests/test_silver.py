@@ -23,7 +23,7 @@ def test_standardize(spark):
     df = spark.createDataFrame([("  alice smith\t", " Alice@Example.com \n", None, "12.5", "2024-01-07T10:00:00"), ("B", "b", "kes", "x", "never")], "customer_name string, email string, currency string, amount string, timestamp string")
     a, b = silver.standardize(df).orderBy("customer_name").collect()
     assert (a.customer_name, a.email, a.currency, a.amount, a.timestamp) == ("ALICE SMITH", "alice@example.com", "USD", 12.5, dt.datetime(2024, 1, 7, 10))
-    assert (b.currency, b.amount, b.timestamp) == ("kes", None, None)
+    assert (b.currency, b.amount, b.timestamp) == ("KES", None, None)
 
 
 def test_history_is_kept_and_customers_are_one(spark):
