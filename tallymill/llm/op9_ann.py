@@ -139,8 +139,15 @@ class Cells:
         return who[order], where[order]
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component near 1, so that squares neither vanish nor overflow; cosines stay exactly as they are."""
+    _, power = np.frexp(np.abs(vectors).max(-1, keepdims=True))
+    return np.ldexp(vectors, -power)
+
+
 def project(vectors: np.ndarray, dims: int, seed: int) -> np.ndarray:
     """Gaussian coordinates of the unit vectors."""
+    vectors = scaled(vectors)
     norms = np.sqrt((vectors * vectors).sum(1))
     return (vectors / norms[:, None]) @ np.random.default_rng(seed).standard_normal((vectors.shape[1], dims))
 
@@ -164,14 +171,14 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries
     by = np.lexsort((rows, ids, inverse))  # of equal vectors the k + 1 with the least ids: one of them may be the query
     begins = np.searchsorted(inverse[by], np.arange(len(first)))
     copies = [by[b : min(e, b + k + 1)] for b, e in zip(begins, np.append(begins[1:], len(by)), strict=True)]
-    points = vectors[first].astype(float)
+    points = scaled(vectors[first].astype(float))
     norms = np.sqrt((points * points).sum(1))
     spread = np.random.default_rng(seed).standard_normal((points.shape[1], dims))
     tree = Tree((points / norms[:, None]) @ spread)
     stop = chi_square_point(confidence, dims)
     found, verified = [], 0
     least = np.full(len(queries), -1.0) if least is None else least
-    for q, own, low in zip(queries.astype(float), query_rows, least, strict=True):
+    for q, own, low in zip(scaled(queries.astype(float)), query_rows, least, strict=True):
         norm = np.sqrt((q * q).sum())
         order, near = tree.by_distance((q / norm) @ spread)
         best_i, best_s, at, batch = np.zeros(0, np.int64), np.zeros(0), 0, 2

@@ -355,3 +355,16 @@ def test_block_keys_of_one_bit_apart(spark):
         pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
     df = spark.createDataFrame(pairs, "a long, b long")
     assert df.filter(~F.arrays_overlap(op10.block_keys(F.col("a")), op10.block_keys(F.col("b")))).count() == 0
+
+
+@pytest.mark.parametrize("power", [-700, 700])
+def test_tiny_and_huge_vectors_are_found_as_others_are(spark, power):
+    """Their squares are 0 or infinite; cosines are those of the same vectors at another size, to the bit."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((60, 16))
+    rows = lambda v: spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    found = lambda v: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in op9.nearest(rows(v), every=10).collect())
+    mixed = vectors.copy()
+    mixed[::3] = np.ldexp(vectors[::3], power)
+    want = found(vectors)
+    assert len(want) == 30 and found(np.ldexp(vectors, power)) == want == found(mixed)
