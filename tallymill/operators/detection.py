@@ -176,46 +176,6 @@ def escalates(risk: Column, at: float = 0.7) -> Column:
     return risk >= F.lit(at)
 
 
-def credit_features(t: DataFrame, key: str = "sender", other: str = "receiver") -> DataFrame:
-    """Per account: volume, spread, frequency, the slope of amounts over time, regularity and the network of its parties."""
-    gap = F.col("at") - F.lag("at").over(Window.partitionBy(key).orderBy("at", "txn"))
-    days = F.greatest((F.max("at") - F.min("at")) / F.lit(DAY), F.lit(1.0))
-    by = t.withColumn("__gap", gap).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        money("amount").cast("double").alias("volume"),
-        F.round(money("amount").cast("double") / F.count("amount"), 6).alias("avg_amount"),
-        F.countDistinct(other).alias("parties"),
-        F.round(F.regr_slope("amount", F.col("at") / F.lit(DAY)), 3).alias("slope_per_day"),
-        F.round(F.count(F.lit(1)) / days, 6).alias("txn_frequency_per_day"),
-        F.round(F.stddev_samp("__gap"), 3).alias("txn_interval_deviation"),
-        F.round((F.max("at") - F.min("at")) / F.lit(DAY), 6).alias("wallet_age_days"),
-    )
-    return by
-
-
-def monthly_income(t: DataFrame, key: str = "receiver") -> DataFrame:
-    """Per account: mean, coefficient of variation and slope of its monthly inflow."""
-    month = F.date_format("ts", "yyyy-MM")
-    by = t.groupBy(key, month.alias("month")).agg(money("amount").cast("double").alias("income"))
-    step = F.row_number().over(Window.partitionBy(key).orderBy("month")).cast("double")
-    s = by.withColumn("step", step).groupBy(key).agg(
-        F.count(F.lit(1)).alias("months"),
-        F.avg("income").alias("mean"),
-        F.stddev_samp("income").alias("deviation"),
-        F.regr_slope("income", "step").alias("slope"),
-    )
-    cv = F.when(F.col("mean") > 0, F.col("deviation") / F.col("mean"))
-    return s.select(key, "months", F.round("mean", 4).alias("avg_monthly_income"), F.round(cv, 6).alias("income_volatility_cv"), F.round("slope", 3).alias("income_growth_trend"))
-
-
-def reciprocity(t: DataFrame) -> DataFrame:
-    """Per account: transfers received per transfer sent, and how many parties it has had dealings with."""
-    out = t.select(F.col("sender").alias("account"), F.col("receiver").alias("party"), F.lit(1).alias("o"), F.lit(0).alias("i"))
-    into = t.select(F.col("receiver").alias("account"), F.col("sender").alias("party"), F.lit(0).alias("o"), F.lit(1).alias("i"))
-    by = out.unionByName(into).groupBy("account").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.countDistinct("party").alias("network_density"))
-    return by.withColumn("reciprocity_score", F.round(F.when(F.col("n_out") > 0, F.col("n_in") / F.col("n_out")), 6))
-
-
 def credit_decision(probability: Column) -> Column:
     """Fixed cut-offs of the default probability: 0.14 and above declines, 0.09 and above refers, below approves."""
     return F.when(probability >= 0.14, "DECLINE").when(probability >= 0.09, "REFER").when(probability < 0.09, "APPROVE")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallymill.functions.text import citation_similarity
@@ -41,3 +43,22 @@ def alignment(expected: Column, actual: Column) -> Column:
     low = F.transform(actual, lambda a: F.lower(a))
     covered = F.filter(expected, lambda e: F.exists(low, lambda a: F.exists(F.filter(F.split(F.lower(e), r"\s+"), lambda w: w != ""), lambda w: F.contains(a, w))))
     return F.when(F.size(expected) == 0, (F.size(actual) == 0).cast("double")).otherwise(F.size(covered) / F.size(expected))
+
+
+def evaluate(cases: DataFrame, retrieve: Callable[[DataFrame], DataFrame], query_builder: Callable[[DataFrame], Column] | None = None, ks=(1, 3, 5)) -> DataFrame:
+    """``per_case`` of what ``retrieve`` finds for each case's query.
+
+    ``query_builder`` makes the query's column from the cases (by default the
+    category and the target); ``retrieve`` takes (case_id, query) and returns (case_id, rank, content).
+    """
+    build = query_builder or (lambda c: F.concat_ws(" ", c["category"], c["target"]))
+    found = retrieve(cases.select("case_id", build(cases).alias("query")))
+    return per_case(cases.select("case_id", "category", "target").join(found.select("case_id", "rank", "content"), "case_id"), cases, ks)
+
+
+def lookup(df: DataFrame, key: str, value) -> Row:
+    """The one row whose ``key`` is ``value``; KeyError where there is none or several."""
+    found = df.filter(F.col(key) == F.lit(value)).limit(2).collect()
+    if len(found) != 1:
+        raise KeyError(f"{key} = {value!r} has {'no row' if not found else 'several rows'}")
+    return found[0]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,6 +158,15 @@ def hybrid_rrf(dense: DataFrame, sparse: DataFrame, k: int, constant: int = RRF)
     return top_k(sums, k)
 
 
+def rerank(hits: DataFrame, score: Callable[[DataFrame], Column] | None = None, k: int | None = None) -> DataFrame:
+    """Hits with a confidence_score: that of ``score``, a column over the hits (a model behind a pandas UDF, say), best first and ties by doc_id; without one all are alike and stay as they are."""
+    if score is None:
+        out = hits.withColumn("confidence_score", F.lit(0.5))
+        return out.limit(k) if k else out
+    out = hits.withColumn("confidence_score", score(hits)).orderBy(F.desc_nulls_last("confidence_score"), F.asc("doc_id"))
+    return out.limit(k) if k else out
+
+
 def context(hits: DataFrame, content: str = "content", source: str = "source_id", score: str = "confidence_score", rank: str = "rank") -> DataFrame:
     """One row: the hits as numbered blocks; of a top-k list."""
     block = F.format_string("[%d] Source: %s\nContent: %s\nConfidence: %.3f", F.col(rank), F.col(source), F.col(content), F.col(score))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill import rules
@@ -113,7 +113,7 @@ def drift_report(bronze: DataFrame, facts: DataFrame, dim: DataFrame, partition_
 
 
 def write(tables: dict[str, DataFrame], root: str, partition_key: str) -> None:
-    """Facts and dimension of a partition replace what is there; quarantine and drift are appended, drift by columns that are there or new."""
+    """Facts and dimension of a partition replace what is there; quarantine and drift are appended."""
     for name in ("facts", "dimension"):
         tables[name].write.mode("overwrite").parquet(f"{root}/{name}/{partition_key}")
     write_quarantine(tables["quarantine"], f"{root}/quarantine")
@@ -121,9 +121,34 @@ def write(tables: dict[str, DataFrame], root: str, partition_key: str) -> None:
 
 
 def append_drift(report: DataFrame, path: str) -> None:
+    """Columns may be new or missing: ``drift_history`` reads what any report has."""
     report.write.mode("append").parquet(path)
 
 
+def drift_history(spark: SparkSession, path: str) -> DataFrame:
+    """All reports, with the columns of each; null where a report lacks one."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+# The share of a run's rows, and the rows of a day, above which quarantine raises an alert.
+RUN_SHARE, DAY_ROWS = 0.05, 1000
+
+
+def quarantine_alerts(held: DataFrame, runs: DataFrame, share: float = RUN_SHARE, rows: int = DAY_ROWS) -> DataFrame:
+    """(kind, name, held, checked, alert): quarantine by run against the rows it checked, and by day of its timestamp.
+
+    ``runs``: (validation_run_id, checked), summed where a run stands several
+    times; runs without held rows are told too, as are held rows of runs that
+    ``runs`` lacks, whose ``checked`` is null and which alert.
+    """
+    checked = runs.groupBy("validation_run_id").agg(F.sum("checked").alias("checked"))
+    by_run = held.groupBy("validation_run_id").agg(F.count(F.lit(1)).alias("held")).join(checked, "validation_run_id", "full")
+    by_run = by_run.select(F.lit("run").alias("kind"), F.col("validation_run_id").alias("name"), F.coalesce("held", F.lit(0)).cast("long").alias("held"), "checked")
+    by_run = by_run.withColumn("alert", F.when(F.coalesce("checked", F.lit(0)) > 0, F.col("held") / F.col("checked") > share).otherwise(F.col("held") > 0))
+    by_day = held.groupBy(F.substring("quarantine_timestamp", 1, 8).alias("name")).agg(F.count(F.lit(1)).alias("held"))
+    return by_run.unionByName(by_day.select(F.lit("day").alias("kind"), "name", "held", F.lit(None).cast("long").alias("checked"), (F.col("held") > rows).alias("alert")))
+
+
 def build(bronze: DataFrame, partition_key: str | None = None, suite: Sequence[rules.Rule] = rules.DEFAULT_SUITE, run_id: str = "") -> dict[str, DataFrame]:
     """All of Silver from one Bronze partition: facts, dimension, quarantine, drift.
 

@@ -35,9 +35,7 @@ def profiles(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").select(F.floor(k / 25).alias("account"), F.date_add(F.lit("1995-01-01").cast("date"), F.col("c_nationkey").cast("int")).alias("registered_at"), F.date_add(F.lit("1996-01-01").cast("date"), (k % 900).cast("int")).alias("sim_since"), (k % 3 == 0).alias("feature_phone"))
 
 
-@query(
-    "credit_inputs",
-    f"""WITH p AS (SELECT account, max({{'r': r, 's': s, 'f': f}}) AS p FROM (SELECT c_custkey // 25 AS account, DATE '1995-01-01' + c_nationkey::INTEGER AS r, DATE '1996-01-01' + (c_custkey % 900)::INTEGER AS s, c_custkey % 3 = 0 AS f FROM customer) GROUP BY account),
+_CREDIT = f"""WITH p AS (SELECT account, max({{'r': r, 's': s, 'f': f}}) AS p FROM (SELECT c_custkey // 25 AS account, DATE '1995-01-01' + c_nationkey::INTEGER AS r, DATE '1996-01-01' + (c_custkey % 900)::INTEGER AS s, c_custkey % 3 = 0 AS f FROM customer) GROUP BY account),
     l AS (SELECT o_custkey // 25 AS account, o_orderkey AS txn, o_orderdate AS ts, o_orderkey % 7 AS party, o_orderkey % 2 = 0 AS into_it, ({list(KINDS)})[o_orderkey // 2 % 8 + 1] AS kind, o_orderpriority AS category, o_totalprice::DECIMAL(18,2) AS amount,
       CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey * 37 % 100000)::DECIMAL(18,2) END AS balance FROM orders WHERE o_orderdate <= TIMESTAMP '{AS_OF}'),
     s AS (SELECT account, i AS step, DATE '2000-12-01' + to_months((i - 1)::INTEGER) AS a, DATE '2000-12-01' + to_months(i::INTEGER) AS z FROM (SELECT DISTINCT account FROM l), range(1, 7) AS r(i)),
@@ -58,7 +56,12 @@ def profiles(spark, sf_dir):
     w AS (SELECT account, count(DISTINCT due) AS spells FROM u x WHERE due < til AND NOT EXISTS (SELECT 1 FROM u y WHERE y.account = x.account AND y.due < y.til AND y.due < x.due AND y.til >= x.due) GROUP BY 1),
     pm AS (SELECT DISTINCT account, party, year(ts) * 12 + month(ts) AS mo FROM l),
     r AS (SELECT account, party, max(n) AS n FROM (SELECT account, party, count(*) AS n FROM (SELECT *, mo - row_number() OVER (PARTITION BY account, party ORDER BY mo) AS k FROM pm) GROUP BY account, party, k) GROUP BY 1, 2),
-    nt AS (SELECT account, count(*) FILTER (n > 6) AS trusted_network_size FROM r GROUP BY 1), nd AS (SELECT account, count(*) / 6 AS network_density FROM pm WHERE mo BETWEEN 2001 * 12 + 0 AND 2001 * 12 + 5 GROUP BY 1)
+    nt AS (SELECT account, count(*) FILTER (n > 6) AS trusted_network_size FROM r GROUP BY 1), nd AS (SELECT account, count(*) / 6 AS network_density FROM pm WHERE mo BETWEEN 2001 * 12 + 0 AND 2001 * 12 + 5 GROUP BY 1)"""
+
+
+@query(
+    "credit_inputs",
+    f"""{_CREDIT}
     SELECT account, round(avg_monthly_income_6m, 4) AS avg_monthly_income_6m, round(income_volatility_cv, 6) AS income_volatility_cv, min_monthly_balance_6m, round(savings_rate, 6) AS savings_rate, round(income_growth_trend, 4) AS income_growth_trend, round(txn_regularity_score, 6) AS txn_regularity_score,
       round(fuliza_repayment_rate, 6) AS fuliza_repayment_rate, round(loan_utilization_ratio, 6) AS loan_utilization_ratio, round(avg_days_to_repay, 6) AS avg_days_to_repay, max_delinquency_days, coalesce(spells, 0) - coalesce(open, false)::BIGINT AS credit_resurrection_count,
       round(avg_txn_amount::DOUBLE, 4) AS avg_txn_amount, round(txn_frequency_per_day, 6) AS txn_frequency_per_day, coalesce(merchant_diversity, 0) AS merchant_diversity, round(airtime_to_cash_ratio::DOUBLE, 6) AS airtime_to_cash_ratio, coalesce(savings_group_indicators, 0) AS savings_group_indicators,
@@ -67,12 +70,42 @@ def profiles(spark, sf_dir):
     FROM p LEFT JOIN c USING (account) LEFT JOIN b USING (account) LEFT JOIN d USING (account) LEFT JOIN w USING (account) LEFT JOIN nt USING (account) LEFT JOIN nd USING (account)""",
 )
 def credit_inputs(spark, sf_dir):
-    out = credit.credit_features(ledger(spark, sf_dir), advances(spark, sf_dir), profiles(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz"))
+    out = credit.credit_features(ledger(spark, sf_dir), advances(spark, sf_dir), profiles(spark, sf_dir), _as_of())
     places = {"avg_monthly_income_6m": 4, "income_growth_trend": 4, "avg_txn_amount": 4}
     exact = {"min_monthly_balance_6m", "max_delinquency_days", "savings_group_volume"}
     return out.withColumns({c: F.round(c, places.get(c, 6)) for c, kind in out.dtypes if kind == "double" and c not in exact})
 
 
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def _past(spark, sf_dir):
+    return ledger(spark, sf_dir).filter(F.col("ts") <= _as_of())
+
+
+@query("credit_income", f"{_CREDIT} SELECT account, step, income, inflow, balance FROM m")
+def credit_income(spark, sf_dir):
+    """Six months of every account, those without a movement too."""
+    m = credit.monthly_calendar(_past(spark, sf_dir), _as_of())
+    return m.select("account", F.col("step").cast("long").alias("step"), *[F.col(c).cast("double").alias(c) for c in ("income", "inflow", "balance")])
+
+
+@query("credit_network", f"{_CREDIT} SELECT account, round(coalesce(network_density, 0), 6) AS network_density, trusted_network_size FROM nt LEFT JOIN nd USING (account)")
+def credit_network(spark, sf_dir):
+    return credit.network(_past(spark, sf_dir), _as_of()).withColumn("network_density", F.round("network_density", 6))
+
+
+@query(
+    "credit_features",
+    f"{_CREDIT} SELECT account, round(txn_regularity_score, 6) AS txn_regularity_score, round(avg_txn_amount::DOUBLE, 4) AS avg_txn_amount, round(txn_frequency_per_day, 6) AS txn_frequency_per_day, merchant_diversity, round(reciprocity_score, 6) AS reciprocity_score FROM b",
+)
+def credit_features(spark, sf_dir):
+    """The last 90 days, and the regularity and balance of all of them."""
+    out = credit.behaviour(_past(spark, sf_dir), _as_of())
+    return out.select("account", *[F.round(c, n).alias(c) for c, n in (("txn_regularity_score", 6), ("avg_txn_amount", 4), ("txn_frequency_per_day", 6))], "merchant_diversity", F.round("reciprocity_score", 6).alias("reciprocity_score"))
+
+
 @query(
     "credit_factors",
     """WITH c AS (SELECT event_id, unnest(['avg_monthly_income_6m', 'savings_rate', 'merchant_diversity', 'txn_regularity_score', 'wallet_age_days']) AS feature, unnest([value / 1000 - 0.05, 0.03 - value / 2000, (event_id % 5)::DOUBLE - 2, 0.0, (event_id % 3)::DOUBLE - 1]) AS v FROM events),

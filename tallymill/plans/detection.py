@@ -130,6 +130,43 @@ def fraud_velocity(spark, sf_dir):
     return d.decayed_velocity(transfers(spark, sf_dir)).withColumn("agg_velocity_12h_decayed", F.round("agg_velocity_12h_decayed", 6))
 
 
+@query(
+    "aml_new_sender_wave",
+    f"""WITH {T}, y AS (SELECT * FROM t WHERE amount BETWEEN 20000 AND 149999 AND sec - (1704067200 + sender % 20 * 86400) BETWEEN 0 AND 7 * 86400 - 1),
+    s AS (SELECT txn, receiver, len(list_distinct(list(sender) {_w('receiver', 12 * HOUR)}))::BIGINT AS parties, ({_SUM} {_w('receiver', 12 * HOUR)})::DOUBLE AS total FROM y) SELECT * FROM s WHERE parties >= 2""",
+)
+def aml_new_sender_wave(spark, sf_dir):
+    """Accounts opened on the first twenty days of the year."""
+    t = transfers(spark, sf_dir)
+    opened = t.select("sender").distinct().withColumn("opened_at", F.lit(1_704_067_200) + F.col("sender") % 20 * DAY)
+    return d.new_sender_wave(t, opened, 20_000, 149_999, 7, 12 * HOUR, 2)
+
+
+@query(
+    "aml_gathered_withdrawal",
+    f"""WITH {T}, m AS (SELECT txn, receiver AS account, sender AS agent, kind, floor(amount / 10000) * 10000 AS amount, sec FROM t),
+    s AS (SELECT *, len(list_distinct(list_filter(list(CASE WHEN kind = 'in' AND amount = 10000 THEN agent END) {_w('account', 2 * DAY)}, lambda x: x IS NOT NULL)))::BIGINT AS n_agents FROM m) SELECT txn, account, n_agents FROM s WHERE kind = 'out' AND amount >= 50000 AND n_agents >= 2""",
+)
+def aml_gathered_withdrawal(spark, sf_dir):
+    """Receivers as accounts, senders as agents, amounts to the ten thousand below."""
+    t = transfers(spark, sf_dir)
+    moves = t.select("txn", F.col("receiver").alias("account"), F.col("sender").alias("agent"), "kind", (F.floor(F.col("amount") / 10_000) * 10_000).cast("double").alias("amount"), "at")
+    return d.gathered_withdrawal(moves, 10_000, 2, 2 * DAY, 50_000)
+
+
+@query(
+    "aml_chains_to_bank",
+    f"""WITH {T}, h AS (SELECT * FROM t WHERE amount >= 50000), c AS (SELECT a.txn, b.txn AS txn2, c.txn AS txn3, a.sender AS source, c.receiver AS target, a.sec AS at FROM h a JOIN h b ON b.sender = a.receiver AND b.sec > a.sec AND b.sec <= a.sec + 43200
+    JOIN h c ON c.sender = b.receiver AND c.sec > b.sec AND c.sec <= a.sec + 43200 WHERE b.receiver <> a.sender AND c.receiver <> a.sender AND c.receiver <> a.receiver)
+    SELECT DISTINCT c.* FROM c JOIN t k ON k.sender = c.target AND k.txn % 3 = 0 AND k.sec BETWEEN c.at AND c.at + 43200""",
+)
+def aml_chains_to_bank(spark, sf_dir):
+    """Every third transfer goes to a bank."""
+    t = transfers(spark, sf_dir)
+    bank = t.filter(F.col("txn") % 3 == 0).select(F.col("sender").alias("account"), F.col("at").alias("at2"))
+    return d.to_bank(d.chains(t, 50_000, 12 * HOUR, keep_time=True), bank, 12 * HOUR)
+
+
 @query("aml_large_cash", f"WITH {T} SELECT sender, strftime(ts, '%Y-%m-%d') AS day, {_SUM}::DOUBLE AS day_sum, max(amount) AS largest FROM t GROUP BY 1, 2 HAVING max(amount) > 400000 OR {_SUM} >= 400000")
 def aml_large_cash(spark, sf_dir):
     return d.large_cash(transfers(spark, sf_dir), 400_000)
@@ -208,34 +245,6 @@ def risk_tiers(spark, sf_dir):
     return risk.select("event_id", d.risk_tier(F.col("score")).alias("tier"), d.escalates(F.col("score"), 0.70).alias("escalate"))
 
 
-@query(
-    "credit_features",
-    f"""WITH {T}, g AS (SELECT *, sec - lag(sec) OVER (PARTITION BY sender ORDER BY sec, txn) AS gap FROM t)
-    SELECT sender, count(*) AS n, {_SUM}::DOUBLE AS volume, round({_SUM}::DOUBLE / count(amount), 6) AS avg_amount, count(DISTINCT receiver) AS parties, round(regr_slope(amount, sec / 86400), 3) AS slope_per_day,
-    round(count(*) / greatest((max(sec) - min(sec)) / 86400, 1.0::DOUBLE), 6) AS txn_frequency_per_day, round(stddev_samp(gap), 3) AS txn_interval_deviation, round((max(sec) - min(sec)) / 86400, 6) AS wallet_age_days FROM g GROUP BY sender""",
-)
-def credit_features(spark, sf_dir):
-    return d.credit_features(transfers(spark, sf_dir))
-
-
-@query(
-    "credit_income",
-    f"""WITH {T}, m AS (SELECT receiver, strftime(ts, '%Y-%m') AS month, {_SUM}::DOUBLE AS income FROM t GROUP BY 1, 2), s AS (SELECT *, row_number() OVER (PARTITION BY receiver ORDER BY month)::DOUBLE AS step FROM m)
-    SELECT receiver, count(*) AS months, round(avg(income), 4) AS avg_monthly_income, round(CASE WHEN avg(income) > 0 THEN stddev_samp(income) / avg(income) END, 6) AS income_volatility_cv, round(regr_slope(income, step), 3) AS income_growth_trend FROM s GROUP BY receiver""",
-)
-def credit_income(spark, sf_dir):
-    return d.monthly_income(transfers(spark, sf_dir))
-
-
-@query(
-    "credit_network",
-    f"""WITH {T}, u AS (SELECT sender AS account, receiver AS party, 1 AS o, 0 AS i FROM t UNION ALL SELECT receiver, sender, 0, 1 FROM t)
-    SELECT account, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in, count(DISTINCT party) AS network_density, round(CASE WHEN sum(o) > 0 THEN sum(i) / sum(o) END, 6) AS reciprocity_score FROM u GROUP BY account""",
-)
-def credit_network(spark, sf_dir):
-    return d.reciprocity(transfers(spark, sf_dir))
-
-
 @query("credit_decisions", "SELECT event_id, CASE WHEN value / 500 >= 0.14 THEN 'DECLINE' WHEN value / 500 >= 0.09 THEN 'REFER' ELSE 'APPROVE' END AS recommendation, concat_ws(',', CASE WHEN value > 50 THEN 'RC-001' END, CASE WHEN value < 40 THEN 'RC-102' END) AS codes FROM events")
 def credit_decisions(spark, sf_dir):
     """Contributions made up from the value: income speaks against, repayment for the account."""

@@ -379,23 +379,81 @@ def psi_alerts(spark, sf_dir):
     return privacy.psi_alert(li, "l_extendedprice", "k", [20_000.0, 40_000.0]).withColumn("psi", F.round("psi", 6))
 
 
-@query(
-    "silver_build",
-    """WITH e AS (SELECT 'TAX' || user_id AS tax_id, 'u' || user_id || '@x.com' AS email, 'USER ' || user_id AS customer_name, value - 50 AS amount, ts AS "timestamp", event_id AS transaction_id FROM events),
-    d AS (SELECT *, row_number() OVER (PARTITION BY tax_id, email ORDER BY "timestamp" DESC, transaction_id DESC) AS n FROM e)
-    SELECT 'facts' AS part, count(*) AS n FROM e WHERE amount >= 0
-    UNION ALL SELECT 'facts held', count(*) FROM e WHERE amount < 0""",
-)
-def silver_build(spark, sf_dir):
-    """Silver written by partition, and read back."""
+def _silver_input(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     user = F.col("user_id").cast("string")
-    b = e.select(
+    return e.select(
         F.col("event_id").alias("transaction_id"), user.alias("customer_id"), F.concat(F.lit("User "), user).alias("customer_name"), F.concat(F.lit("U"), user, F.lit("@x.com ")).alias("email"),
         F.concat(F.lit("TAX"), user).alias("tax_id"), (F.col("value") - 50).alias("amount"), F.col("ts").alias("timestamp"),
     )
+
+
+@query(
+    "silver_build",
+    """WITH e AS (SELECT event_id AS transaction_id, 'TAX' || user_id AS tax_id, 'u' || user_id || '@x.com' AS email, 'USER ' || user_id AS customer_name, round(value - 50, 6) AS amount, ts AS "timestamp" FROM events),
+    d AS (SELECT *, row_number() OVER (PARTITION BY tax_id, email ORDER BY "timestamp" DESC, transaction_id DESC) AS n FROM e)
+    SELECT 'facts' AS part, transaction_id, tax_id, email, customer_name, amount FROM e WHERE amount >= 0
+    UNION ALL SELECT 'held', transaction_id, tax_id, email, customer_name, amount FROM e WHERE amount < 0
+    UNION ALL SELECT 'dimension', NULL, tax_id, email, customer_name, amount FROM d WHERE n = 1 AND amount >= 0""",
+)
+def silver_build(spark, sf_dir):
+    """Silver written by partition, and read back row by row: facts, the facts held back, and customers."""
     root = f"{shared_dir(spark)}/silver-{uuid.uuid4().hex}"
-    silver.write(silver.build(b, "2024-01-01", run_id="run"), root, "2024-01-01")
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
-    held = spark.read.parquet(f"{root}/quarantine").filter(F.col("transaction_id").isNotNull()).join(spark.read.parquet(f"{root}/facts/2024-01-01").select("transaction_id"), "transaction_id", "left_anti")
-    return count(spark.read.parquet(f"{root}/facts/2024-01-01"), "facts").unionByName(count(held.select("transaction_id").distinct(), "facts held"))
+    silver.write(silver.build(_silver_input(spark, sf_dir), "2024-01-01", run_id="run"), root, "2024-01-01")
+    columns = ["transaction_id", "tax_id", "email", "customer_name", F.round("amount", 6).alias("amount")]
+    facts_ = spark.read.parquet(f"{root}/facts/2024-01-01").select(F.lit("facts").alias("part"), *columns)
+    held = spark.read.parquet(f"{root}/quarantine").filter(F.col("transaction_id").isNotNull()).select(F.lit("held").alias("part"), *columns).distinct()
+    people_ = spark.read.parquet(f"{root}/dimension/2024-01-01").select(F.lit("dimension").alias("part"), F.lit(None).cast("long").alias("transaction_id"), *columns[1:])
+    return facts_.unionByName(held).unionByName(people_)
+
+
+@query(
+    "silver_drift_history",
+    """WITH d AS (SELECT count(*) AS n, count_if(n = 1 AND value - 50 >= 0) AS people, count_if(value - 50 >= 0) AS facts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events))
+    SELECT k AS partition_key, n::INTEGER AS bronze_row_count, facts::INTEGER AS transaction_fact_count, people::INTEGER AS customer_dimension_count, CASE WHEN k = 'b' THEN 'late' END AS note FROM d, (VALUES ('a'), ('b')) AS x(k)""",
+)
+def silver_drift_history(spark, sf_dir):
+    """Two reports appended, the second with a column more."""
+    path = f"{shared_dir(spark)}/drift-{uuid.uuid4().hex}"
+    report = silver.build(_silver_input(spark, sf_dir), "a", run_id="run")["drift"]
+    silver.append_drift(report, path)
+    silver.append_drift(report.withColumns({"partition_key": F.lit("b"), "note": F.lit("late")}), path)
+    return silver.drift_history(spark, path).select("partition_key", "bronze_row_count", "transaction_fact_count", "customer_dimension_count", "note")
+
+
+@query(
+    "quarantine_volume",
+    """WITH r AS (SELECT 'run' || user_id % 8 AS name, count(*) AS checked, count_if(value > 20 + 30 * (user_id % 8)) AS held FROM events GROUP BY 1), d AS (SELECT strftime(ts, '%Y%m%d') AS name, count_if(value > 20 + 30 * (user_id % 8)) AS held FROM events GROUP BY 1)
+    SELECT 'run' AS kind, name, held, checked::BIGINT AS checked, held / checked > 0.05 AS alert FROM r UNION ALL SELECT 'day', name, held, NULL, held > 60 FROM d WHERE held > 0""",
+)
+def quarantine_volume(spark, sf_dir):
+    """Events as rows of eight runs, those of high value held back, on the day that they come."""
+    e = read_table(spark, sf_dir, "events").withColumn("validation_run_id", F.concat(F.lit("run"), (F.col("user_id") % 8).cast("string")))
+    held = e.filter(F.col("value") > 20 + 30 * (F.col("user_id") % 8)).withColumn("quarantine_timestamp", F.date_format("ts", "yyyyMMdd_HHmmss"))
+    return silver.quarantine_alerts(held, e.groupBy("validation_run_id").agg(F.count(F.lit(1)).alias("checked")), rows=60)
+
+
+@query(
+    "gold_days",
+    """WITH f AS (SELECT strftime(o_orderdate, '%Y') AS day, o_totalprice::DECIMAL(18,2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT day AS partition_date, count(*) AS n, sum(CASE WHEN day = '1999' THEN 2 * amount ELSE amount END)::DOUBLE AS total FROM f GROUP BY 1""",
+)
+def gold_days(spark, sf_dir):
+    """By years here: all written, then 1999 again with twice the amounts; read back."""
+    root = f"{shared_dir(spark)}/gold-{uuid.uuid4().hex}"
+    f, d = facts(spark, sf_dir), customers(spark, sf_dir)
+    again = f.filter(F.year("timestamp") == 1999).withColumn("amount", F.col("amount") * 2)
+    for some in (f, again):
+        gold.write(gold.features(some, d).withColumn("partition_date", F.substring("partition_date", 1, 4)), gold.orphans(some, d).withColumn("partition_date", F.lit("all")), root)
+    back = spark.read.parquet(f"{root}/v1.0/features")
+    return back.groupBy(F.col("partition_date").cast("string").alias("partition_date")).agg(F.count(F.lit(1)).alias("n"), gold.exact_sum(F.col("amount")).alias("total"))
+
+
+@query("gold_manifest", "SELECT (SELECT count(*) FROM orders) AS input_rows_fact, (SELECT count(*) FROM customer WHERE c_custkey % 3 > 0) AS input_rows_dim, count(*) FILTER (c_custkey IS NOT NULL) AS output_rows, count(*) FILTER (c_custkey IS NULL) AS orphan_rows FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 > 0")
+def gold_manifest(spark, sf_dir):
+    """A third of the customers is unknown."""
+    root = f"{shared_dir(spark)}/gold-{uuid.uuid4().hex}"
+    f, d = facts(spark, sf_dir), customers(spark, sf_dir).filter(F.col("customer_id") % 3 > 0)
+    out = gold.features(f, d)
+    gold.write(out.withColumn("partition_date", F.substring("partition_date", 1, 4)), gold.orphans(f, d).withColumn("partition_date", F.lit("all")), root, facts=f, dim=d)
+    return spark.read.json(f"{root}/v1.0/manifest").select("input_rows_fact", "input_rows_dim", "output_rows", "orphan_rows")

@@ -58,6 +58,14 @@ def bm25_index_topk(spark, sf_dir):
     return r.top_k(index.scores(ASK).withColumn("score", F.round("score", 6)), 10)
 
 
+@query("retrieval_rerank", f"WITH {_BM25}, t AS (SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 40) SELECT doc_id, round(score / (1 + ln(1 + length(coalesce(text, '')))), 6) AS confidence_score FROM t JOIN documents USING (doc_id) ORDER BY 2 DESC, doc_id LIMIT 10")
+def retrieval_rerank(spark, sf_dir):
+    """The first 40 by BM25, ranked anew by a score that long texts lose by."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hits = docs.join(r.top_k(_bm25(spark, sf_dir), 40), "doc_id")
+    return r.rerank(hits, lambda h: F.round(h["score"] / (1 + F.log1p(F.length(h["text"]).cast("double"))), 6), 10).select("doc_id", "confidence_score")
+
+
 @query("vector_topk", f"WITH {_L2} SELECT doc_id, distance FROM v ORDER BY distance, doc_id LIMIT 10")
 def vector_topk(spark, sf_dir):
     return r.vector_top_k(read_table(spark, sf_dir, "embeddings"), VECTOR, 10, "vec_id", "embedding")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallymill.plans.registry import query
-from tallymill.session import read_table
+from tallymill.session import read_table, shared_dir
 from tallymill.streaming import jobs, replays
 
 
@@ -55,3 +57,13 @@ def stream_replays(spark, sf_dir):
     """Users as receipts and kinds of event as requests, two hours long."""
     with replays.rocksdb_state(spark):
         return jobs.run_once(replays.replays(_events(spark, sf_dir), "ts", "user_id", "event_type", 7200), "append", "replays")
+
+
+@query("stream_silver_batches", "SELECT user_id, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events WHERE value >= 10 GROUP BY 1")
+def stream_silver_batches(spark, sf_dir):
+    """Good rows kept by micro-batch, each under its number, and read back over all of them."""
+    root = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    q = jobs.silver_micro_batches(_events(spark, sf_dir), lambda batch: {"facts": batch.filter("value >= 10")}, f"{root}/out", f"{root}/state")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/out/facts").groupBy("user_id")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))

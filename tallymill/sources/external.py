@@ -133,9 +133,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def append_table(df: DataFrame, name: str) -> None:
-    """Create if missing, else append; with the schema's descriptions as table properties."""
+def append_table(df: DataFrame, name: str, properties: dict[str, str] | None = None) -> None:
+    """Create if missing, else append; ``properties`` and the descriptions of columns (as description.<column>) become table properties, beside those that are there."""
     df.write.mode("append").saveAsTable(name)
+    about = {f"description.{f.name}": str(f.metadata["description"]) for f in df.schema.fields if "description" in f.metadata} | (properties or {})
+    if about:
+        quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        df.sparkSession.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({', '.join(f'{quoted(k)} = {quoted(v)}' for k, v in about.items())})")
 
 
 def write_vectors(docs: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.text import tokenize
 from tallymill.operators import clusters, privacy, resolve
+from tallymill.operators import evaluation as ev
 from tallymill.operators import retrieval as r
 
 NAMES = "id long, name string, brand string"
@@ -113,3 +114,28 @@ def test_alert_is_above_the_limit(spark):
     df = spark.createDataFrame([(0.0, 0), (2.0, 0), (0.0, 1), (2.0, 1), (2.0, 1)], "v double, k int")
     index = privacy.psi_alert(df, "v", "k", [1.0]).first().psi
     assert privacy.psi_alert(df, "v", "k", [1.0], index).first().alert is False
+
+
+def test_reranked_hits(spark):
+    hits = spark.createDataFrame([(1, "aa"), (2, "a"), (3, None), (4, "bb")], "doc_id long, content string")
+    assert {x.confidence_score for x in r.rerank(hits).collect()} == {0.5} and r.rerank(hits, k=2).count() == 2
+    assert [x.doc_id for x in r.rerank(hits, lambda h: F.length(h["content"]) / 10).collect()] == [1, 4, 2, 3]
+    assert [x.doc_id for x in r.rerank(hits, lambda h: F.length(h["content"]) / 10, 1).collect()] == [1]
+
+
+def test_evaluation_with_a_query_builder_and_lookup(spark):
+    cases = spark.createDataFrame([(1, "x", "POCAMLA Section 1"), (2, "y", "CBK Section 2"), (3, "y", "FRC")], "case_id long, category string, target string")
+    corpus = spark.createDataFrame([("pocamla section 1",), ("cbk section 9",)], "content string")
+
+    def retrieve(queries):
+        return queries.join(corpus, F.lower(F.split("query", " ")[0]) == F.split("content", " ")[0]).select("case_id", F.lit(1).alias("rank"), "content")
+
+    by = {x.case_id: x for x in ev.evaluate(cases, retrieve, lambda c: c["target"]).collect()}
+    assert (by[1].precision_at_1, by[2].precision_at_1, by[3].precision_at_1) == (1.0, 0.0, 0.0) and by[1].citation_match and by[2].citation_similarity == pytest.approx(1 / 3)
+    assert all(x.precision_at_5 == 0 for x in ev.evaluate(cases, retrieve).collect())
+    assert ev.lookup(cases, "case_id", 2)["target"] == "CBK Section 2"
+    for value in (9, None):
+        with pytest.raises(KeyError, match="no row"):
+            ev.lookup(cases, "case_id", value)
+    with pytest.raises(KeyError, match="several"):
+        ev.lookup(cases, "category", "y")

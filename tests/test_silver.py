@@ -121,3 +121,17 @@ def test_zones_are_turned_into_utc_and_currency_is_upper(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert [r.currency for r in got] == ["KES", "USD", "USD", "KES", "", "X", "X"]
+
+
+def test_quarantine_alerts_by_run_and_day(spark):
+    held = spark.createDataFrame([("a", "20240101_000000")] * 5 + [("b", "20240101_230000")] * 6 + [("lost", "20240102_000000"), (None, None)], "validation_run_id string, quarantine_timestamp string")
+    runs = spark.createDataFrame([("a", 60), ("a", 40), ("b", 100), ("c", 10), ("d", 0)], "validation_run_id string, checked long")
+    got = {(r.kind, r.name): (r.held, r.checked, r.alert) for r in silver.quarantine_alerts(held, runs, rows=10).collect()}
+    assert got["run", "a"] == (5, 100, False) and got["run", "b"] == (6, 100, True) and got["run", "c"] == (0, 10, False) and got["run", "d"] == (0, 0, False)
+    assert got["run", "lost"] == (1, None, True) and got["day", "20240101"] == (11, None, True) and got["day", "20240102"] == (1, None, False)
+
+
+def test_drift_history_of_changing_columns(spark, tmp_path):
+    silver.append_drift(spark.createDataFrame([("a", 1)], "partition_key string, n int"), str(tmp_path))
+    silver.append_drift(spark.createDataFrame([("b", "x")], "partition_key string, note string"), str(tmp_path))
+    assert sorted(tuple(r) for r in silver.drift_history(spark, str(tmp_path)).select("partition_key", "n", "note").collect()) == [("a", 1, None), ("b", None, "x")]

@@ -165,3 +165,36 @@ def test_credit_decisions(spark):
     c = {f: 0.03 for f, limit, _ in d.ADVERSE} | {"merchant_diversity": -0.5, "wallet_age_days": -0.01}
     got = spark.createDataFrame([(c,), ({},)], "c map<string,double>").select(d.reason_codes(F.col("c"))).collect()
     assert got[0][0] == ["RC-104", "RC-001", "RC-002", "RC-003", "RC-004", "RC-005"] and got[1][0] == []
+
+
+def test_appended_tables_have_properties(spark, tmp_path):
+    from tallymill.sources import external
+
+    spark.sql(f"CREATE DATABASE held LOCATION '{tmp_path}/held'")
+    df = spark.range(2).select(F.col("id").alias("v", metadata={"description": "it's a \\ value"}))
+    external.append_table(df, "held.feature", {"version": "1"})
+    external.append_table(df, "held.feature", {"team": "x"})
+    about = {r.key: r.value for r in spark.sql("SHOW TBLPROPERTIES held.feature").collect()}
+    assert (about["description.v"], about["version"], about["team"], spark.table("held.feature").count()) == ("it's a \\ value", "1", "x", 4)
+    spark.sql("DROP DATABASE held CASCADE")
+
+
+def test_payouts(spark):
+    import json
+
+    from tallymill.operators import callbacks
+
+    def sent(code=0, **items):
+        given = {"TransactionAmount": 5000.009, "TransactionReceipt": "QWE23RT4Y7", "B2CPartyName": "254712345678 - John Doe", "B2CChargesPaidAccount": -45.5, "B2CUtilityAccountAvailableFunds": 950000.0, "B2CRecipientRegisteredMetadata": "RECEIVED"} | items
+        return json.dumps({"Result": {"ResultCode": code, "OriginatorConversationID": "o", "ConversationID": "v", "TransactionID": "t", "ResultParameters": {"ResultParameter": [{"Key": k, "Value": v} for k, v in given.items() if v is not None]}}})
+
+    payloads = [sent(), sent(1), sent(1, TransactionReceipt=None), sent(TransactionAmount=-1), sent(TransactionAmount=500000), sent(TransactionAmount=500001), sent(None), sent(None, TransactionReceipt=None), "[]", json.dumps({"Result": None}), sent(B2CPartyName=None), json.dumps({"Result": {"ResultCode": "x"}})]
+    df = spark.createDataFrame(list(enumerate(payloads)), "i int, payload string")
+    got = callbacks.validate(df, F.lit("2025-01-25 16:26:00")).orderBy("i").collect()
+    assert [r.verdict for r in got] == ["accept", "failed", "failed", "reject", "accept", "reject", "review", "reject", "reject", "reject", "reject", "reject"]
+    first = got[0]
+    assert (first.kind, first.amount, first.charges, first.utility_funds, first.msisdn, first.party_name, first.recipient_status, first.checkout_request_id, first.no_time) == ("b2c", 5000.0, -45.5, 950000.0, "254712345678", "John Doe", "RECEIVED", "o", False)
+    asked = spark.createDataFrame([("o", 5000.0), ("o", 5000.0)], "checkout_request_id string, requested_amount double")
+    flags = sorted((r.i, r.flag) for r in callbacks.reconcile(callbacks.validate(df, F.lit("2025-02-01")), asked).collect())
+    assert [f for f in flags if f[1] == "INCONSISTENT_B2C_STATE"] == [(1, "INCONSISTENT_B2C_STATE")]
+    assert {i for i, f in flags if f == "AMOUNT_INTEGRITY_FAILURE"} == {3, 4, 5} and {i for i, f in flags if f == "ORPHAN_CALLBACK"} == {8, 9, 11}
