@@ -102,6 +102,14 @@ h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + s
 c AS (SELECT k, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS v FROM m) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (k) LEFT JOIN c USING (k)""",
+    "op5_sharding": r"""
+WITH RECURSIVE w AS (SELECT list(list_reduce(list_prepend(n::BIGINT, range(8)), lambda u, v: xor(u >> 1, CASE WHEN u & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY n) AS w FROM range(256) AS r(n)),
+b AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents),
+e AS (SELECT k, doc_id, n + 16 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, z: xor(a >> 8, w[(xor(a, z) & 255) + 1])), 4294967295) AS text_crc32 FROM b, w),
+j(k, key, shard, next) AS (SELECT k, CASE WHEN coalesce(doc_id, -1) < 0 THEN coalesce(doc_id, -1)::HUGEINT + 18446744073709551616::HUGEINT ELSE doc_id::HUGEINT END, -1::BIGINT, 0::BIGINT FROM b
+  UNION ALL SELECT k, f, next, floor((next + 1) * (2147483648.0::DOUBLE / ((f // 8589934592::HUGEINT) + 1)::DOUBLE))::BIGINT FROM (SELECT k, next, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS f FROM j WHERE next < 40)),
+s AS (SELECT e.doc_id, e.size, e.text_crc32, shard, CASE WHEN next = 40 THEN 40 ELSE shard END AS grown FROM j JOIN e USING (k) WHERE next >= 40)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown::INTEGER AS grown_shard FROM s""",
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM d GROUP BY source),

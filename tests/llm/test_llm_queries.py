@@ -92,3 +92,36 @@ def test_pipeline_stages(spark, data):
 def test_the_rest_stands_without_this_part(tmp_path):
     code = "import sys; sys.modules['tallymill.llm'] = None; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; assert 'gold_features' in e.queries() and 'pipeline' not in e.queries() and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code, ROOT], check=True, cwd=tmp_path)
+
+
+ODD_ROWS = [
+    (1, "a clean text of some words that stands alone", "en", "s", 1), (2, None, None, None, None), (None, "", "en", "s", 2), (3, "long " * 30_000, "en", None, 3), (4, "the same words in every copy of this one text here", "en", "s", 4),
+    (4, "the same words in every copy of this one text here", "en", "s", 4), (5, "the same words in every copy of this one text here", "de", "t", 5), (6, "one two three four five six seven eight nine ten eleven twelve thirteen", "en", "t", 6), (2**60, "é ß \x00", "fr", "t", 7),
+]
+
+
+@pytest.mark.parametrize("case", ["odd", "no labels", "empty"])
+def test_pipeline_on_odd_tables(spark, tmp_path, case):
+    """Nulls in every column, empty and long texts, repeated rows, ties, columns with clashing names, empty tables."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [] if case == "empty" else ODD_ROWS
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(7) for c in ("__row", "__file", "score", "size", "shard", "label", "quality", "key", "c", "v")})
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [] if case != "odd" else [(1, 1, 0), (3, 0, 0), (4, 1, None), (None, 1, 0), (6, None, 1), (6, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    items = [] if case == "empty" else [(1, "One two three four five six seven eight nine ten eleven twelve thirteen"), (2, None), (None, ""), (1, "x")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = kept.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        kept.write.parquet(str(tmp_path / f"in-{name}"))
+        kept = stage(spark, spark.read.parquet(str(tmp_path / f"in-{name}")), str(tmp_path))
+        assert kept.columns == columns, name
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert ids <= {r[0] for r in rows} and all(r.shard is not None and 0 <= r.shard < 40 for r in out)
+    if case == "no labels":
+        assert 6 not in ids and len([r for r in out if r.doc_id in (4, 5)]) <= 2
+    if case == "empty":
+        assert out == []

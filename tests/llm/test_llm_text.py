@@ -296,3 +296,58 @@ def test_token_count_query(spark):
     assert sorted((r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 4096) for r in got)
     assert op8.count_tokens(table(spark, ODD).limit(0)).count() == 0
+
+
+def _leaf(g, h, a, b):
+    return sum(g[a:b]) / (sum(h[a:b]) + 1.0)
+
+
+def _brute_tree(g, h, splits):
+    """The tree by trying every cut of every leaf, one after another, with sums written out."""
+    worth = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1.0)
+    leaves = [(0, len(g))]
+    for _ in range(splits):
+        tried = [(worth(a, c) + worth(c, b) - worth(a, b), a, c, b) for a, b in leaves for c in range(a + 1, b)]
+        if not tried or max(t[0] for t in tried) <= 1e-9:
+            break
+        _, a, c, b = max(tried, key=lambda t: t[0])
+        leaves.remove((a, b))
+        leaves += [(a, c), (c, b)]
+    return [next(_leaf(g, h, a, b) for a, b in leaves if a <= i < b) for i in range(len(g))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tree_steps_are_the_best_cuts(seed):
+    r = np.random.default_rng(seed)
+    for n in (1, 2, 5, 12):
+        g, h = r.standard_normal(n), r.random(n)
+        for splits in (1, 3):
+            assert op2._tree_step(g, h, splits) == pytest.approx(_brute_tree(g.tolist(), h.tolist(), splits))
+    assert op2._tree_step(np.zeros(4), np.ones(4)).tolist() == [0.0] * 4
+    g, h = r.standard_normal((4, 5)), r.random((4, 5))
+    rows = _brute_tree(g.sum(1).tolist(), h.sum(1).tolist(), 1)
+    cut = next((i + 1 for i in range(3) if rows[i] != rows[i + 1]), 4)
+    want = [_brute_tree(part.sum(0).tolist(), hh.sum(0).tolist(), 1) for part, hh in ((g[:cut], h[:cut]), (g[cut:], h[cut:])) for _ in range(len(part))]
+    assert op2._tree_step_2d(g, h) == pytest.approx(np.array(want))
+
+
+def test_scores_are_sums_of_looked_up_bins(spark):
+    """Every score is the logistic of the intercept and one cell a feature and a pair, looked up one by one."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((300, 3)).round(1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    m = op2.AdditiveModel().fit(x, y)
+    place = lambda edges, v: sum(v >= e for e in edges)
+    for row, got in zip(x, m.score(x)):
+        total = m.intercept + sum(t[place(e, v)] for e, t, v in zip(m.edges, m.tables, row))
+        total += sum(t[place(m.pair_edges[a], row[a]), place(m.pair_edges[b], row[b])] for (a, b), t in zip(m.pairs, m.pair_tables))
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+    # the product of two signs is in no single feature; the pairs' tables have it
+    right = lambda model: np.mean((model.score(x) > 0.5) == (y == 1))
+    with_pairs = right(m)
+    m.pairs, m.pair_tables = [], []
+    assert with_pairs > right(m) + 0.1
+    texts = ["one two. three", None, "x" * 50, "A b C d!"]
+    model = op2.AdditiveModel().fit(np.array([op2.features(t) for t in texts * 5]), np.array([1.0, 0, 0, 1] * 5))
+    got = table(spark, texts).coalesce(1).select(op2.scorer(model)(F.col("text")).alias("s")).collect()
+    assert [g.s for g in got] == pytest.approx([float(model.score(np.array([op2.features(t)]))[0]) for t in texts])
