@@ -39,7 +39,7 @@ from tallymill.llm.linking import TASK_BYTES, connect, sized
 from tallymill.session import materialize
 
 #: Blocks of a SimHash and how many of them agree in a bucket; the bits that the SimHashes of candidates differ in at most.
-SIMILARITY, BLOCKS, AGREE, BITS_APART = 0.8, 4, 3, 20
+SIMILARITY, BLOCKS, AGREE, BITS_APART = 0.8, 4, 3, 26
 _EDGES = " \t\r.,;:!?\"'()[]|-"
 #: Four lanes of a long; the most votes that their comparison bears; the characters that can hold no more words.
 _LANES, _MOST, _LONG = 0x0001000100010001, 8191, 16_000
