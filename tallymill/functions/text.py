@@ -19,9 +19,13 @@ def strip_all(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    """Lower-cased words at white space, letters and digits only, empty ones dropped."""
-    words = F.transform(F.split(F.lower(c), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
-    return F.filter(words, lambda w: F.length(w) > 0)
+    """Lower-cased words at white space, letters and digits only, empty ones dropped.
+
+    All else goes from the whole text at once, which is one expression a text
+    instead of one a word; only at its ends an empty word can be left.
+    """
+    kept = F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}\s]+", "")
+    return F.array_remove(F.split(kept, r"(?U)\s+"), "")
 
 
 def chunk_hash(content: Column, source: Column, page: Column, version: Column) -> Column:

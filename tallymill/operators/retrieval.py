@@ -13,6 +13,8 @@ from tallymill.session import discard, materialize
 
 # BM25's parameters and the constant of reciprocal rank fusion.
 K1, B, RRF = 1.5, 0.75, 60
+#: Up to this many keys that stand twice are sent to all tasks; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,10 +29,36 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.coalesce(F.size(tokenize(F.col(text))), F.lit(0))).alias("avg_len"))
 
 
+def document_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, df): in how many documents a term is; rows of one key, or without one, are one document.
+
+    A row's own repeats go within the row, so what is counted and shuffled are
+    terms, and not pairs of document and term. Only rows whose key stands twice
+    are compared by such pairs; their keys are broadcast up to ``BROADCAST_KEYS``.
+    """
+    def terms(some: DataFrame) -> DataFrame:
+        w = some.select(F.col(key).alias("doc_id"), F.array_distinct(tokenize(F.col(text))).alias("w"))
+        # an inner explode would make Spark filter by the array's size and tokenize twice
+        return w.select("doc_id", F.explode_outer("w").alias("term")).filter(F.col("term").isNotNull())
+
+    again = docs.groupBy(F.col(key).alias("__again")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("__again")
+    n_again = again.count()
+    if not n_again:
+        return terms(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    keys = F.broadcast(again) if n_again <= BROADCAST_KEYS else again
+    same = F.col(key).eqNullSafe(F.col("__again"))
+    once = terms(docs.join(keys, same, "left_anti")).select("term")
+    return once.unionByName(terms(docs.join(keys, same, "left_semi")).distinct().select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf)."""
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
-    return df.select("term", "df", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    return with_idf(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+
+
+def with_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) from (term, df)."""
+    return df.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
 def asked_terms(spark: SparkSession, query: str) -> dict[str, int]:

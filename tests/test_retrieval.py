@@ -36,6 +36,21 @@ def test_bm25(spark):
     assert set(scores(spark, "bird", "cat", "dog").values()) == {0.0}
 
 
+def test_term_stats_of_repeated_ids_and_their_plan(spark, tmp_path):
+    """Rows of one id, or without one, are one document to a term, but all rows count; terms are shuffled, not pairs of document and term."""
+    from oracle import duck, spark_rows
+    from tallymill.plans import registry
+
+    some = [(1, "a b a"), (1, "b c"), (2, "a"), (None, "c d"), (None, "d"), (3, None), (4, "")]
+    spark.createDataFrame(some, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["bm25_term_stats"](spark, str(tmp_path))
+    assert {x.term: x.df for x in got.collect()} == {"a": 2, "b": 1, "c": 2, "d": 1}
+    assert spark_rows(got) == duck(registry.ORACLES["bm25_term_stats"], str(tmp_path))
+    once = r.document_frequencies(docs(spark, "a b a", "b"), "doc_id", "text")
+    assert {x.term: x.df for x in once.collect()} == {"a": 1, "b": 2}
+    assert "doc_id" not in "".join(x for x in once._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate" in x or "Exchange" in x)
+
+
 def test_top_k_fills_up_and_breaks_ties_by_id(spark):
     top = r.top_k(r.bm25_scores(docs(spark, "a", "b", "c"), "zzz", "doc_id", "text"), 2)
     assert [x.doc_id for x in top.collect()] == [0, 1]
