@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Sequence
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions.text import tokenize
-from tallymill.session import discard, materialize
+from tallymill.session import materialize
 
 # BM25's parameters and the constant of reciprocal rank fusion.
 K1, B, RRF = 1.5, 0.75, 60
@@ -92,14 +93,31 @@ def bm25_scores(docs: DataFrame, query: str, key: str, text: str) -> DataFrame:
     return found.select("doc_id").join(_score_hits(hits, stats, asked), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-class TermIndex:
-    """Postings in a folder: by bucket of the term and batch of documents, beside the documents' lengths and one row of totals a batch.
+def term_counts(words: Column) -> Column:
+    """An array of (term, tf) from an array of words: sorted, and cut where the word changes. The arrays in between stand in arrays of one, so that they are made once."""
+    def cut(s: Column) -> Column:
+        starts = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)))
+        counted = lambda b: F.transform(b, lambda at, j: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(b, j + 1), F.size(s)) - at).cast("long").alias("tf")))
+        return F.get(F.transform(F.array(starts), counted), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(words)), cut), F.lit(0))
+
 
-    A batch that is added again replaces itself. A search reads the buckets of
-    the terms that it asks for, the totals, and the lengths only where documents
-    without a hit are wanted.
+class TermIndex:
+    """Postings in a folder: by batch of documents and bucket of the term, beside one row of totals a batch.
+
+    A row is a document's count of one term. One row a document has no term and
+    stands in a bucket of its own, which is the table of lengths. A text is cut
+    into words once and counted within its row; the postings are dealt by bucket
+    in parts of the size that adaptive execution aims at, so neither the number of
+    buckets nor a large one bounds the tasks that write. A batch that is added
+    again replaces itself, all buckets of it. A search reads the buckets of the
+    terms that it asks for, the totals, and the lengths only where documents
+    without a hit are wanted; rows of one document are added up there.
     """
 
+    LENGTHS = -1
+
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
@@ -108,15 +126,15 @@ class TermIndex:
 
     def add(self, docs: DataFrame, batch: str, key: str = "doc_id", text: str = "text") -> None:
         """Documents' ids are new ones, or those of the batch that is replaced."""
-        w = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("w"))
-        w = materialize(w.select("doc_id", F.greatest(F.coalesce(F.size("w"), F.lit(0)), F.lit(0)).cast("long").alias("doc_len"), "w"), "words")
-        post = w.select("doc_id", "doc_len", F.explode("w").alias("term")).groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        post = post.withColumn("bucket", self._bucket(F.col("term")))
-        totals = w.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
-        parts = {"postings": (post.repartition("bucket").sortWithinPartitions("bucket", "term"), ["batch", "bucket"]), "lengths": (w.select("doc_id", "doc_len"), ["batch"]), "totals": (totals, ["batch"])}
-        for name, (df, by) in parts.items():
-            df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{name}")
-        discard(w)
+        folder = "batch=" + re.sub(r"[^\w.-]", lambda m: f"%{ord(m[0]):02X}", batch)
+        w = docs.select(F.col(key).alias("doc_id"), F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("w"))
+        itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+        post = w.select("doc_id", F.size("w").cast("long").alias("doc_len"), F.explode_outer(F.concat(itself, term_counts(F.col("w")))).alias("x")).select("doc_id", "doc_len", "x.*")
+        post = post.withColumn("bucket", F.when(F.col("term").isNull(), F.lit(self.LENGTHS)).otherwise(self._bucket(F.col("term"))))
+        post.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.path}/postings/{folder}")
+        lengths = self.spark.read.schema(post.schema).parquet(f"{self.path}/postings/{folder}").filter(F.col("bucket") == self.LENGTHS)
+        totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
+        totals.write.mode("overwrite").parquet(f"{self.path}/totals/{folder}")
 
     def postings(self, terms: list[str]) -> DataFrame:
         """The postings of some terms; only their buckets' folders are listed and read."""
@@ -126,12 +144,13 @@ class TermIndex:
     def scores(self, query: str, every: bool = True) -> DataFrame:
         """(doc_id, score) of every document, or of those with a hit only."""
         asked = asked_terms(self.spark, query)
-        lengths = self.spark.read.parquet(f"{self.path}/lengths").select("doc_id")
+        lengths = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket") == self.LENGTHS).select("doc_id")
         if not asked:
             return lengths.select("doc_id", F.lit(0.0).alias("score")).filter(F.lit(every))
         totals = self.spark.read.parquet(f"{self.path}/totals").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
         stats = totals.select("n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
-        sums = _score_hits(self.postings(list(asked)).select("doc_id", "doc_len", "term", "tf"), stats, asked)
+        hits = self.postings(list(asked)).groupBy("doc_id", "doc_len", "term").agg(F.sum("tf").alias("tf"))
+        sums = _score_hits(hits, stats, asked)
         return lengths.join(sums, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")) if every else sums
 
 

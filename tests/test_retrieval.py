@@ -51,6 +51,27 @@ def test_term_stats_of_repeated_ids_and_their_plan(spark, tmp_path):
     assert "doc_id" not in "".join(x for x in once._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate" in x or "Exchange" in x)
 
 
+def test_index_replaces_whole_batches_and_adds_up_rows_of_one_id(spark, tmp_path):
+    """A bucket that a batch no longer has goes with the old batch; rows without an id, and of one id and length, count as in the SQL."""
+    from oracle import duck, spark_rows
+    from tallymill.plans import registry
+
+    index = r.TermIndex(spark, f"{tmp_path}-index", 32)
+    index.add(docs(spark, "fox dog cat cow hen", "fox"), "a b/c")
+    index.add(docs(spark, "owl owl", ""), "a b/c")
+    assert index.postings(["fox", "dog", "cat", "cow", "hen"]).count() == 0
+    assert [(x.term, x.tf, x.doc_len) for x in index.postings(["owl"]).collect()] == [("owl", 2, 2)]
+    assert {x.doc_id for x in index.scores("owl").collect()} == {0, 1}
+    some = [(1, "the and x"), (1, "the the y"), (2, "the"), (2, "ouer la"), (None, "the que"), (-3, "der"), (4, "")]
+    spark.createDataFrame(some, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert spark_rows(registry.QUERIES["bm25_index_topk"](spark, str(tmp_path))) == duck(registry.ORACLES["bm25_index_topk"], str(tmp_path))
+
+
+def test_term_counts(spark):
+    got = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,)], "w array<string>").select(r.term_counts(F.col("w")).alias("c")).collect()
+    assert [x.c and [(y.term, y.tf) for y in x.c] for x in got] == [[("a", 1), ("b", 2)], [], None]
+
+
 def test_top_k_fills_up_and_breaks_ties_by_id(spark):
     top = r.top_k(r.bm25_scores(docs(spark, "a", "b", "c"), "zzz", "doc_id", "text"), 2)
     assert [x.doc_id for x in top.collect()] == [0, 1]
