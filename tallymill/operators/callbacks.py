@@ -6,6 +6,8 @@ A payload is parsed once, as a VARIANT, and its top-level key tells its kind:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,31 +23,46 @@ B2C_ITEMS = {
 _STK_ROOT, _B2C_ROOT = "$.Body.stkCallback", "$.Result"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row: as the only element of an array, as Spark would make it anew for each place in ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse(payload: Column) -> Column:
     """A struct of the kind, the ids, the result code and the items by name, as strings; null fields where the payload has none, and no kind where it is of neither.
 
     The first item of a name counts. A payout names its recipient as number and name in one.
     """
-    v = F.try_parse_json(payload)
+    return _bound(F.try_parse_json(payload), _roots)
+
+
+def _roots(v: Column) -> Column:
     at = lambda path, kind: F.try_variant_get(v, path, kind)
-    kind = F.when(at(_STK_ROOT, "variant").isNotNull(), STK).when(at(_B2C_ROOT, "variant").isNotNull(), B2C)
-    stk_items = at(f"{_STK_ROOT}.CallbackMetadata.Item", "array<struct<Name string, Value string>>")
-    b2c_items = at(f"{_B2C_ROOT}.ResultParameters.ResultParameter", "array<struct<Key string, Value string>>")
+    roots = F.struct(
+        at(_STK_ROOT, "variant").isNotNull().alias("stk"),
+        at(_B2C_ROOT, "variant").isNotNull().alias("b2c"),
+        at(f"{_STK_ROOT}.CallbackMetadata.Item", "array<struct<Name string, Value string>>").alias("stk_items"),
+        at(f"{_B2C_ROOT}.ResultParameters.ResultParameter", "array<struct<Key string, Value string>>").alias("b2c_items"),
+        at(f"{_STK_ROOT}.MerchantRequestID", "string").alias("merchant_request_id"),
+        F.coalesce(at(f"{_STK_ROOT}.CheckoutRequestID", "string"), at(f"{_B2C_ROOT}.OriginatorConversationID", "string")).alias("checkout_request_id"),
+        at(f"{_B2C_ROOT}.ConversationID", "string").alias("conversation_id"),
+        F.coalesce(at(f"{_STK_ROOT}.ResultCode", "int"), at(f"{_B2C_ROOT}.ResultCode", "int")).alias("result_code"),
+    )
+    return _bound(roots, _fields)
 
+
+def _fields(p: Column) -> Column:
     def first(items: Column, key: str, theirs: str) -> Column:
         return F.get(F.filter(items, lambda x: x[key] == theirs), F.lit(0))["Value"]
 
     def item(name: str) -> Column:
-        kinds = ((stk_items, STK_ITEMS, "Name"), (b2c_items, B2C_ITEMS, "Key"))
+        kinds = ((p["stk_items"], STK_ITEMS, "Name"), (p["b2c_items"], B2C_ITEMS, "Key"))
         return F.coalesce(*[first(items, key, theirs) for items, names, key in kinds for theirs, ours in names.items() if ours == name])
 
     party = item("party_name")
     return F.struct(
-        kind.alias("kind"),
-        at(f"{_STK_ROOT}.MerchantRequestID", "string").alias("merchant_request_id"),
-        F.coalesce(at(f"{_STK_ROOT}.CheckoutRequestID", "string"), at(f"{_B2C_ROOT}.OriginatorConversationID", "string")).alias("checkout_request_id"),
-        at(f"{_B2C_ROOT}.ConversationID", "string").alias("conversation_id"),
-        F.coalesce(at(f"{_STK_ROOT}.ResultCode", "int"), at(f"{_B2C_ROOT}.ResultCode", "int")).alias("result_code"),
+        F.when(p["stk"], STK).when(p["b2c"], B2C).alias("kind"),
+        *[p[c].alias(c) for c in ("merchant_request_id", "checkout_request_id", "conversation_id", "result_code")],
         item("receipt").alias("receipt"),
         item("amount").alias("amount"),
         F.coalesce(item("msisdn"), F.regexp_extract(party, r"^\s*(\+?\d+)", 1)).alias("msisdn"),

@@ -198,3 +198,16 @@ def test_payouts(spark):
     flags = sorted((r.i, r.flag) for r in callbacks.reconcile(callbacks.validate(df, F.lit("2025-02-01")), asked).collect())
     assert [f for f in flags if f[1] == "INCONSISTENT_B2C_STATE"] == [(1, "INCONSISTENT_B2C_STATE")]
     assert {i for i, f in flags if f == "AMOUNT_INTEGRITY_FAILURE"} == {3, 4, 5} and {i for i, f in flags if f == "ORPHAN_CALLBACK"} == {8, 9, 11}
+
+
+def test_a_payload_is_parsed_once(spark):
+    """Not once for each field that is read; and both kinds give what they gave."""
+    from tallymill.operators import callbacks
+
+    stk = {"Body": {"stkCallback": {"CheckoutRequestID": "c1", "ResultCode": 0, "CallbackMetadata": {"Item": [{"Name": "Amount", "Value": 5}, {"Name": "Amount", "Value": 6}]}}}}
+    b2c = {"Result": {"OriginatorConversationID": "c2", "ResultParameters": {"ResultParameter": [{"Key": "B2CPartyName", "Value": "0712345678 - A B"}]}}}
+    df = spark.createDataFrame([(json.dumps(stk),), (json.dumps(b2c),), ("{",), ("[]",), (None,)], "payload string")
+    v = callbacks.validate(df, F.lit("2025-02-01"))
+    assert [(x.kind, x.checkout_request_id, x.result_code, x.amount, x.party_name) for x in v.collect()] == [("stk", "c1", 0, 5.0, None), ("b2c", "c2", None, None, "A B"), *[(None,) * 5] * 3]
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
