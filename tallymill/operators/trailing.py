@@ -1,16 +1,17 @@
 """Sums, counts and distinct counts over a trailing span of seconds, in time linear in the rows.
 
-A row enters its key's window at its time and leaves it a span later. Both are
-events with a value to add or take away, and a running sum over the events in
-order of time is the window's value at each of them; no row looks back over the
-window. A distinct count is a sum too: a party leaves when it is seen again, or
-a span later, whichever is first, so each stands in the window once.
-
-Keys are cut into blocks of time a little longer than the longest span. What
-has not left at a block's end enters the next block at its start, so blocks are
-summed on their own: a busy account is dealt over as many tasks as it has
-blocks. Sums of decimals are exact; decayed sums are scaled to the block's
-start, so that nothing overflows.
+What a window holds is the running sum up to a row's time, less the running sum
+up to the last second before the span; both are frames without a lower end over
+the same sorted rows, so no row looks back over the window. A distinct count is
+such a difference too: a party's rows that follow each other within the span are
+one stay, which is counted up at its first row and down a span after its last.
+
+Keys are cut into blocks of time a little longer than the longest span. The rows
+of a block's last span stand in the next block as well, where they only count,
+so blocks are summed on their own: a busy account is dealt over as many tasks as
+it has blocks, and a row is sorted twice at most, however many sums it is in.
+Sums of decimals are exact; decayed sums are scaled to the block's start, so
+that nothing overflows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ENTER = -1
 #: Half-lives to a block that a double's exponent can hold.
 _MOST_HALVINGS = 900
 
@@ -72,53 +72,45 @@ def with_trailing(t: DataFrame, key: str | list[str], stats: dict[str, Total | D
     Rows without a time have nulls there and count for no other row; rows whose key is null are one key.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    block = max(s.span for s in stats.values()) + 1
-    now = F.col(at)
-    wide = t.withColumn("__block", F.floor(now / block))
-    exits: list[Column] = []  # when a row leaves, once for each kind of leaving
-    kinds: dict = {}
+    names = [f"__key{i}" for i in range(len(keys))]
+    longest = max(s.span for s in stats.values())
+    block = longest + 1
     for name, s in stats.items():
-        kind = (s.party, s.span) if isinstance(s, Different) else s.span
-        if kind not in kinds:
-            kinds[kind] = len(exits)
-            leaves = now + s.span + 1
-            if isinstance(s, Different):
-                again = f"__again{len(exits)}"
-                wide = wide.withColumn(again, F.lead(at).over(Window.partitionBy(*keys, s.party).orderBy(at)))
-                leaves = F.least(leaves, F.col(again))
-            exits.append(leaves)
         if isinstance(s, Decayed) and block > _MOST_HALVINGS * s.half_life:
             raise ValueError(f"{name}: a half-life of {s.half_life} seconds is too short beside spans of {block - 1}")
-    following = (F.col("__block") + 1) * block
-    events = [F.struct(now.alias("time"), F.lit(_ENTER).alias("what"))]
-    for i, leaves in enumerate(exits):
-        crosses = leaves > following
-        events.append(F.when(crosses, F.struct(following.alias("time"), F.lit(2 * i).alias("what"))))
-        events.append(F.when(leaves != following, F.struct(leaves.alias("time"), F.lit(2 * i + 1).alias("what"))))
-    values = {}
-    for name, s in stats.items():
-        values[name] = F.coalesce(s.value, F.lit(0)) if isinstance(s, Total) else F.col(s.party).isNotNull().cast("long") if isinstance(s, Different) else None
-    payload = F.struct(*[F.col(c) for c in t.columns])
-    e = wide.select(
-        *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
-        payload.alias("__row"),
-        *[v.alias(f"__value_{name}") for name, v in values.items() if v is not None],
+    now = F.col(at)
+    mine = F.floor(now / block)
+    place = lambda b, own: F.struct(b.alias("block"), F.lit(own).alias("own"))
+    places = F.array_compact(F.array(place(mine, True), F.when(now + longest >= (mine + 1) * block, place(mine + 1, False))))
+    given = {name: F.coalesce(s.value, F.lit(0)) if isinstance(s, Total) else F.col(s.party) for name, s in stats.items() if not isinstance(s, Decayed)}
+    e = t.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)],
+        F.struct(*[F.col(c) for c in t.columns]).alias("__row"),
+        *[v.alias(f"__given_{name}") for name, v in given.items()],
         now.alias("__at"),
-        F.explode(F.array_compact(F.array(*events))).alias("__event"),
+        F.explode(places).alias("__place"),
     )
-    time, what = F.col("__event.time"), F.col("__event.what")
-    e = e.withColumn("__start", F.floor(time / block) * block)
-    deltas = {}
+    e = e.withColumns({"__block": F.col("__place.block"), "__own": F.col("__place.own"), "__row": F.when(F.col("__place.own"), F.col("__row"))}).drop("__place")
+    e = e.repartition(*names, "__block")  # all windows below are within these
+    start = F.col("__block") * block
+    adds, takes = {}, {}
     for name, s in stats.items():
-        i = kinds[(s.party, s.span) if isinstance(s, Different) else s.span]
-        value = F.pow(F.lit(2.0), (F.col("__at") - F.col("__start")) / s.half_life) if isinstance(s, Decayed) else F.col(f"__value_{name}")
-        deltas[f"__delta_{name}"] = F.when(what.isin(_ENTER, 2 * i), value).when(what == 2 * i + 1, -value)
-    e = e.select(*[f"__key{i}" for i in range(len(keys))], F.when(what == _ENTER, F.col("__row")).alias("__row"), time.alias("__time"), "__start", *[d.alias(n) for n, d in deltas.items()])
-    w = Window.partitionBy(*[f"__key{i}" for i in range(len(keys))], "__start").orderBy("__time").rangeBetween(Window.unboundedPreceding, 0)
-    sums = {}
+        adds[name] = takes[name] = F.col(f"__given_{name}")
+        if isinstance(s, Different):
+            same = Window.partitionBy(*names, "__block", f"__given_{name}").orderBy("__at")
+            e = e.withColumns({f"__last_{name}": F.lag("__at").over(same), f"__next_{name}": F.lead("__at").over(same)})
+            apart = lambda gap: (F.col(f"__given_{name}").isNotNull() & F.coalesce(gap > s.span, F.lit(True))).cast("long")  # noqa: B023, E731
+            adds[name], takes[name] = apart(F.col("__at") - F.col(f"__last_{name}")), apart(F.col(f"__next_{name}") - F.col("__at"))
+        elif isinstance(s, Decayed):
+            adds[name] = takes[name] = F.pow(F.lit(2.0), (F.col("__at") - start) / s.half_life)
+    e = e.select(*names, "__block", "__own", "__row", "__at", *[c.alias(f"__{k}_{n}") for k, some in (("add", adds), ("take", takes)) for n, c in some.items()])
+    w = Window.partitionBy(*names, "__block").orderBy("__at")
+    upto = lambda seconds: w.rangeBetween(Window.unboundedPreceding, seconds)
+    e = e.withColumns({f"__sum_{n}": F.sum(f"__add_{n}").over(upto(0)) for n in stats} | {f"__old_{n}": F.sum(f"__take_{n}").over(upto(-s.span - 1)) for n, s in stats.items()})
+    kinds, sums = dict(e.dtypes), {}
     for name, s in stats.items():
-        total = F.sum(f"__delta_{name}").over(w)
+        total = (F.col(f"__sum_{name}") - F.coalesce(f"__old_{name}", F.lit(0))).cast(kinds[f"__sum_{name}"])
         if isinstance(s, Decayed):
-            total = F.greatest(total * F.pow(F.lit(2.0), (F.col("__start") - F.col("__time")) / s.half_life), F.lit(0.0))
-        sums[name] = F.when(F.col("__time").isNotNull(), total)
-    return e.select("__row", *[v.alias(n) for n, v in sums.items()]).filter(F.col("__row").isNotNull()).select("__row.*", *sums)
+            total = F.greatest(total * F.pow(F.lit(2.0), (start - F.col("__at")) / s.half_life), F.lit(0.0))
+        sums[name] = F.when(F.col("__at").isNotNull(), total)
+    return e.filter("__own").select("__row", *[v.alias(n) for n, v in sums.items()]).select("__row.*", *sums)

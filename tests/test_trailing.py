@@ -133,3 +133,18 @@ def test_tiers_and_fraud_interactions(spark):
     (r,) = fraud.features(t, twice).collect()
     assert r.threshold_proximity_x_velocity == pytest.approx(1000 * 0.6931471805599453)
     assert (r.txn_count_24h_sender, r.agg_velocity_12h, r.agg_velocity_12h_decayed) == (1, 1, 1.0)
+
+
+def test_a_row_is_sorted_twice_at_most_however_many_spans(spark):
+    """The rows that go into the windows depend on the longest span alone."""
+    import re
+
+    from tallymill.operators import trailing
+
+    t = spark.createDataFrame([("a", s) for s in (0, 5, 9, 10, 11, 30)], "k string, at long")
+    one = F.lit(1).cast("long")
+    few = trailing.with_trailing(t, "k", {"n9": trailing.Total(9, one)})
+    many = trailing.with_trailing(t, "k", {f"n{i}": trailing.Total(i, one) for i in (1, 4, 6, 9)})
+    made = lambda df: [re.sub(r"#\d+", "", x).split("[")[0] for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert [x.strip(" +-:") for x in made(few)] == [x.strip(" +-:") for x in made(many)]
+    assert {(x.at, x.n1, x.n4, x.n9) for x in many.collect()} == {(0, 1, 1, 1), (5, 1, 1, 2), (9, 1, 2, 3), (10, 2, 2, 3), (11, 2, 3, 4), (30, 1, 1, 1)}
