@@ -20,7 +20,7 @@ Edge cases: a null or empty text has the end alone; a null doc_id is trained on;
 without training rows every bit costs one bit, N and V are 0; repeated rows
 count and are scored one by one; an empty table gives an empty result; extra
 columns are not read. A text is held in one worker at a time, whole, its grams
-a million at a time.
+a quarter of a million at a time.
 """
 
 from __future__ import annotations
@@ -34,11 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm.rows import placed_rows
-from tallymill.session import discard, materialize
+from tallymill.session import discard, free_shuffles, materialize
 
 DEPTH = 5
 GROUP_BYTES = 32 << 20
-_PIECE = 1 << 20
+#: Grams of one text or several that are looked up together, that are counted together, and the different ones held before they are compacted.
+_PIECE, _COUNTED, _HELD = 1 << 18, 1 << 21, 1 << 22
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _END = b"\n"  # no word has it
 
@@ -66,20 +67,74 @@ class _GramCounts:
     def __init__(self):
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.n = 0
+        self.waiting: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        self.size = {0: 0, 1: 0}
 
     def add(self, some: np.ndarray, weight: int) -> None:
-        values, n = np.unique(some, return_counts=True)
+        self.waiting[weight].append(some)
+        self.size[weight] += len(some)
+        if self.size[weight] >= _COUNTED:
+            self._take(weight)
+
+    def _take(self, weight: int) -> None:
+        if not self.waiting[weight]:
+            return
+        values, n = np.unique(np.concatenate(self.waiting[weight]), return_counts=True)
+        self.waiting[weight], self.size[weight] = [], 0
         self.held.append((values, n * weight))
         self.n += len(values)
-        if self.n > 2 * _PIECE:
-            self.held = [self.counts()]
+        if self.n > _HELD:
+            self._compact()
             self.n = len(self.held[0][0]) // 2  # compact again only after as much as is there
 
+    def _compact(self) -> None:
+        values = np.unique(np.concatenate([v for v, _ in self.held]))
+        total = np.zeros(len(values), np.int64)
+        for v, n in self.held:
+            total[np.searchsorted(values, v)] += n
+        self.held = [(values, total)]
+
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        for weight in self.waiting:
+            self._take(weight)
         if not self.held:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        values, at = np.unique(np.concatenate([v for v, _ in self.held]), return_inverse=True)
-        return values, np.bincount(at, weights=np.concatenate([n for _, n in self.held]), minlength=len(values)).astype(np.int64)
+        self._compact()
+        return self.held[0]
+
+
+def summed(texts: list[bytes], depth: int, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For every text the sum of its grams' values, of the sorted grams ``at``.
+
+    The grams of several texts are sorted together, each with its text's number
+    behind it, and looked up in order: one after the other they would each miss the cache.
+    """
+    out, room = np.zeros(len(texts)), max(0, 63 - 8 * (depth + 1))
+    waiting, n, first = [], 0, 0
+
+    def take(last: int) -> None:
+        keys = np.concatenate(waiting)
+        keys.sort()
+        some = keys >> room
+        new = np.concatenate(([True], some[1:] != some[:-1]))
+        found = value[np.searchsorted(at, some[new])][np.cumsum(new) - 1]
+        out[first : last + 1] += np.bincount(keys & ((1 << room) - 1), weights=found, minlength=last + 1 - first)
+
+    for i, t in enumerate(texts):
+        if waiting and i - first >= 1 << room:
+            take(i - 1)
+            waiting, n = [], 0
+        for some in grams(t, depth):
+            if not waiting:
+                first = i
+            waiting.append(some << room | (i - first))
+            n += len(some)
+            if n >= _PIECE:
+                take(i)
+                waiting, n = [], 0
+    if waiting:
+        take(len(texts) - 1)
+    return out
 
 
 def _lgamma(x: Column) -> Column:
@@ -120,6 +175,7 @@ def weighted_levels(counted: DataFrame, depth: int) -> list[DataFrame]:
         both = F.greatest("__own", "__below") + F.log1p(F.exp(F.least("__own", "__below") - F.greatest("__own", "__below")))
         level = level.withColumn("lw", half + both).withColumn("stop", F.exp(half + F.col("__own") - F.col("lw"))).withColumn("go", F.exp(half + F.col("__below") - F.col("lw")))
         levels.append(materialize(level.drop("__own", "__below"), f"level{d}"))
+    free_shuffles(counted.sparkSession)
     return levels[::-1]
 
 
@@ -145,6 +201,7 @@ def priced_grams(counted: DataFrame, depth: int) -> DataFrame:
     out = counted.select("gram", F.shiftright("gram", 8).alias("context")).join(costs, "context").select("gram", total.alias("value"))
     out = materialize(out, "priced")
     discard(*levels)
+    free_shuffles(counted.sparkSession)
     return out
 
 
@@ -176,6 +233,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BY
         return pa.table({"g": g, "gram": gram, "word": word, "n": pa.array(np.concatenate((n, np.fromiter(words.values(), np.int64, len(words)))))})
 
     asked = materialize(dealt.groupBy("g").applyInArrow(ask, "g long, gram long, word binary, n long"), "asked")
+    free_shuffles(docs.sparkSession)
     by_gram, by_word = asked.filter(F.col("gram").isNotNull()).select("g", "gram", "n"), asked.filter(F.col("word").isNotNull()).select("g", "word", "n")
     counted = materialize(by_gram.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     words = materialize(by_word.groupBy("word").agg(F.sum("n").alias("c")), "words")
@@ -195,11 +253,12 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BY
         at, value = known["gram"].to_numpy()[~of_words], known["value"].to_numpy()[~of_words]
         order = np.argsort(at)
         at, value = at[order], value[order]
-        out = []
-        for doc, is_held, t in zip(*(part[c].to_pylist() for c in ("doc_id", "held_out", "text"))):
-            c = np.fromiter((count[w] for w in split_words(t)), float)
+        out, texts = [], part["text"].to_pylist()
+        models = summed(texts, depth, at, value).tolist()
+        for doc, is_held, t, model in zip(part["doc_id"].to_pylist(), part["held_out"].to_pylist(), texts, models):
+            words = split_words(t)
+            c = np.fromiter(map(count.__getitem__, words), float, len(words))
             base = float(np.log10(c + 1).sum()) - len(c) * room
-            model = sum(float(value[np.searchsorted(at, some)].sum()) for some in grams(t, depth))
             out.append((doc, is_held, len(c), int((c > 0).sum()), n_all, base, model, len(t), -model / math.log10(2) / (len(t) + 1)))
         columns = list(zip(*out)) if out else [[]] * 9
         kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]

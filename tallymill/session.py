@@ -66,6 +66,11 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does when the driver collects garbage, and that may be minutes later."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``; any store that Spark reads."""
     return _reader(spark).parquet(f"{sf_dir}/{name}.parquet")

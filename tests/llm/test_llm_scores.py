@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tallymill.llm import op11_lm_score as op11
@@ -117,3 +118,30 @@ def test_no_training_rows_and_no_rows(spark):
     for x in scored(spark, [(i, "ab") for i in out]):
         assert (x.train_tokens, x.n_known, x.base_score) == (0, 0, 0.0) and math.isclose(x.score, 3 * math.log10(1 / 256))
     assert scored(spark, []) == []
+
+
+def test_values_are_summed_over_several_texts_at_once(monkeypatch):
+    """Texts longer than a piece, more of them than a number's bits tell apart, and each looked up in order."""
+    r = random.Random(2)
+    texts = [bytes(r.choices(b"abc \xff\x00", k=r.choice((0, 1, 7, 90)))) for _ in range(20)]
+    for depth in (0, 5, 6):
+        plain = [Counter(g for some in op11.grams(t, depth) for g in some.tolist()) for t in texts]
+        at = np.array(sorted(set().union(*plain)))
+        value = -np.arange(1.0, len(at) + 1)
+        price = dict(zip(at.tolist(), value.tolist(), strict=True))
+        want = [sum(price[g] * n for g, n in grams.items()) for grams in plain]
+        calls, search = [], np.searchsorted
+        monkeypatch.setattr(np, "searchsorted", lambda a, v: calls.append(bool((v[1:] >= v[:-1]).all())) or search(a, v))
+        for piece in (1, 50, 1 << 18):
+            for name in ("_PIECE", "_COUNTED", "_HELD"):
+                monkeypatch.setattr(op11, name, piece)
+            assert op11.summed(texts * 5, depth, at, value).tolist() == want * 5
+            found = op11._GramCounts()
+            for i, t in enumerate(texts):
+                for some in op11.grams(t, depth):
+                    found.add(some, i % 2)
+            values, n = found.counts()
+            trained = sum(plain[1::2], Counter())
+            assert values.tolist() == at.tolist() and n.tolist() == [trained[g] for g in at.tolist()]
+        monkeypatch.undo()
+        assert all(calls) and len(calls) >= 3
